@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageloom.llm import decontaminate
+from pageloom.llm import bpe, decontaminate
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
+QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op6_bpe": bpe.op6_bpe}
 SQL = {"op1_decontaminate": decontaminate.SQL}
