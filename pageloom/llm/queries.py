@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bpe, decontaminate
+from pageloom.llm import bpe, decontaminate, telephony, warc
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op6_bpe": bpe.op6_bpe}
-SQL = {"op1_decontaminate": decontaminate.SQL}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_telephony": telephony.op3_telephony,
+    "op6_bpe": bpe.op6_bpe,
+    "op10_warc": warc.op10_warc,
+}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
