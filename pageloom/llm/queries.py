@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bpe, decontaminate, telephony, warc
+from pageloom.llm import bpe, decontaminate, langid, telephony, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_telephony": telephony.op3_telephony,
     "op6_bpe": bpe.op6_bpe,
+    "op8_langid": langid.op8_langid,
     "op10_warc": warc.op10_warc,
 }
 SQL = {"op1_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
