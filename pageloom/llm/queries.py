@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bpe, decontaminate, langid, telephony, warc
+from pageloom.llm import bpe, decontaminate, langid, personal, secrets, telephony, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_telephony": telephony.op3_telephony,
+    "op5_personal": personal.op5_personal,
     "op6_bpe": bpe.op6_bpe,
+    "op7_secrets": secrets.op7_secrets,
     "op8_langid": langid.op8_langid,
     "op10_warc": warc.op10_warc,
 }
