@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bpe, decontaminate, langid, personal, secrets, telephony, warc
+from pageloom.llm import bpe, decontaminate, langid, line_dedup, personal, secrets, telephony, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_telephony": telephony.op3_telephony,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_personal": personal.op5_personal,
     "op6_bpe": bpe.op6_bpe,
     "op7_secrets": secrets.op7_secrets,
     "op8_langid": langid.op8_langid,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_warc": warc.op10_warc,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op10_warc": warc.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op9_token_counts": token_counts.SQL, "op10_warc": warc.SQL}
