@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pageloom.llm import bpe, decontaminate, langid, line_dedup, personal, secrets, telephony, token_counts, warc
+from pageloom.llm import bpe, decontaminate, langid, line_dedup, near_dedup, personal, secrets, telephony, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_telephony": telephony.op3_telephony,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_personal": personal.op5_personal,
