@@ -12,17 +12,19 @@ up to WHOLE shingles: surely 4/5 of them). So with all values ordered by how
 many classes retain them, rarest first, two such sketches share at least
 OVERLAPS values among the first `retained - SHARED + OVERLAPS` of each; only
 these are indexed, and common shingles hardly ever are.
-  1. In each list every member is compared with the least one (a pair a row).
-  2. Members of short lists that aren't connected yet are compared in pairs.
+  1. In each list every member is compared with the least one (a pair a row);
+     of three members the other two as well.
+  2. Members of longer but still short lists that aren't connected yet are compared in pairs.
   3. Long lists whose members aren't all connected are dealt in blocks of BLOCK
      rows; a task holds two blocks and multiplies their incidence matrices,
      first of the sketches, then, for rows that the sketches can't exclude, of
      the whole sets. It returns at most one link for each two connected parts.
 Nothing is capped or sampled.
 
-Scale: equal sets are aggregated before anything is compared; all tables of
-intermediate results are written to the shared folder, so skewed joins can be
-split and a lost executor costs a task. Tables sent to all executors have at
+Scale: equal sets are aggregated before anything is compared; sides of skewed
+joins are tables computed before, so that Spark can split them. They are written
+to the shared folder, but for small ones that the executors hold and compute
+again if one is lost. Tables sent to all executors have at
 most BROADCAST_ROWS counted rows. No link or component reaches the driver.
 
 Defined results: null and empty texts have no shingles, are linked with nothing
@@ -45,7 +47,7 @@ from pageloom.llm.store import Scratch
 from pageloom.llm.words import NONSPACE, grams, mix, row_groups, utf8, words
 
 SKETCH, SHARED, WHOLE, OVERLAPS = 64, 32, 51, 4
-SHORT_LIST, BLOCK = 16, 1536
+SHORT_LIST, BLOCK, COLUMNS = 16, 3072, 1024
 BROADCAST_ROWS = 400_000
 
 
@@ -87,16 +89,16 @@ def _verify(batches: Iterator[pa.RecordBatch], fields: pa.Schema) -> Iterator[pa
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Shared values of each left with each right row, by products of incidence matrices of 4096 values at a time."""
+    """Shared values of each left with each right row, by products of incidence matrices of COLUMNS values at a time."""
     out = np.zeros((len(left), len(right)), np.float32)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
-    for lo in range(0, int((counts > 1).sum()), 4096):
-        a, b = np.searchsorted(place, [lo, lo + 4096])
-        has = np.zeros((len(sets), 4096), np.float32)
+    for lo in range(0, int((counts > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(place, [lo, lo + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
         has[row[a:b], place[a:b] - lo] = 1
         out += has[left] @ has[right].T
     return out
@@ -182,10 +184,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("u").alias("c"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         state, step = tuple(found), step + 1
         both = now.union(now.select("v", "u"))
-        least = scratch.keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"least-{step}")
+        least = scratch.hold(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), f"least-{step}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.keep(large.where("u <> v").distinct(), f"large-{step}")
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"low-{step}")
+        low = scratch.hold(large.groupBy("u").agg(F.min("v").alias("m")), f"low-{step}")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         old, now = f"edges-{step - 1}", scratch.keep(small.where("u <> v").distinct(), f"edges-{step}")
         scratch.drop(old, f"least-{step}", f"large-{step}", f"low-{step}")
@@ -197,16 +199,18 @@ def near_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     spark = documents.sparkSession
     scratch = Scratch(spark, "near")
-    keep = scratch.keep
+    keep, hold = scratch.keep, scratch.hold
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"))
     schema = T.StructType([rows.schema["id"], *(T.StructField(x, T.LongType()) for x in ("th", "n", "f1", "f2")), T.StructField("sketch", T.ArrayType(T.LongType()))])
     fields = to_arrow_schema(schema)
-    sets = keep(rows.mapInArrow(lambda it: _sketches(it, fields), schema), "sets")
+    wide = keep(rows.mapInArrow(lambda it: _sketches(it, fields), schema), "wide")
 
     # one row for each distinct set
-    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = wide.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     sketches = classes.select("c", "n", "sketch")
+    sets = keep(wide.select("id", "n", "f1", "f2"), "sets")
+    scratch.drop("wide")
 
     # the rarest retained values of each, by list
     retained = classes.select("c", F.explode("sketch").alias("v"))
@@ -217,9 +221,9 @@ def near_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ordered = sized.join(common, "v").groupBy("c", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
     take = F.greatest(F.lit(0), F.col("k") - shared + several - (F.col("k") - F.size("values")))
     lists = keep(ordered.select("c", "n", several.alias("ell"), F.explode(F.slice("values.v", F.lit(1), take)).alias("v")), "lists")
-    heads = keep(lists.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("head")).where("size > 1"), "heads")
+    heads = hold(lists.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("head"), F.max("c").alias("tail")).where("size > 1"), "heads")
     listed = keep(lists.join(heads, "v"), "listed")
-    scratch.drop("lists", "common")
+    scratch.drop("lists", "common", "heads")
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
         found = keep(candidates, f"{name}-candidates")
@@ -235,29 +239,32 @@ def near_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def text_of(needed: DataFrame) -> DataFrame:
         """c and text of the classes c."""
-        of = _small(keep(needed.join(classes, "c").select("c", F.col("of.id").alias("i"), F.col("of.th").alias("t")), "needed"))
+        of = _small(needed.join(classes, "c").select("c", F.col("of.id").alias("i"), F.col("of.th").alias("t")))
         return rows.join(of, rows["id"].eqNullSafe(of["i"]) & (rows["th"] == of["t"])).select("c", F.coalesce("__text", F.lit("")).alias("text")).dropDuplicates(["c"])
 
-    # 1: with the least member of each list
-    first = keep(listed.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b")).distinct(), "first-pairs")
+    # 1: with the least member of each list; lists of up to three members are done by that
+    with_head = F.struct(F.col("head").alias("a"), F.col("c").alias("b"))
+    with_tail = F.when((F.col("size") == 3) & (F.col("c") != F.col("tail")), F.struct(F.col("c").alias("a"), F.col("tail").alias("b")))
+    pairs = listed.where("c <> head").select(F.explode(F.filter(F.array(with_head, with_tail), lambda x: x.isNotNull())).alias("p"))
+    first = hold(pairs.select("p.*").distinct(), "first-pairs")
     links = verified(_estimated(first, sketches), "first")
     scratch.drop("first-pairs")
-    label = keep(links.groupBy("b").agg(F.min("a").alias("a")), "label")
+    label = hold(links.groupBy("b").agg(F.min("a").alias("a")), "label")
     above = label.select(F.col("b").alias("a"), F.col("a").alias("top"))
     parts = keep(label.join(above, "a", "left").select(F.col("b").alias("c"), F.coalesce("top", "a").alias("part")), "parts")
-    placed = keep(listed.join(parts, "c", "left").select("v", "c", "n", "ell", "size", F.coalesce("part", "c").alias("part")), "placed")
+    placed = hold(listed.where("size > 3").join(parts, "c", "left").select("v", "c", "n", "ell", "size", F.coalesce("part", "c").alias("part")), "placed")
     open_lists = placed.groupBy("v").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("v")
     placed = keep(placed.join(open_lists, "v", "left_semi"), "open")
     scratch.drop("listed", "label", "placed")
 
-    # 2: short lists, in pairs
+    # 2: short lists, in pairs. Pairs of different parts share open lists only, or were compared in step 1
     long_ones = placed.where(F.col("size") > SHORT_LIST)
     in_long = long_ones.groupBy("c").agg(F.count("*").alias("in_long"))
     short = placed.where(F.col("size") <= SHORT_LIST).join(in_long, "c", "left").select("v", F.struct("c", "part", "n", "ell", F.coalesce("in_long", F.lit(0)).alias("in_long")).alias("m"))
     members = short.groupBy("v").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     pairs = F.flatten(F.transform("ms", lambda x: F.transform(F.filter("ms", lambda y: (y["c"] > x["c"]) & (y["part"] != x["part"]) & (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), F.least(x["ell"], y["ell"]).alias("ell"), F.least(x["in_long"], y["in_long"]).alias("in_long")))))
     second = members.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "ell", "in_long").agg(F.count("*").alias("k")).where("k + in_long >= ell").select("a", "b")
-    more = verified(_estimated(keep(second, "second-pairs"), sketches), "second")
+    more = verified(_estimated(hold(second, "second-pairs"), sketches), "second")
     scratch.drop("second-pairs")
 
     # 3: long lists, in blocks
@@ -271,14 +278,28 @@ def near_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch.drop("open", "may", "block-texts")
 
     roots = components(links.union(more).union(rest), scratch)
-    rooted = keep(classes.select("c", "f1", "f2", "id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
-    named = keep(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "named")
+    rooted = hold(classes.select("c", "f1", "f2", "id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
+    named = hold(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "named")
     answer = keep(rooted.join(named, "root").select("f1", "f2", "component_id"), "answer")
     scratch.drop("classes", "rooted", "named", "first", "second", "third")
-    found = sets.select("id", "n", "f1", "f2").join(answer, ["f1", "f2"], "left")
+    found = sets.join(answer, ["f1", "f2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+t AS (SELECT s.*, n FROM s JOIN n USING (doc_id)),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM k WHERE 100 * k >= 80 * (na + nb - k) UNION ALL SELECT b, a FROM k WHERE 100 * k >= 80 * (na + nb - k)),
+r(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS other FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) AS component_id, w.doc_id <= coalesce(other, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

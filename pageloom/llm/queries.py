@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_warc": warc.op10_warc,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op9_token_counts": token_counts.SQL, "op10_warc": warc.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op2_near_dedup": near_dedup.SQL, "op9_token_counts": token_counts.SQL, "op10_warc": warc.SQL}

@@ -1,10 +1,11 @@
-"""Tables written to the folder that driver and executors share."""
+"""Intermediate tables of a run: written to the folder that all share, or held by the executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables of one run in the shared folder; what is left goes when the session's JVM ends."""
+    """Tables of one run. Kept ones are Parquet in the shared folder: their lineage ends, and a lost executor costs
+    nothing. Held ones lie on the executors' disks and are computed again from their lineage if one is lost; they
+    must not depend on the order of rows. What is left goes when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/pageloom-{name}-{uuid.uuid4().hex}"
@@ -26,15 +29,25 @@ class Scratch:
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(path)
         self.fs.deleteOnExit(path)
+        self.held: dict[str, DataFrame] = {}
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and read it back: the lineage ends, and a lost executor costs nothing."""
+        """Write df once and read it back."""
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def hold(self, df: DataFrame, name: str) -> DataFrame:
+        """Compute df now, and once."""
+        self.held[name] = df.persist(StorageLevel.DISK_ONLY)
+        self.held[name].count()
+        return self.held[name]
+
     def drop(self, *names: str) -> None:
         for name in names:
-            self.fs.delete(self._path(name), True)
+            if name in self.held:
+                self.held.pop(name).unpersist()
+            else:
+                self.fs.delete(self._path(name), True)
