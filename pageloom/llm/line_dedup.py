@@ -11,8 +11,8 @@ Scale: keys of chunks are aggregated without their texts; only texts of
 repeated chunks are grouped to compare them, with partial aggregation, so a
 chunk that a third of all rows share costs a row per task. Tables that go to
 all executors have a counted number of rows of at most BROADCAST_ROWS; beyond
-that they are joined by shuffle. The rows of a repeated key, written to the
-shared folder, can be split by Spark's skew join.
+that they are joined by shuffle. The tables joined on keys are computed before,
+so Spark's skew join can split a key's rows.
 
 Defined results: null and empty texts have no lines and stay. Lines of no bytes
 belong to the chunk before them. Rows of equal id and text are one document
@@ -124,13 +124,14 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     narrow = documents.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__text"))
 
     place_fields, text_fields = to_arrow_schema(place), to_arrow_schema(with_text)
-    found = scratch.keep(narrow.mapInArrow(lambda it: _keys(it, place_fields, False), place), "places")
-    repeated = scratch.keep(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__th", "place")).alias("first")).where("n > 1"), "repeated")
+    found = scratch.hold(narrow.mapInArrow(lambda it: _keys(it, place_fields, False), place), "places")
+    repeated = scratch.hold(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__th", "place")).alias("first")).where("n > 1"), "repeated")
     texts = narrow.select("__text").mapInArrow(lambda it: _keys(it, text_fields, True), with_text).join(_small(repeated.select("k1", "k2")), ["k1", "k2"])
     compared = texts.groupBy("k1", "k2", "chunk").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("kinds")).where("kinds = 1")
-    equal = scratch.keep(repeated.join(compared.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "first"), "equal")
+    equal = scratch.hold(repeated.join(compared.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "first"), "equal")
     later = found.join(_small(equal), ["k1", "k2"]).where(~F.struct("__id", "__th", "place").eqNullSafe(F.col("first")))
     gone = scratch.keep(later.groupBy("__id", "__th").agg(F.collect_set("place").alias("__gone")), "gone")
+    scratch.drop("places", "repeated", "equal")
     right = _small(gone.withColumnsRenamed({"__id": "__i", "__th": "__t"}))
     joined = documents.withColumnsRenamed({text_col: "__text"}).withColumn("__th", F.xxhash64("__text"))
     joined = joined.join(right, joined[id_col].eqNullSafe(right["__i"]) & (joined["__th"] == right["__t"]), "left").drop("__i", "__t", "__th")
