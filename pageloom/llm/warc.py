@@ -7,8 +7,7 @@ Content-Length and checks the block and payload digests.
 
 Scale: payload digests are aggregated to one row each with partial aggregation,
 so a page copied a million times costs one row per task; the digest table is
-written to the shared folder, which lets Spark split a hot digest in the join
-that brings it back. Archives are rows of about `archive_bytes` each.
+computed before the join that brings it back, so Spark can split a hot digest. Archives are rows of about `archive_bytes` each.
 
 Defined results: null html is an empty payload; a null url leaves out the
 target URI. Repeated rows of the least page_id are responses each. A row
@@ -136,7 +135,7 @@ def classify(pages: DataFrame, scratch: Scratch, *, id_col: str = "page_id", url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     payload = F.coalesce("html", F.lit(""))
     keys = [F.sha2(payload, 256).alias("sha"), F.octet_length(payload).alias("size")]
-    first = scratch.keep(rows.select(*keys, "page_id").groupBy("sha", "size").agg(F.min("page_id").alias("first")), "first")
+    first = scratch.hold(rows.select(*keys, "page_id").groupBy("sha", "size").agg(F.min("page_id").alias("first")), "first")
     revisits = (F.col("size") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("*", *keys).join(first, ["sha", "size"]).select("page_id", "url", "html", F.when(revisits, F.col("first")).alias("response"))
 
