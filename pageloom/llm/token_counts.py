@@ -113,7 +113,7 @@ def corpus_changes(documents: DataFrame) -> DataFrame:
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
-    changes = scratch.keep(summed(corpus_changes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "batch"), "changes")
+    changes = scratch.hold(summed(corpus_changes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "batch"), "changes")
     rollup = Rollup(spark, f"{scratch.root}/rollup")
     for batch in ("1-load", "2-recount", "2-recount", "3-delete", "1-load"):  # what is sent again isn't counted again
         rollup.commit(batch, changes.where(F.col("batch") == batch))
