@@ -12,37 +12,47 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, THRESHOLD = 8, 0.5
 
 
 class Kept:
-    """Texts kept so far."""
+    """Texts kept so far, with an index of their windows."""
 
     def __init__(self, window: int = WINDOW, threshold: float = THRESHOLD):
         self.window, self.threshold = window, threshold
-        self.count = 0
-        self.short: set[str] = set()
         self.texts: list[str] = []
-        self.windows: dict[str, list[int]] = defaultdict(list)
+        self.joined, self.n_joined = "", 0
+        self.windows: dict[str, list[int]] = {}
 
     def add(self, text: str) -> None:
-        for at in {text[i : i + self.window] for i in range(len(text) - self.window + 1)}:
-            self.windows[at].append(self.count)
-        self.short.update(text[i : i + n] for n in range(1, self.window) for i in range(len(text) - n + 1))
-        self.count += 1
+        k, w = len(self.texts), self.window
+        for at in {text[i : i + w] for i in range(len(text) - w + 1)}:
+            if (there := self.windows.get(at)) is None:
+                self.windows[at] = [k]
+            else:
+                there.append(k)
+        self.texts.append(text)
+
+    def _in_one(self, text: str) -> bool:
+        """Is this short text in one of those kept? White space is not in texts, so a line end can't be spanned."""
+        if self.n_joined < len(self.texts):
+            self.joined, self.n_joined = "\n".join([self.joined, *self.texts[self.n_joined :]]), len(self.texts)
+        return text in self.joined
 
     def overlaps(self, text: str) -> bool:
-        if not self.count:
+        if not self.texts:
             return False
         total = len(text) - self.window + 1
         if total < 1:
-            return not text or text in self.short
+            return self._in_one(text)
+        need = self.threshold * total
         hits: dict[int, int] = defaultdict(int)
         for i in range(total):
             for k in self.windows.get(text[i : i + self.window], ()):
                 hits[k] += 1
-                if hits[k] / total >= self.threshold:
+                if hits[k] >= need:
                     return True
         return False
 
@@ -58,14 +68,14 @@ def keep_flags(texts, given) -> list[bool]:
     return out
 
 
-def greedy_keep(texts: Column, given: Column) -> Column:
-    """Arrays of collapsed texts and of flags to an array of flags."""
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _fold(texts: pd.Series, given: pd.Series) -> pd.Series:
+    return pd.Series([keep_flags(t, g) for t, g in zip(texts, given, strict=True)])
 
-    @F.pandas_udf("array<boolean>")
-    def fold(texts: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([keep_flags(t, g) for t, g in zip(texts, given, strict=True)])
 
-    return fold(texts, given)
+def greedy_keep(texts: Column, given: Column) -> Column:
+    """Arrays of collapsed texts and of flags to an array of flags. One UDF for all uses: equal plans share their exchanges."""
+    return _fold(texts, given)
 
 
 def overlap_ratio(new: Column, existing: Column, window: int = WINDOW) -> Column:

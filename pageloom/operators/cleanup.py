@@ -7,13 +7,15 @@ vectorised UDF; texts are independent of each other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 
 class Rule(NamedTuple):
@@ -55,7 +57,7 @@ AFTER_TRIM = [Rule("punctuation", a, b) for a, b in PUNCTUATION]
 RESULT = "struct<text:string,fixes:array<struct<type:string,before:string,after:string>>>"
 
 
-def clean_text(text: str, before: list[Rule], after: list[Rule], convert: Callable[[str], str] | None = None) -> tuple[str, list[dict]]:
+def clean_text(text: str, before: Sequence[Rule], after: Sequence[Rule], convert: Callable[[str], str] | None = None) -> tuple[str, list[dict]]:
     """The cleaned text and the steps that changed it."""
     fixes: list[dict] = []
 
@@ -66,10 +68,10 @@ def clean_text(text: str, before: list[Rule], after: list[Rule], convert: Callab
 
     if convert is not None:
         text = step(text, "opencc", convert(text))
-    for rules in (before, after):
+    for i, rules in enumerate((before, after)):
         for r in rules:
             text = step(text, r.kind, text.replace(r.pattern, r.replacement) if r.literal else _compiled(r.pattern).sub(r.replacement, text))
-        if rules is before:
+        if i == 0:
             text = _compiled(f"^{_S}+|{_S}+\\Z").sub("", text)
     return text, fixes
 
@@ -83,13 +85,16 @@ def _compiled(pattern: str) -> regex.Pattern:
     return _known[pattern]
 
 
-def cleaned(text: Column, *, before: list[Rule] | None = None, after: list[Rule] | None = None, convert: Callable[[str], str] | None = None) -> Column:
-    """Struct of text and fixes. convert: a script conversion that goes first, none by default."""
-    first, second = BEFORE_TRIM if before is None else before, AFTER_TRIM if after is None else after
-
-    @F.pandas_udf(RESULT)
+@lru_cache(maxsize=16)
+def _cleaner(before: tuple[Rule, ...], after: tuple[Rule, ...], convert: Callable[[str], str] | None):
+    @F.pandas_udf(_parse_datatype_string(RESULT))
     def run(texts: pd.Series) -> pd.DataFrame:
-        out = [clean_text(t, first, second, convert) if t is not None else (None, []) for t in texts]
+        out = [clean_text(t, before, after, convert) if t is not None else (None, []) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in out], "fixes": [f for _, f in out]})
 
-    return run(text)
+    return run
+
+
+def cleaned(text: Column, *, before: Sequence[Rule] = BEFORE_TRIM, after: Sequence[Rule] = AFTER_TRIM, convert: Callable[[str], str] | None = None) -> Column:
+    """Struct of text and fixes. convert: a script conversion that goes first, none by default."""
+    return _cleaner(tuple(before), tuple(after), convert)(text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.operators import blocks as B
 from pageloom.operators import merge, ocr, quality, stats, triggers
 from pageloom.plans.options import IngestOptions
+from pageloom.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -21,10 +22,14 @@ class Ingested:
 
 
 def ingest(items: DataFrame, page_infos: DataFrame, options: IngestOptions = IngestOptions(), *, lines: DataFrame | None = None, attempts: DataFrame | None = None) -> Ingested:  # noqa: B008
-    """Items, page sizes and (for repair) recognised lines and attempts to blocks, detections, report and warnings. Everything stays lazy."""
+    """Items, page sizes and (for repair) recognised lines and attempts to blocks, detections, report and warnings.
+
+    Merged items, page statistics and final blocks, which several steps read,
+    are written on the way; the rest stays lazy.
+    """
     documents = page_infos.select("document_id").distinct()
-    merged = merge.merge_passes(items)
-    page_stats = stats.page_stats(merged, page_infos)
+    merged = written(merge.merge_passes(items))
+    page_stats = written(stats.page_stats(merged, page_infos))
     native = B.native_blocks(merged, page_infos)
     noted = merge.parser_warnings(items, merged, documents).withColumn("ord", F.lit(0).cast("long"))
     if options.enable_ocr_repair:
@@ -37,7 +42,7 @@ def ingest(items: DataFrame, page_infos: DataFrame, options: IngestOptions = Ing
             noted = noted.unionByName(triggers.cap_warnings(triggered, options).withColumn("ord", F.lit(1).cast("long")))
             noted = noted.unionByName(ocr.failed_pages(attempts, taken).withColumn("ord", F.lit(2).cast("long")))
             native = ocr.merge_blocks(native, ocr.ocr_blocks(lines, attempts, page_infos, taken))
-    kept = B.dedupe(native)
+    kept = written(B.dedupe(native))
     detections = stats.classify(page_stats)
     report = quality.quality_report(kept, detections)
     of_pages = report.select("document_id", F.posexplode("warnings").alias("ord", "warning")).select("document_id", "warning", (F.col("ord") + 10).cast("long").alias("ord"))
