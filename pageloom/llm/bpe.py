@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.llm.store import short_batches
 from pageloom.llm.words import row_groups
 
 TOKENIZER = "word_bpe_49k.json"
@@ -231,6 +232,7 @@ def encode_decode(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",),
     """Per row: the columns in keep, ids (array of int) and decoded (string). path: the tokenizer's file on each machine."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    short_batches(documents.sparkSession)
     source = documents.select(*keep, F.col(text_col).alias("__text"))
     schema = T.StructType([*(source.schema[x] for x in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     fields = to_arrow_schema(schema)

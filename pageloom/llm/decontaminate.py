@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.llm.store import Scratch, short_batches
 from pageloom.llm.words import ALNUM, Words, grams, row_groups, utf8, words
 
 WINDOW, K = 10, 5
@@ -168,6 +169,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, keep: tuple[str
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = documents.sparkSession
+    short_batches(spark)
     found = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def one(source: DataFrame, items: list[tuple[str, str]], names: list[str]) -> DataFrame:
@@ -181,8 +183,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, keep: tuple[str
     first, second = next(every, []), next(every, None)
     if second is None:
         return one(documents, first, list(keep))
-    from pageloom.llm.store import Scratch
-
     numbered = Scratch(spark, "decontaminate").keep(documents.select(*keep, text_col).withColumn("__row", F.monotonically_increasing_id()), "rows")
     narrow = ["__row"]
     parts = one(numbered, first, narrow)

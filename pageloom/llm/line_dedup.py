@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import Scratch
+from pageloom.llm.store import Scratch, short_batches
 from pageloom.llm.words import grams, row_groups, utf8, words
 
 AVERAGE_LINES = 3
@@ -116,6 +116,7 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = documents.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "lines")
     id_type = documents.schema[id_col].dataType
     key = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]

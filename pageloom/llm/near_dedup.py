@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import Scratch
+from pageloom.llm.store import Scratch, short_batches
 from pageloom.llm.words import NONSPACE, grams, mix, row_groups, utf8, words
 
 SKETCH, SHARED, WHOLE, OVERLAPS = 64, 32, 51, 4
@@ -198,6 +198,7 @@ def near_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = documents.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "near")
     keep, hold = scratch.keep, scratch.hold
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm.crf import Crf, Tokens
+from pageloom.llm.store import short_batches
 from pageloom.llm.words import row_groups, utf8
 
 Span = tuple[int, int, str]
@@ -182,6 +183,7 @@ def _scan(batches: Iterator[pa.RecordBatch], crf: Crf, base: Callable[[str], lis
 def scan(documents: DataFrame, crf: Crf, base: Callable[[str], list[Span]], *, least: int, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    short_batches(documents.sparkSession)
     source = documents.select(*keep, F.col(text_col).alias("__text"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("base", T.BooleanType())])
     schema = T.StructType([*(source.schema[x] for x in keep), T.StructField("spans", T.ArrayType(span))])

@@ -9,6 +9,17 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to Python at once. Texts may be long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests, one machine), a local temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.store import Scratch
+from pageloom.llm.store import Scratch, short_batches
 
 DATE = "2000-01-01T00:00:00Z"
 ARCHIVE_BYTES = 4 << 20
@@ -142,6 +142,7 @@ def classify(pages: DataFrame, scratch: Scratch, *, id_col: str = "page_id", url
 
 def write_archives(classified: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Rows `archive`: gzip members one after the other, each row a whole .warc.gz."""
+    short_batches(classified.sparkSession)
     return classified.mapInArrow(lambda it: _write(it, archive_bytes), "archive binary")
 
 
