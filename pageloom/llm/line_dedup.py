@@ -7,6 +7,14 @@ that occurs more than once anywhere, the first occurrence (least id, then text
 hash and place) stays, the others are removed, once all bytes under its 128-bit
 key have been compared.
 
+Chunks alone miss short shared passages, the edges of long ones and chunks of
+one line. With whole_runs (op4 and the pipeline) each two lines in succession
+that aren't both in one removed chunk are then compared the same way, so every
+repeated run of two or more lines is found at its whole length: a line goes if
+it and the line before or after it occur in succession earlier. The earliest
+occurrence of a line always stays. Lines of no bytes don't count here. Where a
+pair overlaps its first occurrence (three equal lines), that occurrence stays.
+
 Scale: keys of chunks are aggregated without their texts; only texts of
 repeated chunks are grouped to compare them, with partial aggregation, so a
 chunk that a third of all rows share costs a row per task. Tables that go to
@@ -84,25 +92,66 @@ def _keys(batches: Iterator[pa.RecordBatch], fields: pa.Schema, with_text: bool)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
 
 
+def _gone_lines(gone: pa.Array, row: np.ndarray, lines: np.ndarray, n_rows: int) -> np.ndarray:
+    """Per line: is it in a chunk of these places?"""
+    first = np.searchsorted(row, np.arange(n_rows + 1))
+    drop = np.zeros(len(row), dtype=bool)
+    for i, places in enumerate(gone.to_pylist()):
+        if places:
+            drop[first[i] + np.array(places)] = True
+    return np.repeat(drop, lines)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], fields: pa.Schema, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Each two lines in succession that aren't both in one removed chunk; with texts only those at the places __at."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("__text"))
+        for a, b in row_groups(offsets):
+            own = offsets[a : b + 1]
+            w = words(data, own, IN_LINE)
+            row = np.repeat(np.arange(b - a), np.diff(w.first))
+            if with_text:
+                at = [int(w.first[i]) + p for i, places in enumerate(batch.column("__at").slice(a, b - a).to_pylist()) for p in places]
+                at = np.array(at, np.int64)
+            else:
+                chunk_row, lines, _, _ = chunks(data, own)
+                gone = _gone_lines(batch.column("__gone").slice(a, b - a), chunk_row, lines, b - a)
+                chunk = np.repeat(np.arange(len(lines)), lines)
+                at = np.flatnonzero((row[1:] == row[:-1]) & ~((chunk[1:] == chunk[:-1]) & gone[1:]))
+            view = memoryview(data)
+            bounds = zip(w.start[at].tolist(), w.end[at].tolist(), w.start[at + 1].tolist(), w.end[at + 1].tolist(), strict=True) if len(at) else ()
+            texts = [view[s:f] if t == e + 1 else view[s:e].tobytes() + b"\n" + view[t:f].tobytes() for s, e, t, f in bounds]
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in texts), ">i8").reshape(-1, 2).astype(np.int64)
+            out = [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            if with_text:
+                out.append(pa.array([bytes(x) for x in texts], pa.binary()))
+            else:
+                take = pa.array(row[at] + a)
+                out += [batch.column("__id").take(take), batch.column("__th").take(take), pa.array((at - w.first[row[at]]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], fields: pa.Schema, text_at: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("__text"))
         for a, b in row_groups(offsets):
-            part = batch.slice(a, b - a)
-            row, lines, start, end = chunks(data, offsets[a : b + 1])
-            first = np.searchsorted(row, np.arange(b - a + 1))
-            texts, n_lines, n_removed = [], np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-            np.add.at(n_lines, row, lines)
-            for i, (text, gone) in enumerate(zip(part.column("__text"), part.column("__gone").to_pylist(), strict=True)):
-                if gone:
-                    drop = set(gone)
-                    mine = range(first[i], first[i + 1])
-                    n_removed[i] = sum(int(lines[j]) for k, j in enumerate(mine) if k in drop)
-                    kept = b"".join(data[start[j] : end[j]].tobytes() for k, j in enumerate(mine) if k not in drop)
-                    texts.append(kept.decode().rstrip("\n") if len(mine) - 1 in drop else kept.decode())
+            part, own = batch.slice(a, b - a), offsets[a : b + 1]
+            row, lines, _, _ = chunks(data, own)
+            drop = _gone_lines(part.column("__gone"), row, lines, b - a)
+            w = words(data, own, IN_LINE)
+            texts, n_removed = [], np.zeros(b - a, np.int64)
+            for i, (text, pairs) in enumerate(zip(part.column("__text"), part.column("__runs").to_pylist(), strict=True)):
+                x, y = int(w.first[i]), int(w.first[i + 1])
+                for code in pairs or ():  # twice the place, and one more where the first line stays
+                    drop[x + code // 2 + code % 2 : x + code // 2 + 2] = True
+                n_removed[i] = drop[x:y].sum()
+                if n_removed[i]:
+                    start = [int(own[i]), *w.start[x + 1 : y].tolist(), int(own[i + 1])]
+                    kept = b"".join(data[start[j] : start[j + 1]].tobytes() for j in np.flatnonzero(~drop[x:y]).tolist())
+                    texts.append(kept.decode().rstrip("\n") if drop[y - 1] else kept.decode())
                 else:
                     texts.append(text.as_py())
-            made = {text_at: pa.array(texts, fields.field(text_at).type), "n_lines": pa.array(n_lines), "n_removed": pa.array(n_removed)}
+            made = {text_at: pa.array(texts, fields.field(text_at).type), "n_lines": pa.array(np.diff(w.first).astype(np.int64)), "n_removed": pa.array(n_removed)}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in fields], schema=fields)
 
 
@@ -111,8 +160,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with repeated chunks removed from their text, and n_lines and n_removed (lines)."""
+def _with(rows: DataFrame, id_col: str, table: DataFrame, how: str) -> DataFrame:
+    """The rows with the columns that the table has for their id and text hash."""
+    right = _small(table.withColumnsRenamed({"__id": "__i", "__th": "__t"}))
+    return rows.join(right, rows[id_col].eqNullSafe(right["__i"]) & (rows["__th"] == right["__t"]), how).drop("__i", "__t")
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    return found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__th", "place")).alias("first")).where("n > 1")
+
+
+def _equal(repeated: DataFrame, texts: DataFrame) -> DataFrame:
+    """The repeated keys under which all bytes are equal."""
+    compared = texts.groupBy("k1", "k2", "chunk").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("kinds")).where("kinds = 1")
+    return repeated.join(compared.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "first")
+
+
+def _later(found: DataFrame, equal: DataFrame) -> DataFrame:
+    return found.join(_small(equal), ["k1", "k2"]).where(~F.struct("__id", "__th", "place").eqNullSafe(F.col("first")))
+
+
+def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
+    """The documents with repeated chunks (and with whole_runs all repeated runs of lines) removed from their text, and n_lines and n_removed (lines)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = documents.sparkSession
@@ -126,20 +195,32 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     place_fields, text_fields = to_arrow_schema(place), to_arrow_schema(with_text)
     found = scratch.hold(narrow.mapInArrow(lambda it: _keys(it, place_fields, False), place), "places")
-    repeated = scratch.hold(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__th", "place")).alias("first")).where("n > 1"), "repeated")
+    repeated = scratch.hold(_repeated(found), "repeated")
     texts = narrow.select("__text").mapInArrow(lambda it: _keys(it, text_fields, True), with_text).join(_small(repeated.select("k1", "k2")), ["k1", "k2"])
-    compared = texts.groupBy("k1", "k2", "chunk").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("kinds")).where("kinds = 1")
-    equal = scratch.hold(repeated.join(compared.select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "first"), "equal")
-    later = found.join(_small(equal), ["k1", "k2"]).where(~F.struct("__id", "__th", "place").eqNullSafe(F.col("first")))
-    gone = scratch.keep(later.groupBy("__id", "__th").agg(F.collect_set("place").alias("__gone")), "gone")
+    equal = scratch.hold(_equal(repeated, texts), "equal")
+    gone = scratch.keep(_later(found, equal).groupBy("__id", "__th").agg(F.collect_set("place").alias("__gone")), "gone")
     scratch.drop("places", "repeated", "equal")
-    right = _small(gone.withColumnsRenamed({"__id": "__i", "__th": "__t"}))
+    removed = gone.withColumn("__runs", F.lit(None).cast("array<int>"))
+
+    if whole_runs:  # what the chunks' edges and chunks of one line leave, by each two lines in succession
+        pairs = scratch.hold(_with(narrow, "__id", gone, "left").mapInArrow(lambda it: _pairs(it, place_fields, False), place), "pairs")
+        repeated = scratch.hold(_repeated(pairs), "repeated-pairs")
+        at = scratch.keep(pairs.join(_small(repeated.select("k1", "k2")), ["k1", "k2"]).groupBy("__id", "__th").agg(F.collect_set("place").alias("__at")), "at")
+        texts = _with(narrow, "__id", at, "inner").select("__text", "__at").mapInArrow(lambda it: _pairs(it, text_fields, True), with_text)
+        equal = scratch.hold(_equal(repeated, texts), "equal-pairs")
+        overlaps = F.struct("__id", "__th", F.col("place") - 1).eqNullSafe(F.col("first"))  # the first occurrence's second line stays
+        codes = _later(pairs, equal).withColumn("code", 2 * F.col("place") + overlaps.cast("int"))
+        runs = codes.groupBy("__id", "__th").agg(F.collect_set("code").alias("__runs"))
+        both = removed.unionByName(runs.withColumn("__gone", F.lit(None).cast("array<int>")))
+        removed = scratch.keep(both.groupBy("__id", "__th").agg(F.first("__gone", True).alias("__gone"), F.first("__runs", True).alias("__runs")), "removed")
+        scratch.drop("pairs", "repeated-pairs", "at", "equal-pairs", "gone")
+
     joined = documents.withColumnsRenamed({text_col: "__text"}).withColumn("__th", F.xxhash64("__text"))
-    joined = joined.join(right, joined[id_col].eqNullSafe(right["__i"]) & (joined["__th"] == right["__t"]), "left").drop("__i", "__t", "__th")
+    joined = _with(joined, id_col, removed, "left").drop("__th")
     schema = T.StructType([*documents.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     fields = to_arrow_schema(schema)
     return joined.mapInArrow(lambda it: _cut(it, fields, text_col), schema)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), whole_runs=True)

@@ -90,3 +90,40 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert len(L.chunks(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]) == 0
+
+
+def by_pairs(docs):
+    """Which lines stay by the rule of pairs."""
+    lines = {d: [x for x in (t or "").split("\n") if x] for d, t in docs}
+    first = {}
+    for d in sorted(lines):
+        for p in range(len(lines[d]) - 1):
+            first.setdefault((lines[d][p], lines[d][p + 1]), (d, p))
+    out = {}
+    for d, own in lines.items():
+        drop = set()
+        for p in range(len(own) - 1):
+            f = first[own[p], own[p + 1]]
+            if f != (d, p):
+                drop |= {p + 1} if f == (d, p - 1) else {p, p + 1}
+        out[d] = [x for p, x in enumerate(own) if p not in drop]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [400_000, -1])
+def test_every_repeated_run_of_two_lines_goes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", broadcast)
+    r = random.Random(4)
+    passages = {n: [f"passage {n} {k} " + line(r) for k in range(n)] for n in (2, 3, 4, 5, 6, 10)}
+    own = lambda i, k: [f"own {i} {k} {j} " + line(r) for j in range(r.randint(1, 4))]
+    docs = [(100 * n + i, "\n".join(own(100 * n + i, 0) + p + own(100 * n + i, 1))) for n, p in passages.items() for i in range(6)]
+    docs += [(5000, docs[0][1]), (5001, docs[20][1]), (5002, "x\n" * 5), (5003, "a\n\n" + "\n".join(passages[3])), (5004, "\n".join(passages[2] + passages[6])), (5005, None), (5006, "one")]
+    docs += [(6000 + d, "\n".join((t or "").split("\n") * 2)) for d, t in corpus() if d is not None and d < 30]
+    got = {x.doc_id: x for x in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), whole_runs=True).collect()}
+    want = by_pairs(docs)
+    for d, t in docs:
+        assert [x for x in (got[d].text or "").split("\n") if x] == want[d], d
+        assert got[d].n_lines - got[d].n_removed == len(want[d])
+    for n, p in passages.items():
+        assert sum(x in (got[100 * n + i].text) for i in range(6) for x in p) == n
+    assert got[5000].text == "" and got[5001].text == "" and got[5002].text == "x\nx" and got[5003].text == "a" and got[5004].text == ""
