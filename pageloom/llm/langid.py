@@ -6,9 +6,13 @@ of each language with the least hash of their id, texts whole. The models of
 all languages share sorted arrays of n-grams with a row of log probabilities
 per language, so a text's n-grams are looked up once. The language with the
 least cross-entropy per character wins. A fifth of the sample is held back to
-calibrate: the temperature of the score, and per language the mean and spread
-of the cross-entropy of its own texts; a text further off than REJECT_AT
-spreads is rejected.
+calibrate: the temperature of the score, and per language and length of BANDS
+the median and spread (from the median absolute deviation) of the cross-entropy
+of pieces of its own texts; a text further off than REJECT_AT spreads for its
+length is rejected. Of each text at most PIECES pieces count, and neither
+measure is moved by odd texts as long as these are well under half. Texts longer
+than the last of BANDS are held to its limit, so that parts unlike the language
+are allowed in them; shorter ones than the first to its spread, scaled.
 
 Scale: sampling ranks narrow columns with a per-task limit before the shuffle;
 the model is bounded by SAMPLE; prediction is one narrow pass over the texts.
@@ -34,6 +38,7 @@ from pageloom.llm.store import short_batches
 from pageloom.llm.words import row_groups, utf8
 
 ORDER, SAMPLE, REJECT_AT, UND = 4, 400, 8.0, "und"
+BANDS, PIECES = (8, 16, 32), 16
 
 
 @cache
@@ -165,16 +170,31 @@ class Mixture:
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language the sum of log probabilities; per text the number of symbols."""
-        s, first = symbols(texts)
-        n = np.maximum(np.diff(first) - (ORDER - 1), 0)
+        logs, n = self.by_symbol(texts)
         out = np.zeros((len(texts), len(self.langs)))
-        if len(s):
-            grams, inverse = np.unique(codes(s, ORDER)[_ends(s, first)], return_inverse=True)
+        if len(logs):
             has = np.flatnonzero(n)
             starts = np.concatenate([[0], np.cumsum(n[has])])[:-1]
-            out[has] = np.add.reduceat(self.log_prob(grams)[inverse].astype(np.float64), starts, axis=0)
+            out[has] = np.add.reduceat(logs, starts, axis=0)
         return out, n
 
+    def by_symbol(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities per symbol of all texts and language; per text the number of symbols."""
+        s, first = symbols(texts)
+        n = np.maximum(np.diff(first) - (ORDER - 1), 0)
+        if not len(s):
+            return np.zeros((0, len(self.langs))), n
+        grams, inverse = np.unique(codes(s, ORDER)[_ends(s, first)], return_inverse=True)
+        return self.log_prob(grams)[inverse].astype(np.float64), n
+
+
+def pieces(logs: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Cross-entropies per symbol of pieces of `size` symbols, at most PIECES spread over each text."""
+    sums = np.concatenate([[0.0], np.cumsum(logs)])
+    starts = [a + np.linspace(0, k - size, min(PIECES, k // size)).astype(np.int64) for a, k in zip(np.cumsum(n) - n, n.tolist(), strict=True) if k >= size]
+    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return (sums[at] - sums[at + size]) / size
+
 
 class Identifier:
     """A mixture with the calibration of scores and rejection."""
@@ -186,14 +206,18 @@ class Identifier:
             return
         held = {k: v[::5] if len(v) >= 10 else v for k, v in samples.items()}
         part = Mixture({k: KneserNey([x for i, x in enumerate(v) if i % 5] if len(v) >= 10 else v) for k, v in samples.items()})
-        self.mean, self.spread = np.zeros(len(self.langs)), np.zeros(len(self.langs))
+        self.middle, self.spread = np.zeros((len(self.langs), len(BANDS))), np.zeros((len(self.langs), len(BANDS)))
         margins = []
         for j, lang in enumerate(self.langs):
             sums, n = part.totals(held[lang])
-            entropy = -sums[:, j] / n
-            weight = np.sqrt(n)
-            self.mean[j] = np.average(entropy, weights=n)
-            self.spread[j] = max(np.sqrt(np.average((entropy - self.mean[j]) ** 2 * n, weights=weight)), 1.0)  # of one symbol
+            logs, _ = part.by_symbol(held[lang])
+            middle, spread = np.median(-sums[:, j] / n), 1.0
+            for k, size in enumerate(BANDS):
+                entropy = pieces(logs[:, j], n, size)
+                if len(entropy):
+                    middle = np.median(entropy)
+                    spread = max(1.4826 * np.median(np.abs(entropy - middle)) * np.sqrt(size), 1.0)  # of one symbol
+                self.middle[j, k], self.spread[j, k] = middle, spread
             others = np.delete(sums, j, 1)
             margins.append(sums[:, j] - (others.max(1) if others.shape[1] else sums[:, j] - 50.0))
         margin = np.concatenate(margins)
@@ -201,6 +225,14 @@ class Identifier:
         self.heat = float(grid[np.argmin([np.logaddexp(0, -margin / t).mean() for t in grid])])
         self.mixture = Mixture({k: KneserNey(v) for k, v in samples.items()})
 
+    def limit(self, lang: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The most cross-entropy per symbol of texts of these languages (by number) and sizes."""
+        at = np.interp(np.log2(size), np.log2(BANDS), np.arange(len(BANDS)))
+        low = at.astype(np.int64)
+        high, share = np.minimum(low + 1, len(BANDS) - 1), at - low
+        between = lambda x: x[lang, low] * (1 - share) + x[lang, high] * share
+        return between(self.middle) + self.reject_at * between(self.spread) / np.sqrt(np.minimum(size, BANDS[-1]))
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy per symbol (nats), rejected."""
         if not self.langs:
@@ -211,7 +243,7 @@ class Identifier:
         top = sums[np.arange(len(texts)), best]
         score = np.where(n > 0, 1.0 / np.exp((sums - top[:, None]) / self.heat).sum(1), 0.0)
         entropy = -top / size
-        rejected = (n == 0) | ((entropy - self.mean[best]) * np.sqrt(np.minimum(size, 64)) > self.reject_at * self.spread[best])
+        rejected = (n == 0) | (entropy > self.limit(best, size))
         return [self.langs[b] if k else UND for b, k in zip(best.tolist(), n.tolist(), strict=True)], score, entropy, rejected
 
 

@@ -90,3 +90,20 @@ def test_held_out_accuracy(spark):
     got = L.op8_langid(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     right, total = got.agg(F.count(F.when(F.col("lang") == F.col("lang_pred"), 1)), F.count("*")).first()
     assert right / total > 0.98
+
+
+def test_odd_texts_do_not_loosen_rejection():
+    r = random.Random(5)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    stems = {k: [pick(v, r.randint(3, 8)) for _ in range(150)] for k, v in {"aa": "aeioumnltk", "bb": "abcdefghiklmnoprstuwz"}.items()}
+    text = lambda k, n: " ".join(r.choice(stems[k]) for _ in range(n))
+    samples = {k: [text(k, r.randint(5, 400)) for _ in range(100)] for k in stems}
+    odd = ["".join(chr(r.randint(0x430, 0x44F)) for _ in range(30000)), pick("abcdefghijklmnopqrstuvwxyz", 50000)]
+    for k in stems:
+        samples[k][15], samples[k][60] = odd  # both held back
+    model = L.Identifier(samples)
+    own = [text(k, n) for k in stems for n in (3, 10, 50, 1000) for _ in range(50)]
+    assert not model.predict(own)[3].any()
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    other = [pick(x, n) for x in ("абвгдежзиклмнопрстуфхцчш", "αβγδεζηθικλμνξοπρστυφχψω", "你好世界文字", "abcdefghijklmnopqrstuvwxyz", base64) for n in (64, 300, 5000)]
+    assert model.predict(other)[3].all()
