@@ -1,10 +1,10 @@
 """The corpus pipeline: each stage takes what the one before it kept.
 
 Every stage but the last returns the columns of documents. Texts without a
-recognised language go; repeated chunks of lines are cut out, and a document
-goes if nothing of it is left; of each group of near-duplicates the document
-with the least id stays; documents that hold a benchmark passage go; what
-remains is encoded.
+recognised language go; repeated runs of lines are cut out, and a document
+goes if nothing of it is left, as of every later copy of two lines or more; of
+each group of near-duplicates the document with the least id stays; documents
+that hold a benchmark passage go; what remains is encoded.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs).where("n_lines = 0 or n_removed < n_lines")
+    cut = line_dedup.dedup_lines(docs, whole_runs=True).where("n_lines = 0 or n_removed < n_lines")
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -53,3 +53,23 @@ def test_decisions_take_effect(spark, tmp_path):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "bpe"]
     assert corpus_pipeline.ORACLE_SQL is None and os.path.isdir(DIR) and duckdb is not None
+
+
+def test_exact_copies_of_many_lines_leave_no_fragments(spark, tmp_path):
+    words = lambda i, n: " ".join(f"w{(i * 7919 + k * 31) % 100003}q" for k in range(n))
+    first = {i: [words(100 * i + j, 12) if j % 3 else f"short{i}x{j}y" for j in range(12)] for i in range(8)}
+    texts = {i: "\n".join(x) for i, x in first.items()}
+    texts |= {20 + i: "\n".join(x) for i, x in first.items()}  # exact
+    texts |= {40 + i: "\n".join([*x[:4], x[4] + " changed", *x[5:], "one line more"]) for i, x in first.items()}  # near
+    texts |= {60: "\n".join([*first[0][:4], *(words(9000 + j, 20) for j in range(6))])}  # a shared passage only
+    docs = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    cut = corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path))
+    cut.write.parquet(str(tmp_path / "cut"))
+    cut = spark.read.parquet(str(tmp_path / "cut"))
+    assert {r.doc_id for r in cut.collect()} & set(range(20, 28)) == set()
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_dedup_stage(spark, cut, str(tmp_path)).collect()}
+    assert set(left) == set(range(8)) | set(range(40, 48)) | {60}
+    assert all(left[40 + i] == x[4] + " changed\none line more" for i, x in first.items())  # what no other document holds
+    assert all(left[i] == texts[i] for i in range(8)) and left[60] == "\n".join(texts[60].split("\n")[4:])
