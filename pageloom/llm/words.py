@@ -13,11 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 MASK64 = (1 << 64) - 1
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PI, _QI = pow(_P, -1, 1 << 64), pow(_Q, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
+#: Words of more bytes are hashed by xxh3 where equal hashes should mean equal words: sums of powers modulo 2**64 can be made to agree on them.
+LONG_WORD = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,8 +111,8 @@ def _piece(data: np.ndarray, lo: int, hi: int, breaks: np.ndarray, kind: np.ndar
     return starts + lo, ends + lo, mix(h + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
-    """Words of the rows between the offsets; long rows are read in pieces cut between words."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, *, sound: bool = False) -> Words:
+    """Words of the rows between the offsets; long rows are read in pieces cut between words. sound: xxh3 for LONG_WORDs."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     out: list[tuple[np.ndarray, ...]] = []
     while lo < hi:
@@ -123,6 +126,9 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
         out.append(_piece(data, lo, cut, offsets, kind))
         lo = cut
     start, end, h = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if sound:
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(_LOWER[data[start[i] : end[i]]].tobytes())
     return Words(data, start, end, h, np.searchsorted(start, offsets))
 
 

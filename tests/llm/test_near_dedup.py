@@ -4,6 +4,7 @@ import re
 import pytest
 
 from pageloom.llm import near_dedup as N
+from pageloom.llm import store
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,7 +61,7 @@ def test_against_brute_force(spark, monkeypatch, short, block):
 
 
 def test_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(N, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
     docs = families(6)[:60]
     got = N.near_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs)
