@@ -31,11 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    gone = Scratch(spark, "gone").keep(gone, "ids")
-    if gone.count() <= near_dedup.BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return near_dedup.one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
