@@ -10,10 +10,13 @@ the links give the groups.
 Candidates without quadratic lists. Two sets of similarity 0.8 share at least
 half of their retained values, but for a chance of about 1e-8 at 64 of them
 (whole sets of up to `whole` shingles: surely 4/5 of them); with sketch=None
-whole sets are retained, and nothing is left to chance. So with all values
-ordered by how many classes retain them, rarest first, two such sketches share
-at least OVERLAPS values among the first `retained - shared + OVERLAPS` of each;
-only these are indexed, and common shingles hardly ever are.
+whole sets are retained, and nothing is left to chance. So with all values in
+one order, two such sketches share at least OVERLAPS values among the first
+`retained - shared + OVERLAPS` of each; only these are indexed. The order is by
+how often values are retained, rarest first, so that common shingles hardly ever
+are: counted over all classes in COUNTERS counters, which go to the executors as
+a byte each (their logarithm), whatever the size of the corpus. Values that fall
+into one counter count together; that makes lists longer, never misses a pair.
   1. In each list every member of a fitting size is compared with the least one
      (a pair a row); of three members the other two as well.
   2. Members of longer but still short lists that aren't connected yet are
@@ -49,10 +52,12 @@ error. Texts of any length are read whole. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +70,10 @@ SKETCH, OVERLAPS = 64, 4
 SHORT_LIST, BLOCK, COLUMNS, PARTNERS = 16, 8192, 1024, 64
 #: Rows and shingles of whole sets that one block of the last comparison holds; rows compared at once.
 BLOCK_TEXTS, BLOCK_SHINGLES, TILE = 2048, 2_000_000, 1024
+#: Classes' numbers end in their size band: bands are a factor of STEP wide, fitting sizes at most APART bands apart.
+BANDS, STEP, APART = 128, 1.15, 2
+#: Counters of retained values, a byte each for the executors; parts that are summed by themselves.
+COUNTERS, PART, SHIFT = 1 << 23, 1 << 17, np.uint32(9)
 RESULT = ("n_shingles", "component_id", "kept")
 SIGNATURE = ("s0", "s1", "s2", "s3")
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -141,6 +150,57 @@ def fitting(a, b):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def band(n: Column) -> Column:
+    """Sizes of fitting sets lie at most APART bands apart."""
+    return F.least(F.floor(F.ln(n.cast("double")) / F.ln(F.lit(STEP))), F.lit(BANDS - 1))
+
+
+def _keys(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The retained values of all rows as 32 bits; values of a set that clash count as one. Their rows."""
+    sizes = pc.list_value_length(sketches).to_numpy(zero_copy_only=False)
+    return (mix(sketches.flatten().to_numpy().view(np.uint64)) >> np.uint64(32)).astype(np.uint32), np.repeat(np.arange(len(sketches)), sizes)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often values are retained, in COUNTERS counters by the values' first bits, dealt in parts."""
+    counts = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        keys, _ = _keys(batch.column(0))
+        at, n = np.unique(keys >> SHIFT, return_counts=True)
+        counts[at] += n.astype(np.uint32)
+    for part in range(COUNTERS // PART):
+        own = counts[part * PART : (part + 1) * PART]
+        if own.any():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["part", "counts"])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """A part's sums, by their logarithm: a byte a counter."""
+    total = np.zeros(PART, np.uint64)
+    for counts in table.column("counts"):
+        total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
+    level = np.minimum(np.round(4 * np.log2(total + 1.0)), 255).astype(np.uint8)
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([level.tobytes()], pa.binary())})
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], levels: np.ndarray, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Of each class the values to index: the rarest by their counters, as many as any similar sketch must share OVERLAPS of."""
+    for batch in batches:
+        keys, row = _keys(batch.column("sketch"))
+        n = batch.column("n").to_numpy().astype(np.int64)
+        order = np.lexsort((keys, levels[keys >> SHIFT], row))
+        keys, row = keys[order], row[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+        keys, row = keys[new], row[new]
+        shared = limits.shared_of(n)
+        take = limits.retained_of(n) - shared + np.minimum(OVERLAPS, shared)
+        use = np.arange(len(keys)) - np.searchsorted(row, row) < take[row]
+        offsets = np.searchsorted(row[use], np.arange(batch.num_rows + 1)).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[use].view(np.int32)))
+        yield pa.record_batch([batch.column("c"), batch.column("n"), values], ["c", "n", "values"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows a, part, b, text sorted by these, where b is null in the row with the text of a: the pairs that are similar."""
     mine, own, own_set = None, np.zeros(0, np.int64), set()
@@ -362,32 +422,31 @@ def _find(rows: DataFrame, scratch: Scratch, limits: Limits) -> Found:
     # one row for each distinct set
     first = [F.first(x).alias(x) for x in ("n", *SIGNATURE, "sketch")]
     classes = wide.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("of"), *first)
-    classes = keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    # the last digits of a class's number tell its size
+    classes = keep(classes.withColumn("c", F.monotonically_increasing_id() * BANDS + band(F.col("n"))), "classes")
     sets = keep(wide.select("id", "th", "n", "f1", "f2"), "sets")
     scratch.drop("wide")
 
     # the rarest retained values of each, by list
-    # by 32 bits; values of one set that clash count as shared by nobody, values of several sets as candidates more
-    keys = classes.select("c", "n", F.size("sketch").alias("k"), F.array_distinct(F.transform("sketch", lambda x: F.hash(x))).alias("keys"))
-    retained = keys.select("c", "n", (F.col("k") - F.size("keys")).alias("clashes"), F.explode("keys").alias("v"))
-    common = keep(retained.groupBy("v").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "common")
-    n = F.col("n")
-    several = F.least(F.lit(OVERLAPS), limits.shared(n))
-    ordered = retained.join(small(common), "v").groupBy("c", "n", "clashes").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
-    take = F.greatest(F.lit(0), F.size("values") + F.col("clashes") - limits.shared(n) + several)
-    indexed = keep(ordered.select("c", "n", F.slice("values.v", F.lit(1), take).alias("values")).where("size(values) > 0"), "indexed")
+    rarity = keep(classes.select("sketch").mapInArrow(_count, "part int, counts binary"), "rarity").groupBy("part").applyInArrow(_total, "part int, counts binary")
+    levels = np.zeros(COUNTERS, np.uint8)
+    for part in rarity.toLocalIterator():  # COUNTERS bytes in all
+        levels[part.part * PART : (part.part + 1) * PART] = np.frombuffer(part.counts, np.uint8)
+    levels = rows.sparkSession.sparkContext.broadcast(levels)
+    index_schema = "c bigint, n int, values array<int>"
+    indexed = keep(classes.select("c", "n", "sketch").mapInArrow(lambda it: _rarest(it, levels.value, limits), index_schema), "indexed")
     lists = indexed.select("c", "n", F.explode("values").alias("v"))
-    member = F.struct("c", "n")
-    heads = keep(lists.groupBy("v").agg(F.count("*").cast("int").alias("size"), F.min(member).alias("head"), F.max(member).alias("tail")).where("size > 1"), "heads")
-    listed = keep(lists.join(small(heads), "v"), "listed")
-    scratch.drop("common", "heads")
+    heads = lists.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("head"), F.max("c").alias("tail")).where("size > 1")
+    heads = keep(heads, "heads")
+    listed = keep(lists.join(heads, "v"), "listed")
+    scratch.drop("rarity", "heads")
 
-    signed = lambda x: classes.select(F.col("c").alias(x), *(F.col(s).alias(f"{s}_{x}") for s in SIGNATURE))
+    signed = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in SIGNATURE))
 
     def estimated(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs a, b (with n_a, n_b) that signatures and then sketches don't exclude."""
+        """Pairs a, b that sizes, signatures and then sketches don't exclude."""
         differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SIGNATURE), F.lit(0))
-        near = pairs.join(signed("a"), "a").join(signed("b"), "b").where(differ <= limits.flips(F.col("n_a"), F.col("n_b")))
+        near = pairs.join(signed("a"), "a").join(signed("b"), "b").where(fitting(F.col("n_a"), F.col("n_b")) & (differ <= limits.flips(F.col("n_a"), F.col("n_b"))))
         near = keep(near.select("a", "b", "n_a", "n_b"), f"{name}-near")
         ends = small(keep(near.select(F.col("a").alias("c")).union(near.select("b")).distinct(), f"{name}-ends"))
         sketches = keep(classes.select("c", "sketch").join(ends, "c"), f"{name}-sketches")
@@ -423,10 +482,10 @@ def _find(rows: DataFrame, scratch: Scratch, limits: Limits) -> Found:
     asked: list[DataFrame] = []
 
     # 1: with the least member of each list; lists of up to three members are done by that
-    both = lambda a, b, when: F.when(when & fitting(a["n"], b["n"]), F.struct(a["c"].alias("a"), b["c"].alias("b"), a["n"].alias("n_a"), b["n"].alias("n_b")))
-    own, head, tail = F.struct("c", "n"), F.col("head"), F.col("tail")
-    with_head = both(head, own, F.col("c") != head["c"])
-    with_tail = both(own, tail, (F.col("size") == 3) & (F.col("c") != tail["c"]) & (F.col("c") != head["c"]))
+    both = lambda a, b, when: F.when(when & (F.abs(a % BANDS - b % BANDS) <= APART), F.struct(a.alias("a"), b.alias("b")))
+    own, head, tail = F.col("c"), F.col("head"), F.col("tail")
+    with_head = both(head, own, own != head)
+    with_tail = both(own, tail, (F.col("size") == 3) & (own != tail) & (own != head))
     pairs = listed.select(F.explode(F.filter(F.array(with_head, with_tail), lambda x: x.isNotNull())).alias("p")).select("p.*").distinct()
     links = verified(estimated(hold(pairs, "first-raw"), "first"), "first")
     scratch.drop("first-raw")
@@ -447,7 +506,7 @@ def _find(rows: DataFrame, scratch: Scratch, limits: Limits) -> Found:
     later = lambda x: F.filter("ms", lambda y: (y["c"] > x["c"]) & (y["part"] != x["part"]) & fitting(x["n"], y["n"]))
     pairs = F.flatten(F.transform("ms", lambda x: F.transform(later(x), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"), F.least(x["in_long"], y["in_long"]).alias("in_long")))))
     ell = F.least(F.lit(OVERLAPS), limits.shared(F.least("n_a", "n_b")))
-    second = members.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "n_a", "n_b", "in_long").agg(F.count("*").alias("k")).where(F.col("k") + F.col("in_long") >= ell).drop("k", "in_long")
+    second = members.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "n_a", "n_b", "in_long").agg(F.count("*").alias("k")).where(F.col("k") + F.col("in_long") >= ell).select("a", "b")
     more = verified(estimated(hold(second, "second-raw"), "second"), "second")
     scratch.drop("second-raw", "in-long")
 
