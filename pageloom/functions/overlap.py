@@ -1,13 +1,17 @@
-"""Greedy text overlap: keep a text unless half of its 8-character windows lie in one kept before.
+"""Greedy folds: keep a text or a box unless it overlaps one kept before.
 
-A dropped text must not drop others, so the folds go in order within a page or
-document. They run as Arrow UDFs over arrays; an index of windows per group
-makes each text's check linear in its windows.
+What is dropped must not drop others, so the folds go in order within a page or
+document. They run as Arrow UDFs over arrays, with indexes that keep each step's
+work to its own size: texts look up their rarest windows first, boxes look into
+the cells around them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,48 +22,62 @@ WINDOW, THRESHOLD = 8, 0.5
 
 
 class Kept:
-    """Texts kept so far, with an index of their windows."""
+    """Texts kept so far: the places of their windows, and which of the short texts (under a window) that may come lie in them."""
 
-    def __init__(self, window: int = WINDOW, threshold: float = THRESHOLD):
+    def __init__(self, window: int = WINDOW, threshold: float = THRESHOLD, short: Iterable[str] | None = None):
         self.window, self.threshold = window, threshold
-        self.texts: list[str] = []
-        self.joined, self.n_joined = "", 0
+        self.texts: set[str] = set()
         self.windows: dict[str, list[int]] = {}
+        #: short texts that may be asked for, None: any; of these, those in a kept text
+        self.short = None if short is None else set(short)
+        self.lengths = range(window) if self.short is None else sorted({len(x) for x in self.short})
+        self.inside: set[str] = set()
 
     def add(self, text: str) -> None:
+        if text in self.texts:
+            return
         k, w = len(self.texts), self.window
+        self.texts.add(text)
         for at in {text[i : i + w] for i in range(len(text) - w + 1)}:
-            if (there := self.windows.get(at)) is None:
-                self.windows[at] = [k]
-            else:
-                there.append(k)
-        self.texts.append(text)
-
-    def _in_one(self, text: str) -> bool:
-        """Is this short text in one of those kept? White space is not in texts, so a line end can't be spanned."""
-        if self.n_joined < len(self.texts):
-            self.joined, self.n_joined = "\n".join([self.joined, *self.texts[self.n_joined :]]), len(self.texts)
-        return text in self.joined
+            self.windows.setdefault(at, []).append(k)
+        for n in self.lengths:
+            parts = {text[i : i + n] for i in range(len(text) - n + 1)}
+            self.inside |= parts if self.short is None else parts & self.short
 
     def overlaps(self, text: str) -> bool:
         if not self.texts:
             return False
         total = len(text) - self.window + 1
         if total < 1:
-            return self._in_one(text)
+            return text in self.inside
         need = self.threshold * total
+        counts = Counter(text[i : i + self.window] for i in range(total))
+        known = sorted(((len(there), n, there) for x, n in counts.items() if (there := self.windows.get(x))), key=lambda x: x[:2])
+        left = sum(n for _, n, _ in known)
         hits: dict[int, int] = defaultdict(int)
-        for i in range(total):
-            for k in self.windows.get(text[i : i + self.window], ()):
-                hits[k] += 1
-                if hits[k] >= need:
-                    return True
+        for _, n, there in known:  # the rarest first: a text that is only in what comes later can't reach the threshold once too little is left
+            if left >= need:
+                for k in there:
+                    hits[k] += n
+                    if hits[k] >= need:
+                        return True
+            else:
+                for k in list(hits):
+                    if hits[k] + left < need:
+                        del hits[k]
+                    elif (at := bisect_left(there, k)) < len(there) and there[at] == k:
+                        hits[k] += n
+                        if hits[k] >= need:
+                            return True
+                if not hits:
+                    return False
+            left -= n
         return False
 
 
 def keep_flags(texts, given) -> list[bool]:
     """For texts in order: is it kept? given: kept whatever it overlaps."""
-    kept, out = Kept(), []
+    kept, out = Kept(short=(t for t in texts if len(t) < WINDOW)), []
     for text, fixed in zip(texts, given, strict=True):
         keep = bool(fixed) or not kept.overlaps(text)
         if keep:
@@ -70,14 +88,82 @@ def keep_flags(texts, given) -> list[bool]:
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _fold(texts: pd.Series, given: pd.Series) -> pd.Series:
-    return pd.Series([keep_flags(t, g) for t, g in zip(texts, given, strict=True)])
+    return pd.Series([None if t is None else keep_flags(t, g) for t, g in zip(texts, given, strict=True)], dtype=object)
 
 
 def greedy_keep(texts: Column, given: Column) -> Column:
-    """Arrays of collapsed texts and of flags to an array of flags. One UDF for all uses: equal plans share their exchanges."""
+    """Arrays of collapsed texts and of flags to an array of flags; null stays null. One UDF for all uses: equal plans share their exchanges."""
     return _fold(texts, given)
 
 
+class Boxes:
+    """Boxes kept so far, in cells by the logarithms of their sizes and by their places.
+
+    Boxes that overlap by `threshold` or more of their union do so along each
+    axis too: their sizes differ by at most that factor, and their places by
+    less than a fixed share of the size. So only the cells around a box matter,
+    and few kept boxes fit in one.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.base = -math.log(threshold)
+        self.share = (1 - threshold) / threshold
+        self.cells: dict[tuple, list[tuple[float, float, float, float]]] = defaultdict(list)
+
+    def _spot(self, at: float, band: int) -> int:
+        return math.floor(at / (math.exp((band + 1) * self.base) * self.share))
+
+    def add(self, system, x: float, y: float, w: float, h: float) -> None:
+        if w > 0 and h > 0:
+            a, b = math.floor(math.log(w) / self.base), math.floor(math.log(h) / self.base)
+            self.cells[system, a, b, self._spot(x, a), self._spot(y, b)].append((x, y, w, h))
+
+    def overlaps(self, system, x: float, y: float, w: float, h: float) -> bool:
+        if not (w > 0 and h > 0):
+            return False
+        dx, dy = w * self.share * 1.001, h * self.share * 1.001
+        bands = lambda size: range(math.floor(math.log(size * 0.999) / self.base) - 1, math.floor(math.log(size * 1.001) / self.base) + 2)
+        for a in bands(w):
+            xs = range(self._spot(x - dx, a), self._spot(x + dx, a) + 1)
+            for b in bands(h):
+                for i in xs:
+                    for j in range(self._spot(y - dy, b), self._spot(y + dy, b) + 1):
+                        for other in self.cells.get((system, a, b, i, j), ()):
+                            if self._iou(other, x, y, w, h) >= self.threshold:
+                                return True
+        return False
+
+    @staticmethod
+    def _iou(o: tuple[float, float, float, float], x: float, y: float, w: float, h: float) -> float:
+        common = max(0.0, min(o[0] + o[2], x + w) - max(o[0], x)) * max(0.0, min(o[1] + o[3], y + h) - max(o[1], y))
+        union = o[2] * o[3] + w * h - common
+        return common / union if common > 0 and union > 0 else 0.0
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _fold_boxes(hashes: pd.Series, boxes: pd.Series, threshold: pd.Series) -> pd.Series:
+    out = []
+    for own, of, limit in zip(hashes, boxes, threshold, strict=True):
+        seen, kept, flags = set(), Boxes(limit), []
+        for digest, b in zip(own, of, strict=True):
+            box = (b["coordinate_system"], b["x"], b["y"], b["width"], b["height"]) if b is not None and None not in (b["x"], b["y"], b["width"], b["height"]) else None
+            keep = digest not in seen and not (box is not None and kept.overlaps(*box))
+            if keep:
+                if digest is not None:
+                    seen.add(digest)
+                if box is not None:
+                    kept.add(*box)
+            flags.append(keep)
+        out.append(flags)
+    return pd.Series(out, dtype=object)
+
+
+def greedy_boxes(hashes: Column, boxes: Column, threshold: float) -> Column:
+    """Arrays of hashes and of boxes to an array of flags: the first of equal hashes, and of boxes that overlap by the threshold (0 to 1, neither) the one kept first."""
+    return _fold_boxes(hashes, boxes, F.lit(float(threshold)))
+
+
 def overlap_ratio(new: Column, existing: Column, window: int = WINDOW) -> Column:
     """Share of the new text's windows that the existing one holds; a shorter text is wholly in it or not at all."""
     total = F.length(new) - (window - 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.geometry import iou, normalized
+from pageloom.functions.geometry import normalized
 from pageloom.functions.labels import block_type, is_skipped
-from pageloom.functions.overlap import greedy_keep
+from pageloom.functions.overlap import greedy_boxes, greedy_keep
 from pageloom.functions.text import collapse_ws, has_text, source_hash, trim
 
 PARSER, VERSION, CONFIDENCE = "opendataloader-default", "1.10.1", 0.93
@@ -18,13 +20,19 @@ def block_id(parser: str) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lit(parser), "document_id", "page", "seq"), 256), 1, 32)
 
 
+def _unfold(rows: DataFrame, members: Callable[[], Column], flags: Callable[[Column], Column]) -> DataFrame:
+    """Rows grouped by page in order, without those that the flags drop; the rows travel with their group, so nothing is joined back."""
+    rest = [x for x in rows.columns if x not in ("document_id", "page")]
+    pages = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", members().alias("by"), F.struct(*rest).alias("row")))).alias("m"))
+    kept = F.filter(F.arrays_zip(F.col("m.row").alias("row"), F.coalesce(flags(F.col("m.by")), F.transform("m", lambda _: F.lit(True))).alias("keep")), lambda x: x["keep"])
+    return pages.select("document_id", "page", F.explode(kept).alias("x")).select("document_id", "page", "x.row.*").select(*rows.columns)
+
+
 def drop_overlapping(rows: DataFrame, given: Column) -> DataFrame:
     """Rows (document_id, page, seq, text) in order, without those whose text overlaps one kept before on the page."""
-    member = F.struct("seq", collapse_ws(F.col("text")).alias("t"), given.alias("g"))
-    pages = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    flags = greedy_keep(F.col("m.t"), F.col("m.g"))
-    gone = pages.where(F.size("m") > 1).select("document_id", "page", F.explode(F.arrays_zip(F.col("m.seq").alias("seq"), flags.alias("keep"))).alias("x")).where("not x.keep").select("document_id", "page", "x.seq")
-    return rows.join(gone, ["document_id", "page", "seq"], "left_anti")
+    several = lambda by: F.when(F.size(by) > 1, by)
+    flags = lambda by: greedy_keep(F.transform(several(by), lambda x: x["t"]), F.transform(several(by), lambda x: x["g"]))
+    return _unfold(rows, lambda: F.struct(collapse_ws(F.col("text")).alias("t"), given.alias("g")), flags)
 
 
 def native_blocks(merged: DataFrame, page_infos: DataFrame) -> DataFrame:
@@ -37,8 +45,5 @@ def native_blocks(merged: DataFrame, page_infos: DataFrame) -> DataFrame:
 
 def dedupe(blocks: DataFrame, threshold: float = 0.85) -> DataFrame:
     """First of equal hashes on a page; of boxes that overlap by the threshold the one kept first. A block dropped for its box doesn't count as seen."""
-    members = F.array_sort(F.collect_list(F.struct("seq", "source_hash", "bbox")))
-    pages = blocks.groupBy("document_id", "page").agg(members.alias("m"))
-    take = lambda kept, b: F.when(F.exists(kept, lambda k: (k["source_hash"] == b["source_hash"]) | (iou(k["bbox"], b["bbox"]) >= threshold)), kept).otherwise(F.concat(kept, F.array(b)))
-    kept = F.aggregate("m", F.filter("m", lambda x: F.lit(False)), take)
-    return blocks.join(pages.select("document_id", "page", F.explode(F.transform(kept, lambda k: k["seq"])).alias("seq")), ["document_id", "page", "seq"])
+    flags = lambda by: greedy_boxes(F.transform(by, lambda x: x["source_hash"]), F.transform(by, lambda x: x["bbox"]), threshold)
+    return _unfold(blocks, lambda: F.struct("source_hash", "bbox"), flags)

@@ -1,8 +1,12 @@
-"""Two parser passes over the same documents become one list of items."""
+"""Two parser passes over the same documents become one list of items.
+
+All steps go by document, so the items are dealt once by document and everything
+else (keys, gaps, the fold, the new order) happens within these partitions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import block_key
@@ -17,51 +21,71 @@ def keyed(items: DataFrame) -> DataFrame:
     return items.withColumn("key", block_key(*(F.col(x) for x in ("page", "left", "bottom", "right", "top"))))
 
 
+def _any(flag: Column, among: WindowSpec) -> Column:
+    return F.coalesce(F.max(flag).over(among), F.lit(False))
+
+
+def _marked(items: DataFrame) -> DataFrame:
+    """Items of both passes, dealt by document once, with what the merge asks of their key and page."""
+    first, text = F.col("pass") == 1, F.col("text_there")
+    rows = keyed(items).withColumn("text_there", has_text(F.col("content"))).repartition("document_id")
+    same = Window.partitionBy("document_id", "key")
+    last = F.when(F.col("pass") == 2, F.struct("seq", "text_there", F.struct(*FIELDS).alias("of")))
+    rows = rows.withColumns({"alt": F.max_by(last, F.when(F.col("pass") == 2, F.col("seq"))).over(same), "in_first": _any(first, same), "text_in_first": _any(first & text, same)})
+    gap = first & ~text & ~is_skipped(F.col("type"))
+    return rows.withColumn("gap", _any(gap, Window.partitionBy("document_id", "page")))
+
+
+def _first(marked: DataFrame) -> DataFrame:
+    fill = ~F.col("text_there") & F.coalesce(F.col("alt.text_there"), F.lit(False))
+    # counted as filled: text that pass 1 has nowhere under the key
+    return marked.where("pass = 1").select("document_id", "seq", "key", fill.alias("filled"), (fill & ~F.col("text_in_first")).alias("new"), *(F.when(fill, F.col(f"alt.of.{x}")).otherwise(F.col(x)).alias(x) for x in FIELDS))
+
+
+def _extra(marked: DataFrame) -> DataFrame:
+    return marked.where(F.col("text_there") & ~F.col("in_first") & F.col("gap") & (F.col("pass") == 2)).select("document_id", "seq", "key", *FIELDS)
+
+
 def fill_blanks(items: DataFrame) -> DataFrame:
     """Items of pass 1; a blank one is replaced whole by the item of pass 2 of its key that has text (of several, the last). filled tells."""
-    k = keyed(items)
-    latest = Window.partitionBy("document_id", "key").orderBy(F.desc("seq"))
-    second = k.where("pass = 2").withColumn("rank", F.row_number().over(latest)).where("rank = 1").select("document_id", "key", F.struct(*FIELDS).alias("alt"))
-    first = k.where("pass = 1").join(second, ["document_id", "key"], "left")
-    fill = ~has_text(F.col("content")) & has_text(F.col("alt.content"))
-    return first.select("document_id", "seq", "key", fill.alias("filled"), *(F.when(fill, F.col(f"alt.{x}")).otherwise(F.col(x)).alias(x) for x in FIELDS))
+    return _first(_marked(items)).drop("new")
 
 
 def extras(items: DataFrame) -> DataFrame:
     """Items with text that only pass 2 has, on pages where pass 1 has a gap (a blank item that isn't skipped)."""
-    k = keyed(items)
-    first = k.where("pass = 1")
-    gaps = first.where(~has_text(F.col("content")) & ~is_skipped(F.col("type"))).select("document_id", "page").distinct()
-    second = k.where("pass = 2").where(has_text(F.col("content")))
-    return second.join(first.select("document_id", "key").distinct(), ["document_id", "key"], "left_anti").join(gaps, ["document_id", "page"], "left_semi").select("document_id", "seq", "key", *FIELDS)
+    return _extra(_marked(items))
 
 
 def merge_passes(items: DataFrame) -> DataFrame:
-    """Pass 1 with blanks filled, and the extras of pass 2 whose text doesn't overlap one kept before anywhere in the document; by page, then from the top. seq is the new order."""
-    first = fill_blanks(items).withColumn("src", F.lit(1))
-    second = extras(items).withColumn("src", F.lit(2)).withColumn("filled", F.lit(False))
-    rows = first.unionByName(second)
-    # only documents with extras have something to decide
-    undecided = second.select("document_id").distinct()
-    member = F.struct("src", "seq", collapse_ws(F.col("content")).alias("text"))
-    folded = rows.join(undecided, "document_id", "left_semi").where(has_text(F.col("content"))).groupBy("document_id").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    flags = greedy_keep(F.col("m.text"), F.transform("m", lambda x: x["src"] == 1))
-    dropped = folded.select("document_id", F.explode(F.arrays_zip(F.col("m.src").alias("src"), F.col("m.seq").alias("seq"), flags.alias("keep"))).alias("x")).where("not x.keep").select("document_id", "x.src", "x.seq")
-    order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "src", "seq")
-    return rows.join(dropped, ["document_id", "src", "seq"], "left_anti").withColumn("seq", F.row_number().over(order) - 1).drop("src", "key")
-
-
-def filled_count(items: DataFrame, merged: DataFrame) -> DataFrame:
+    """Pass 1 with blanks filled, and the extras of pass 2 whose text doesn't overlap one kept before anywhere in the document; by page, then from the top.
+
+    seq is the new order; new tells of items whose text pass 1 has nowhere under their key.
+    """
+    marked = _marked(items)
+    fill = ~F.col("text_there") & F.coalesce(F.col("alt.text_there"), F.lit(False)) & (F.col("pass") == 1)
+    extra = F.col("text_there") & ~F.col("in_first") & F.col("gap") & (F.col("pass") == 2)
+    rows = marked.where((F.col("pass") == 1) | extra).withColumn("fill", fill)
+    merged = F.struct(*(F.when(F.col("fill"), F.col(f"alt.of.{x}")).otherwise(F.col(x)).alias(x) for x in FIELDS))
+    rows = rows.select("document_id", F.struct(F.col("pass").alias("src"), "seq", F.col("fill").alias("filled"), ((F.col("fill") | extra) & ~F.col("text_in_first")).alias("new"), (F.col("text_there") | F.col("fill")).alias("text_there"), merged.alias("of")).alias("m"))
+    folded = rows.groupBy("document_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    # only documents with extras have something to decide, and blank items drop nothing
+    undecided = F.exists("m", lambda x: x["src"] == 2)
+    told = F.when(undecided, F.filter("m", lambda x: x["text_there"]))
+    flags = greedy_keep(F.transform(told, lambda x: collapse_ws(x["of"]["content"])), F.transform(told, lambda x: x["src"] == 1))
+    kept = F.transform(F.filter(F.arrays_zip(told.alias("x"), flags.alias("keep")), lambda z: z["keep"]), lambda z: z["x"])
+    kept = F.when(undecided, F.concat(F.filter("m", lambda x: ~x["text_there"]), kept)).otherwise(F.col("m"))
+    rows = folded.select("document_id", F.explode(kept).alias("m")).select("document_id", "m.src", F.col("m.seq").alias("old"), "m.filled", "m.new", "m.of.*")
+    order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "src", "old")
+    return rows.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new")
+
+
+def filled_count(merged: DataFrame) -> DataFrame:
     """Per document: merged items with text whose key pass 2 has, but pass 1 not with text."""
-    k = keyed(items)
-    second = k.where("pass = 2").select("document_id", "key").distinct()
-    first = k.where("pass = 1").where(has_text(F.col("content"))).select("document_id", "key").distinct()
-    found = keyed(merged).where(has_text(F.col("content"))).join(second, ["document_id", "key"], "left_semi").join(first, ["document_id", "key"], "left_anti")
-    return found.groupBy("document_id").agg(F.count("*").alias("n_filled"))
+    return merged.where("new").groupBy("document_id").agg(F.count("*").alias("n_filled"))
 
 
 def parser_warnings(items: DataFrame, merged: DataFrame, documents: DataFrame) -> DataFrame:
     """document_id, warning: documents without any item, and counts of filled blocks."""
     none = documents.select("document_id").distinct().join(items.select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.lit("ODL 兩個 pass 均無輸出，可能 PDF 無可提取文字。").alias("warning"))
-    some = filled_count(items, merged).select("document_id", F.concat(F.lit("ODL dual-pass: "), F.col("n_filled").cast("string"), F.lit(" empty block(s) filled via useStructTree pass")).alias("warning"))
+    some = filled_count(merged).select("document_id", F.concat(F.lit("ODL dual-pass: "), F.col("n_filled").cast("string"), F.lit(" empty block(s) filled via useStructTree pass")).alias("warning"))
     return none.unionByName(some)

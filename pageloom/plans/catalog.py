@@ -141,7 +141,7 @@ def dual_pass_merge(f):
 
 @query
 def filled_count(f):
-    return merge.filled_count(f.items, f.merged)
+    return merge.filled_count(f.merged)
 
 
 @query

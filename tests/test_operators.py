@@ -28,7 +28,7 @@ def test_merge(spark):
     ])
     merged = [(r.seq, r.content) for r in merge.merge_passes(rows).orderBy("seq").collect()]
     assert merged == [(0, "later wins"), (1, "first text of the page"), (2, "only in the second pass")]
-    assert merge.filled_count(rows, merge.merge_passes(rows)).first().n_filled == 2
+    assert merge.filled_count(merge.merge_passes(rows)).first().n_filled == 2
 
 
 def test_blocks_and_dedupe(spark):
