@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import short_batches
+from pageloom.llm.store import passed, short_batches
 from pageloom.llm.words import row_groups
 
 TOKENIZER = "word_bpe_49k.json"
@@ -229,10 +229,13 @@ def _run(batches: Iterator[pa.RecordBatch], path: str | None, fields: pa.Schema)
 
 
 def encode_decode(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Per row: the columns in keep, ids (array of int) and decoded (string). path: the tokenizer's file on each machine."""
+    """Per row: the columns in keep, ids (array of int) and decoded (string). path: the tokenizer's file on each machine.
+
+    ids and decoded win over columns in keep with their names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     short_batches(documents.sparkSession)
+    keep = passed(keep, ("ids", "decoded"))
     source = documents.select(*keep, F.col(text_col).alias("__text"))
     schema = T.StructType([*(source.schema[x] for x in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     fields = to_arrow_schema(schema)

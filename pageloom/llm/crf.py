@@ -6,8 +6,7 @@ characters it has, and its length), its lower-cased word, and its row's file
 class; shape, class and word of both neighbours count too. Shapes and words
 that training didn't see share one number each. Training maximises the
 penalised log likelihood of a labelled table with Adam; tagging is Viterbi over
-batches of lines, one step for all lines at a time. Lines of over PIECE tokens
-are decoded in pieces that overlap by 2 * MARGIN tokens.
+batches of lines, whole and of any length, one step for all lines at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import pyarrow as pa
 
 from pageloom.llm.words import NONSPACE, Words, mix, powers, utf8, words
 
-PIECE, MARGIN, FILE_CLASSES = 256, 16, 4
+FILE_CLASSES = 4
 _P = 0x9E3779B97F4A7C15
 _PI = pow(_P, -1, 1 << 64)
 
@@ -168,21 +167,10 @@ class Crf:
         e = self._emissions(self._ids(tokens), tokens.file, self.weights, has_left, has_right)
         first = tokens.first
         sizes = np.diff(np.concatenate([first, [n]]))
-        long = sizes > PIECE
-        pieces = [(first[~long], sizes[~long], np.zeros((~long).sum(), np.int64), sizes[~long])]
-        for a, m in zip(first[long].tolist(), sizes[long].tolist(), strict=True):
-            stride = PIECE - 2 * MARGIN
-            s = np.arange(0, m - 2 * MARGIN, stride)
-            end = np.minimum(s + PIECE, m)
-            keep_from, keep_to = np.where(s > 0, MARGIN, 0), np.where(end < m, end - s - MARGIN, end - s)
-            pieces.append((a + s, end - s, keep_from, keep_to))
-        starts, counts, keep_from, keep_to = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        labels, place, order = viterbi(e, starts, counts, self.trans, self.start)
+        labels, place, order = viterbi(e, first, sizes, self.trans, self.start)
         out = np.zeros(n, np.uint8)
-        counts, starts, keep_from, keep_to = counts[order], starts[order], keep_from[order], keep_to[order]
-        step = np.arange(len(labels)) - np.repeat(place, counts)
-        use = (step >= np.repeat(keep_from, counts)) & (step < np.repeat(keep_to, counts))
-        out[(np.repeat(starts, counts) + step)[use]] = labels[use]
+        first, sizes = first[order], sizes[order]
+        out[np.repeat(first, sizes) + np.arange(n) - np.repeat(place, sizes)] = labels
         return out
 
     def spans(self, tokens: Tokens) -> list[tuple[int, int, int, str]]:

@@ -8,16 +8,17 @@ around it, and these are compared word by word. Items of fewer words than a
 window are one window of their own length; at a length of n, winnowing with
 one n-gram a run keeps every n-gram, so the same guarantee holds.
 
-Scale: documents are read once and never shuffled. Items are dealt into blocks
-of at most `block_bytes` of text; a block's fingerprints go to the executors as
-sorted arrays. A benchmark that fits in one block (the usual case) needs no
-shuffle at all; with more blocks, each row's hits of the blocks are united by an
-aggregation on the row's number.
+Scale: documents are never shuffled. Items are dealt into blocks of about
+`block_bytes` of text; a block's fingerprints and windows go to the executors as
+sorted arrays of some 30 bytes a word. With more blocks than one the documents
+are written once with a row number, searched once per block, and only the rows
+with hits of later blocks are brought together by their number.
 
 Defined results: null and empty texts have no words and no hits. Items without
 id, or without words, never occur. Equal item ids count once. Rows with the
 same doc_id stay separate rows. Other columns of documents are passed on only
-if named in `keep`. Empty tables give empty or clean results.
+if named in `keep`; of those with a name of the result the result's is returned.
+Texts of any length are read whole. Empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import Scratch, short_batches
-from pageloom.llm.words import ALNUM, Words, grams, row_groups, utf8, words
+from pageloom.llm.store import Scratch, passed, short_batches, small
+from pageloom.llm.words import ALNUM, LOWER, Words, grams, row_groups, utf8, words
 
 WINDOW, K = 10, 5
 #: Text bytes of the items that are searched for in one pass over documents.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def winnow(h: np.ndarray, room: np.ndarray, window: int, k: int) -> np.ndarray:
@@ -60,8 +61,18 @@ def _room(w: Words) -> np.ndarray:
     return np.repeat(w.first[1:], np.diff(w.first)) - np.arange(len(w.start))
 
 
+def _joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, lower-cased, each with one space after it, and the place of each."""
+    size = (w.end - w.start).astype(np.int64)
+    place = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(place[-1], 32, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(place[:-1], size) + within] = LOWER[w.data[np.repeat(w.start, size) + within]]
+    return out, place
+
+
 class Benchmark:
-    """Fingerprints and windows of a block of items, in sorted arrays."""
+    """Fingerprints and windows of a block of items, in sorted arrays; the windows' bytes lie in one buffer."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, k: int = K):
         self.window, self.k, self.ids = window, k, sorted({i for i, _ in items})
@@ -69,30 +80,28 @@ class Benchmark:
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         w = words(data, offsets, ALNUM)
         self.prints = np.unique(grams(w.hash, k)[winnow(grams(w.hash, k), _room(w), window, k)]) if len(w.start) >= window else np.zeros(0, np.uint64)
-        found: dict[int, dict[tuple[int, bytes], set[int]]] = defaultdict(lambda: defaultdict(set))
-        by_length: dict[int, np.ndarray] = {}
-        for j, (item, _) in enumerate(items):
-            a, b = int(w.first[j]), int(w.first[j + 1])
-            if b > a:
-                n = min(window, b - a)
-                h = by_length.setdefault(n, grams(w.hash, n))
-                for s in range(a, b - n + 1):
-                    found[n][int(h[s]), w.bytes_of(s, s + n)].add(number[item])
-        self.windows: dict[int, tuple[np.ndarray, list[bytes], list[list[int]]]] = {}
-        for n, of in found.items():
-            keys = sorted(of)
-            self.windows[n] = np.array([x for x, _ in keys], dtype=np.uint64), [x for _, x in keys], [sorted(of[x]) for x in keys]
+        self.text, place = _joined(w)
+        own = np.array([number[i] for i, _ in items], np.int32)
+        size = np.diff(w.first)
+        item, length, room = np.repeat(own, size), np.repeat(np.minimum(size, window), size), _room(w)
+        #: by length: hashes in order, and the windows' items, first bytes and ends
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero((length == n) & (room >= n))
+            h = grams(w.hash, n)[at]
+            order = np.argsort(h, kind="stable")
+            at = at[order]
+            self.windows[n] = h[order], item[at], place[at], place[at + n] - 1
         self.prints.flags.writeable = False
 
     def search(self, w: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """For each word, whether it is hit; for each row with hits, its items' numbers."""
         edges = np.zeros(len(w.start) + 1, dtype=np.int32)
-        items: dict[int, set[int]] = {}
+        items: dict[int, set[int]] = defaultdict(set)
         if not len(w.start) or not self.windows:
             return edges[:-1] > 0, items
         room = _room(w)
-        seen: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for n, (hashes, texts, _) in self.windows.items():
+        for n, (hashes, of, first, end) in self.windows.items():
             if len(w.start) < n:
                 continue
             if n == self.window:
@@ -112,13 +121,11 @@ class Benchmark:
             rows = np.searchsorted(w.first, starts, "right") - 1
             for s, a, b, row in zip(starts.tolist(), lo.tolist(), hi.tolist(), rows.tolist(), strict=True):
                 text = w.bytes_of(s, s + n)
-                for e in range(a, b):
-                    if texts[e] == text:
-                        edges[s] += 1
-                        edges[s + n] -= 1
-                        seen[row].add((n, e))
-        for row, entries in seen.items():
-            items[row] = set().union(*(self.windows[n][2][e] for n, e in entries))
+                same = [e for e in range(a, b) if self.text[first[e] : end[e]].tobytes() == text]
+                if same:
+                    edges[s] += 1
+                    edges[s + n] -= 1
+                    items[row].update(of[same].tolist())
         return np.cumsum(edges[:-1]) > 0, items
 
 
@@ -173,29 +180,37 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, keep: tuple[str
     found = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def one(source: DataFrame, items: list[tuple[str, str]], names: list[str]) -> DataFrame:
-        source = source.select(*names, F.col(text_col).alias("__text"))
+        source = source.select(*names, "__text")
         schema = T.StructType([source.schema[x] for x in names] + found.fields)
         fields = to_arrow_schema(schema)
         index = spark.sparkContext.broadcast(Benchmark(items, window, k))
         return source.mapInArrow(lambda it: _search(it, index.value, fields), schema)
 
+    keep = passed(keep, found.names)
     every = blocks(benchmark, item_col, item_text_col, block_bytes)
     first, second = next(every, []), next(every, None)
     if second is None:
-        return one(documents, first, list(keep))
-    numbered = Scratch(spark, "decontaminate").keep(documents.select(*keep, text_col).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    narrow = ["__row"]
-    parts = one(numbered, first, narrow)
-    for items in (second, *every):
-        parts = parts.unionByName(one(numbered, items, narrow))
-    united = parts.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
+        return one(documents.select(*keep, F.col(text_col).alias("__text")), first, list(keep))
+    with Scratch(spark, "decontaminate") as scratch:
+        packed = documents.select(F.struct(F.lit(0).alias("__none"), *keep).alias("__kept"), F.col(text_col).alias("__text"))
+        numbered = scratch.keep(packed.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        later = [scratch.keep(one(numbered.select("__row", "__text"), items, ["__row"]).where("n_hit > 0"), f"hits-{i}") for i, items in enumerate((second, *every))]
+        hits = later[0]
+        for more in later[1:]:
+            hits = hits.unionByName(more)
+        flat = lambda x: F.flatten(F.collect_list(x))
+        hits = scratch.keep(hits.groupBy("__row").agg(flat("items").alias("__items"), flat("spans").alias("__spans")), "hits")
+    rows = one(numbered, first, ["__row", "__kept"]).join(small(hits), "__row", "left")
+    spans = F.array_sort(F.concat("spans", "__spans"))
     merged = F.aggregate(
-        "__spans",
+        spans,
         F.lit([]).cast("array<struct<first:bigint,end:bigint>>"),
         lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["first"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
     )
-    united = united.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"]))
-    return numbered.drop(text_col).join(united, "__row").select(*keep, "n_words", "n_hit", "items", "spans")
+    more = F.col("__spans").isNotNull()
+    rows = rows.withColumn("spans", F.when(more, merged).otherwise(F.col("spans"))).withColumn("items", F.when(more, F.array_sort(F.array_distinct(F.concat("items", "__items")))).otherwise(F.col("items")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["first"])
+    return rows.select(*(F.col("__kept")[x].alias(x) for x in keep), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

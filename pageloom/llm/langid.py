@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import short_batches
+from pageloom.llm.store import passed, short_batches
 from pageloom.llm.words import row_groups, utf8
 
 ORDER, SAMPLE, REJECT_AT, UND = 4, 400, 8.0, "und"
@@ -280,10 +280,11 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Identifier, fields: pa.Sc
 
 
 def identify(documents: DataFrame, model: Identifier, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Per row: the columns in keep, lang_pred, score, cross_entropy and rejected."""
+    """Per row: the columns in keep, lang_pred, score, cross_entropy and rejected, which win over columns in keep with their names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     short_batches(documents.sparkSession)
+    keep = passed(keep, ("lang_pred", "score", "cross_entropy", "rejected"))
     source = documents.select(*keep, F.col(text_col).alias("__text"))
     schema = T.StructType([*(source.schema[x] for x in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     fields = to_arrow_schema(schema)

@@ -18,14 +18,16 @@ pair overlaps its first occurrence (three equal lines), that occurrence stays.
 Scale: keys of chunks are aggregated without their texts; only texts of
 repeated chunks are grouped to compare them, with partial aggregation, so a
 chunk that a third of all rows share costs a row per task. Tables that go to
-all executors have a counted number of rows of at most BROADCAST_ROWS; beyond
-that they are joined by shuffle. The tables joined on keys are computed before,
+all executors have a counted size of at most BROADCAST_BYTES; beyond that they
+are joined by shuffle. The tables joined on keys are computed before,
 so Spark's skew join can split a key's rows.
 
 Defined results: null and empty texts have no lines and stay. Lines of no bytes
 belong to the chunk before them. Rows of equal id and text are one document
 to this operator: what stays in one stays in the other. Columns beside id and
-text pass through unchanged.
+text pass through unchanged, but for those named n_lines and n_removed, whose
+place the result's take. Texts of any length are read whole. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import Scratch, short_batches
+from pageloom.llm.store import Scratch, passed, short_batches, small
 from pageloom.llm.words import grams, row_groups, utf8, words
 
 AVERAGE_LINES = 3
-BROADCAST_ROWS = 400_000
 IN_LINE = np.ones(256, dtype=bool)
 IN_LINE[10] = False
 
@@ -155,14 +156,9 @@ def _cut(batches: Iterator[pa.RecordBatch], fields: pa.Schema, text_at: str) ->
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in fields], schema=fields)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The table, sent to all executors if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _with(rows: DataFrame, id_col: str, table: DataFrame, how: str) -> DataFrame:
     """The rows with the columns that the table has for their id and text hash."""
-    right = _small(table.withColumnsRenamed({"__id": "__i", "__th": "__t"}))
+    right = small(table.withColumnsRenamed({"__id": "__i", "__th": "__t"}))
     return rows.join(right, rows[id_col].eqNullSafe(right["__i"]) & (rows["__th"] == right["__t"]), how).drop("__i", "__t")
 
 
@@ -177,7 +173,7 @@ def _equal(repeated: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _later(found: DataFrame, equal: DataFrame) -> DataFrame:
-    return found.join(_small(equal), ["k1", "k2"]).where(~F.struct("__id", "__th", "place").eqNullSafe(F.col("first")))
+    return found.join(small(equal), ["k1", "k2"]).where(~F.struct("__id", "__th", "place").eqNullSafe(F.col("first")))
 
 
 def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
@@ -196,7 +192,7 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     place_fields, text_fields = to_arrow_schema(place), to_arrow_schema(with_text)
     found = scratch.hold(narrow.mapInArrow(lambda it: _keys(it, place_fields, False), place), "places")
     repeated = scratch.hold(_repeated(found), "repeated")
-    texts = narrow.select("__text").mapInArrow(lambda it: _keys(it, text_fields, True), with_text).join(_small(repeated.select("k1", "k2")), ["k1", "k2"])
+    texts = narrow.select("__text").mapInArrow(lambda it: _keys(it, text_fields, True), with_text).join(small(repeated.select("k1", "k2")), ["k1", "k2"])
     equal = scratch.hold(_equal(repeated, texts), "equal")
     gone = scratch.keep(_later(found, equal).groupBy("__id", "__th").agg(F.collect_set("place").alias("__gone")), "gone")
     scratch.drop("places", "repeated", "equal")
@@ -205,7 +201,7 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if whole_runs:  # what the chunks' edges and chunks of one line leave, by each two lines in succession
         pairs = scratch.hold(_with(narrow, "__id", gone, "left").mapInArrow(lambda it: _pairs(it, place_fields, False), place), "pairs")
         repeated = scratch.hold(_repeated(pairs), "repeated-pairs")
-        at = scratch.keep(pairs.join(_small(repeated.select("k1", "k2")), ["k1", "k2"]).groupBy("__id", "__th").agg(F.collect_set("place").alias("__at")), "at")
+        at = scratch.keep(pairs.join(small(repeated.select("k1", "k2")), ["k1", "k2"]).groupBy("__id", "__th").agg(F.collect_set("place").alias("__at")), "at")
         texts = _with(narrow, "__id", at, "inner").select("__text", "__at").mapInArrow(lambda it: _pairs(it, text_fields, True), with_text)
         equal = scratch.hold(_equal(repeated, texts), "equal-pairs")
         overlaps = F.struct("__id", "__th", F.col("place") - 1).eqNullSafe(F.col("first"))  # the first occurrence's second line stays
@@ -215,11 +211,13 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         removed = scratch.keep(both.groupBy("__id", "__th").agg(F.first("__gone", True).alias("__gone"), F.first("__runs", True).alias("__runs")), "removed")
         scratch.drop("pairs", "repeated-pairs", "at", "equal-pairs", "gone")
 
-    joined = documents.withColumnsRenamed({text_col: "__text"}).withColumn("__th", F.xxhash64("__text"))
-    joined = _with(joined, id_col, removed, "left").drop("__th")
-    schema = T.StructType([*documents.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    others = [x for x in passed(documents.columns, ("n_lines", "n_removed")) if x != text_col]
+    packed = documents.select(F.col(id_col).alias("__key"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__none"), *others).alias("__kept"))
+    joined = _with(packed, "__key", removed, "left").select("__kept", "__text", "__gone", "__runs")
+    schema = T.StructType([joined.schema["__kept"], T.StructField("__out", documents.schema[text_col].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     fields = to_arrow_schema(schema)
-    return joined.mapInArrow(lambda it: _cut(it, fields, text_col), schema)
+    cut = joined.mapInArrow(lambda it: _cut(it, fields, "__out"), schema)
+    return cut.select(*(F.col("__out").alias(x) if x == text_col else F.col("__kept")[x].alias(x) for x in documents.columns if x == text_col or x in others), "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ pattern's span is added as `crf-<kind>`.
 Scale: one narrow pass without shuffle; the model is a few hundred kB.
 
 Defined results: null is empty text. Offsets are code points, ends exclusive.
-Rows stay as they are, repeated ones too. Only the columns in `keep` are passed on.
+Rows stay as they are, repeated ones too. Only the columns in `keep` are passed
+on; one named `spans` gives way to the result. Texts and lines of any length are
+tagged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm.crf import Crf, Tokens
-from pageloom.llm.store import short_batches
+from pageloom.llm.store import passed, short_batches
 from pageloom.llm.words import row_groups, utf8
 
 Span = tuple[int, int, str]
@@ -184,6 +186,7 @@ def scan(documents: DataFrame, crf: Crf, base: Callable[[str], list[Span]], *, l
     from pyspark.sql.pandas.types import to_arrow_schema
 
     short_batches(documents.sparkSession)
+    keep = passed(keep, ("spans",))
     source = documents.select(*keep, F.col(text_col).alias("__text"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("base", T.BooleanType())])
     schema = T.StructType([*(source.schema[x] for x in keep), T.StructField("spans", T.ArrayType(span))])
@@ -192,9 +195,9 @@ def scan(documents: DataFrame, crf: Crf, base: Callable[[str], list[Span]], *, l
     return source.mapInArrow(lambda it: _scan(it, shared.value, base, least, fields), schema)
 
 
-def find_personal(documents: DataFrame, **options) -> DataFrame:
-    """Per row: the columns in keep and spans (start, end, kind, base), base ones first."""
-    return scan(documents, model(), base_spans, least=6, **options)
+def find_personal(documents: DataFrame, *, crf: Crf | None = None, **options) -> DataFrame:
+    """Per row: the columns in keep and spans (start, end, kind, base), base ones first. crf: a model fitted to another labelled table."""
+    return scan(documents, crf or model(), base_spans, least=6, **options)
 
 
 def listed(spans: F.Column, kinds: tuple[str, ...]) -> F.Column:

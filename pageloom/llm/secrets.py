@@ -83,9 +83,9 @@ def model() -> Crf:
     return Crf(KINDS, labelled_table(), steps=130)
 
 
-def find_secrets(documents: DataFrame, **options) -> DataFrame:
-    """Per row: the columns in keep and spans (start, end, kind, base), base ones first."""
-    return personal.scan(documents, model(), base_spans, least=12, **options)
+def find_secrets(documents: DataFrame, *, crf: Crf | None = None, **options) -> DataFrame:
+    """Per row: the columns in keep and spans (start, end, kind, base), base ones first. crf: a model fitted to another labelled table."""
+    return personal.scan(documents, crf or model(), base_spans, least=12, **options)
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:

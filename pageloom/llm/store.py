@@ -70,6 +70,11 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if found <= (BROADCAST_BYTES if most is None else most) else df
 
 
+def passed(keep, made) -> tuple[str, ...]:
+    """The columns to pass on: those in keep without names of the result (case ignored), whose columns the operator makes."""
+    return tuple(x for x in keep if x.lower() not in {y.lower() for y in made})
+
+
 def fresh(names, made) -> None:
     """ValueError if a column that is passed on has the name of one that the operator makes (case ignored)."""
     clash = sorted({x.lower() for x in names} & {x.lower() for x in made})

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.store import short_batches
+from pageloom.llm.store import passed, short_batches
 from pageloom.llm.words import row_groups, utf8
 
 BLOCK, RATE, PCM_RATE, GROUP = 64, 8000, 16000, 1 << 18
@@ -154,10 +154,11 @@ def _store(batches: Iterator[pa.RecordBatch], fields: pa.Schema) -> Iterator[pa.
 
 
 def store_media(documents: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Per row: the columns in keep, n_bytes, media (mu-law WAV), payload (read back from it), pcm (resampled WAV) and feature."""
+    """Per row: the columns in keep, n_bytes, media (mu-law WAV), payload (read back from it), pcm (resampled WAV) and feature, which win over columns in keep with their names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     short_batches(documents.sparkSession)
+    keep = passed(keep, ("n_bytes", "media", "payload", "pcm", "feature"))
     source = documents.select(*keep, F.col(text_col).alias("__text"))
     schema = T.StructType([*(source.schema[x] for x in keep), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("feature", T.StringType())])
     fields = to_arrow_schema(schema)

@@ -32,9 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = mix(_LOWER.astype(np.uint64) + np.uint64(0xA5A5))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_BYTE = mix(LOWER.astype(np.uint64) + np.uint64(0xA5A5))
 
 #: Words of digits, ASCII letters and all that is not ASCII (upper case is lowered first).
 ALNUM = np.ones(256, dtype=bool)
@@ -87,7 +87,7 @@ class Words:
 
     def bytes_of(self, a: int, b: int) -> bytes:
         """Words a to b, lower-cased and joined by one space."""
-        return b" ".join(_LOWER[self.data[s:e]].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
+        return b" ".join(LOWER[self.data[s:e]].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
 
 
 def _piece(data: np.ndarray, lo: int, hi: int, breaks: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, *, sound: boo
     start, end, h = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     if sound:
         for i in np.flatnonzero(end - start > LONG_WORD).tolist():
-            h[i] = xxhash.xxh3_64_intdigest(_LOWER[data[start[i] : end[i]]].tobytes())
+            h[i] = xxhash.xxh3_64_intdigest(LOWER[data[start[i] : end[i]]].tobytes())
     return Words(data, start, end, h, np.searchsorted(start, offsets))
 
 

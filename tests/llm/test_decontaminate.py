@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
-from pageloom.llm.decontaminate import decontaminate
+from pageloom.llm.decontaminate import Benchmark, decontaminate
+from pageloom.llm.words import ALNUM, utf8, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,10 +69,30 @@ def test_empty_tables(spark):
 
 def test_clashing_columns_and_keep(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id bigint, text string, item_id string, n_hit int")
-    got = decontaminate(docs.drop("n_hit"), spark.createDataFrame([(5, "a b", 1)], "item_id int, text string, doc_id int"), keep=("doc_id", "text", "item_id")).first()
+    got = decontaminate(docs, spark.createDataFrame([(5, "a b", 1)], "item_id int, text string, doc_id int"), keep=("doc_id", "text", "item_id", "n_hit")).first()
     assert (got.doc_id, got.text, got.item_id, got.n_hit, got["items"]) == (1, "a b", "x", 2, ["5"])
 
 
+def test_many_blocks_pass_columns_on(spark):
+    docs, items = corpus()
+    frame = spark.createDataFrame([(d, t, 7, "x") for d, t in docs], "doc_id bigint, text string, n_hit int, items string")
+    got = decontaminate(frame, spark.createDataFrame(items, "item_id bigint, text string"), keep=tuple(frame.columns), block_bytes=60)
+    assert got.columns == ["doc_id", "text", "n_words", "n_hit", "items", "spans"]
+    got = got.collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == brute(docs, items)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(docs, key=str)
+
+
+def test_large_benchmark_is_indexed_in_arrays():
+    r = random.Random(2)
+    own = [f"{r.randint(0, 10**6):x}q" for _ in range(400_000)]
+    began = time.time()
+    index = Benchmark([(str(i), " ".join(own[i : i + 400])) for i in range(0, len(own), 400)])
+    assert time.time() - began < 30 and len(index.windows[10][0]) == 391_000
+    hit, items = index.search(words(*utf8(pa.array([" ".join(own[805:820])])), ALNUM))
+    assert hit.all() and items == {0: {index.ids.index("800")}}
+
+
 def test_query_digest(spark, tmp_path):
     from pageloom.llm.decontaminate import op1_decontaminate
 

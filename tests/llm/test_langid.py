@@ -62,14 +62,14 @@ def made(spark, n=60):
     word = lambda k: "".join(r.sample(langs[k].replace(" ", ""), 4))
     rows = [(i, " ".join(word(k) for _ in range(r.randint(5, 60))), k) for i in range(n) for k in ("aa" if i % 2 else "bb",)]
     rows += [(n, None, "aa"), (n + 1, "", None), (n + 2, "12 %%%", "bb"), (None, "mano talu", "zz"), (n + 3, "你好" * 200, None), (n + 3, rows[0][1], None), (n + 4, "mano talu kiri " * 20000, "aa")]
-    return spark.createDataFrame([(*x, "s") for x in rows], "doc_id bigint, text string, lang string, lang_pred string").drop("lang_pred"), n
+    return spark.createDataFrame([(*x, "s") for x in rows], "doc_id bigint, text string, lang string, lang_pred string"), n
 
 
 def test_predictions(spark):
     docs, n = made(spark)
     model = L.fit(docs.where(~L.held_out(F.col("doc_id"))), sample=25)
     assert model.langs == ["aa", "bb"]
-    got = {(r.doc_id, r.text): r for r in L.identify(docs, model, keep=("doc_id", "text", "lang")).collect()}
+    got = {(r.doc_id, r.text): r for r in L.identify(docs, model, keep=("doc_id", "text", "lang", "lang_pred")).collect()}
     assert all(r.lang_pred == r.lang and not r.rejected for (i, _), r in got.items() if i is not None and i < n)
     for (i, text), r in got.items():
         assert 0 <= r.score <= 1

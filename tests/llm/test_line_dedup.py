@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from pageloom.llm import line_dedup as L
+from pageloom.llm import store
 from pageloom.llm.words import utf8
 
 
@@ -62,9 +63,9 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("broadcast", [400_000, -1])
+@pytest.mark.parametrize("broadcast", [16 << 20, -1])
 def test_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(L, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", broadcast)
     docs = corpus()
     got = L.dedup_lines(spark.createDataFrame([(d, t, "k") for d, t in docs], "doc_id bigint, text string, place string").repartition(3)).collect()
     assert len(got) == len(docs) and all(r.place == "k" for r in got)
@@ -110,9 +111,9 @@ def by_pairs(docs):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [400_000, -1])
+@pytest.mark.parametrize("broadcast", [16 << 20, -1])
 def test_every_repeated_run_of_two_lines_goes(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(L, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", broadcast)
     r = random.Random(4)
     passages = {n: [f"passage {n} {k} " + line(r) for k in range(n)] for n in (2, 3, 4, 5, 6, 10)}
     own = lambda i, k: [f"own {i} {k} {j} " + line(r) for j in range(r.randint(1, 4))]

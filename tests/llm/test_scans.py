@@ -1,6 +1,7 @@
 """Personal data and secrets: patterns against plain regular expressions, the field against its labels."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pageloom.llm import personal, secrets
-from pageloom.llm.crf import Crf, Tokens, viterbi
+from pageloom.llm.crf import Crf, Tokens, _marginals, viterbi
 from pageloom.llm.words import utf8
 
 
@@ -82,18 +83,26 @@ def test_viterbi_is_the_best_of_all_paths():
         assert labels[p : p + n].tolist() == list(best)
 
 
-def test_long_lines_are_tagged_alike_in_pieces(monkeypatch):
-    from pageloom.llm import crf as module
-
+def test_long_lines_are_tagged_by_their_best_path():
     crf = personal.model()
     r = random.Random(5)
     words = [personal._filler(r).strip() for _ in range(900)]
     for at in range(50, 900, 37):
         words[at : at + 3] = ["+1", "(555)", "123-4567"] if at % 2 else ["x", "4485123412341231", "y"]
     tokens = Tokens(*utf8(pa.array([" ".join(words), "short line"])))
-    pieces = crf.tag(tokens)
-    monkeypatch.setattr(module, "PIECE", 10_000)
-    assert (pieces == crf.tag(tokens)).all() and (pieces > 0).sum() > 40
+    got, n = crf.tag(tokens), tokens.first[1]
+    has_left, has_right = np.ones(len(got), bool), np.ones(len(got), bool)
+    has_left[[0, n]] = has_right[[n - 1, -1]] = False
+    e = crf._emissions(crf._ids(tokens), tokens.file, crf.weights, has_left, has_right).astype(float)
+    score, back = e[0] + crf.start, []
+    for row in e[1:n]:
+        ways = score[:, None] + crf.trans
+        back.append(ways.argmax(0))
+        score = ways.max(0) + row
+    path = [int(score.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    assert got[:n].tolist() == path[::-1] and (got > 0).sum() > 40
     assert crf.tag(Tokens(*utf8(pa.array(["", None], pa.string())))).size == 0
 
 
@@ -120,3 +129,21 @@ def test_corpus_without_planted_data_stays_clean():
     for crf, least in ((personal.model(), 6), (secrets.model(), 12)):
         hit = {row for row, a, b, _ in crf.spans(Tokens(data, offsets)) if b - a >= least}
         assert len(hit) / len(texts) < 0.01
+
+
+def test_forward_backward_against_all_paths():
+    r = np.random.default_rng(3)
+    e, trans, start = r.normal(size=(7, 3)), r.normal(size=(3, 3)), r.normal(size=3)
+    grid = np.array([[0, 1, 2, 3], [4, 5, 6, -1]])
+    p, edges, starts = _marginals(e, grid, grid >= 0, trans, start)
+    want_p, want_edges, want_starts = np.zeros((7, 3)), np.zeros((3, 3)), np.zeros(3)
+    for row in ([0, 1, 2, 3], [4, 5, 6]):
+        paths = list(itertools.product(range(3), repeat=len(row)))
+        weight = np.array([np.exp(start[q[0]] + sum(e[i, x] for i, x in zip(row, q, strict=True)) + sum(trans[x, y] for x, y in itertools.pairwise(q))) for q in paths])
+        for q, share in zip(paths, weight / weight.sum(), strict=True):
+            want_starts[q[0]] += share
+            for i, x in zip(row, q, strict=True):
+                want_p[i, x] += share
+            for x, y in itertools.pairwise(q):
+                want_edges[x, y] += share
+    assert np.allclose(p, want_p) and np.allclose(edges, want_edges) and np.allclose(starts, want_starts)
