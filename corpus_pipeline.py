@@ -20,14 +20,24 @@ from pageloom.llm.store import Scratch
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows beside id and text as one column, so that no column of theirs meets one that an operator makes."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model, keep=tuple(docs.columns)).where("not rejected").select(*docs.columns)
+    return langid.identify(_packed(docs), model, keep=("__doc",)).where("not rejected").select("__doc.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs, whole_runs=True).where("n_lines = 0 or n_removed < n_lines")
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rest = [x for x in docs.columns if x not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *rest).alias("__doc"))
+    cut = line_dedup.dedup_lines(packed, whole_runs=True).where("n_lines = 0 or n_removed < n_lines")
+    own = {x: F.col("__doc")[x] for x in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return cut.select(*(own[x].alias(x) for x in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +45,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontaminate(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("__doc",))
+    return found.where("n_hit = 0").select("__doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
