@@ -360,8 +360,9 @@ def preview_document(f):
 
 @query
 def ingest_documents(f):
-    """The whole flow with repair: blocks that are left, per document and parser, and warnings."""
+    """The whole flow with repair: the blocks that are left per document, how many of them repair gave, and the warnings in their order."""
     done = ingest(f.items, f.infos, REPAIR, lines=f.lines, attempts=f.attempts)
-    blocks = done.blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.count(F.when(c("parser") == ocr.PARSER, 1)).alias("n_repaired"))
-    warned = done.warnings.groupBy("document_id").agg(F.count("*").alias("n_warnings"))
-    return f.infos.select("document_id").distinct().join(blocks, "document_id", "left").join(warned, "document_id", "left").na.fill(0)
+    joined = lambda *keys: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys))), lambda x: x[keys[-1]]), "|")
+    blocks = done.blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.count(F.when(c("parser") == ocr.PARSER, 1)).alias("n_repaired"), joined("page", "seq", "text").alias("texts"))
+    warned = done.warnings.groupBy("document_id").agg(joined("ord", "warning").alias("warnings"))
+    return f.infos.select("document_id").distinct().join(blocks, "document_id", "left").join(warned, "document_id", "left").na.fill(0).na.fill("")

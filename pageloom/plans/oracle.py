@@ -117,12 +117,13 @@ PARTS = [
     """hole AS (SELECT document_id, page, max(CASE WHEN NOT """ + skipped("type") + " AND NOT " + filled("content") + """ AND (lower(type) <> 'table' OR rows_json IS NULL OR rows_json = '[]') THEN 1 ELSE 0 END) AS hole, max(CASE WHEN lower(type) = 'table' AND rows_json IS NOT NULL AND rows_json <> '[]' THEN 1 ELSE 0 END) AS tab FROM merged GROUP BY 1, 2)""",
     "trig AS (SELECT document_id, page, array_to_string(list_filter([CASE WHEN scanned THEN 'scan_or_low_text' END, CASE WHEN hole = 1 THEN 'structural_hole' END, CASE WHEN tab = 1 THEN 'table_layout' END], lambda x: x IS NOT NULL), ',') AS triggers FROM fl LEFT JOIN hole USING (document_id, page) WHERE scanned OR coalesce(hole, 0) = 1 OR coalesce(tab, 0) = 1)",
     f"ded AS (SELECT document_id, page, {fold('m', '(o.h = c[1].h AND o.s = c[1].s) OR (' + iou('o.b', 'c[1].b').replace('ELSE CAST(0 AS DOUBLE) END', 'ELSE CAST(0 AS DOUBLE) END') + ') >= 0.85').replace('o.s = c[1].s', 'true')} AS kept FROM (SELECT document_id, page, list(struct_pack(seq := seq, h := h, b := bb) ORDER BY seq) AS m FROM dup GROUP BY 1, 2))",
-    # recognised lines
+    # recognised lines, of all documents by their line ends
+    "oln AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents WHERE text IS NOT NULL)",
     """ol AS (SELECT document_id, page, slot AS line_no, att AS attempt_no, CASE WHEN document_id % 12 = 0 AND slot = 0 THEN '人工智慧 草案' WHEN document_id % 6 = 0 AND slot IN (0, 2) THEN '條 文' WHEN document_id % 6 = 0 AND slot = 1 THEN '說明' WHEN document_id % 9 = 0 AND slot = 4 THEN '一、' || line
         WHEN document_id % 9 = 0 AND slot = 7 THEN '二:' || line WHEN document_id % 15 = 0 AND slot = 6 THEN '第三條 ' || line WHEN slot = 9 THEN '（二） 法律·規定 ' || line ELSE line END AS text,
         CAST(0.4 AS DOUBLE) + CAST((document_id * 7 + seq * 3) % 60 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (att - 1) AS mean, x1, y1, x1 + least(CAST(5 AS DOUBLE) * length(line), CAST(540 AS DOUBLE)) AS x2, y1 + 40 AS y2
         FROM (SELECT *, CAST(CASE WHEN document_id % 12 = 0 AND slot = 0 THEN 500 WHEN document_id % 3 = 0 AND slot % 2 = 1 THEN 680 ELSE 60 END AS DOUBLE) AS x1, CAST(100 AS DOUBLE) + 60 * CASE WHEN document_id % 3 = 0 THEN slot // 2 ELSE slot END AS y1
-              FROM (SELECT document_id, seq, line, seq % 14 AS slot, CAST(seq // 14 + 1 AS INTEGER) AS page FROM ln WHERE NOT dense)), (VALUES (1), (2), (3), (4)) a(att))""",
+              FROM (SELECT document_id, seq, line, seq % 14 AS slot, CAST(seq // 14 + 1 AS INTEGER) AS page FROM oln)), (VALUES (1), (2), (3), (4)) a(att))""",
     "att AS (SELECT document_id, page, attempt_no, avg(mean) AS m, count(*) AS n, document_id % 61 = 0 AS bad FROM ol GROUP BY ALL)",
     "cho AS (SELECT document_id, page, coalesce(min(CASE WHEN m >= 0.55 AND n > 0 THEN attempt_no END), max(attempt_no)) AS attempt_no, bool_or(bad) AS bad FROM att GROUP BY 1, 2)",
     "cl AS (SELECT ol.*, (x1 + x2) / 2 AS cx FROM ol JOIN (SELECT * FROM cho WHERE NOT bad) c USING (document_id, page, attempt_no))",
@@ -148,6 +149,14 @@ PARTS = [
     f"mbf AS (SELECT document_id, page, {fold('m', 'c[1].src = 1 AND ' + overlap('c[1].x', 'o.x') + ' >= 0.5')} AS kept FROM (SELECT document_id, page, list(struct_pack(seq := seq, src := src, x := lower({strip('text')})) ORDER BY seq) AS m FROM mb GROUP BY 1, 2))",
     "om AS (SELECT mb.* FROM mb JOIN (SELECT document_id, page, unnest(kept).seq AS seq FROM mbf) k USING (document_id, page, seq))",
 ]
+PARTS += [
+    f"omd AS (SELECT document_id, page, {fold('m', 'o.h = c[1].h OR (' + iou('o.b', 'c[1].b') + ') >= 0.85')} AS kept FROM (SELECT document_id, page, list(struct_pack(seq := seq, h := h, b := bb) ORDER BY seq) AS m FROM om GROUP BY 1, 2))",
+    "fin AS (SELECT om.* FROM om JOIN (SELECT document_id, page, unnest(kept).seq AS seq FROM omd) k USING (document_id, page, seq))",
+    f"newk AS (SELECT m.document_id, count(*) AS n FROM (SELECT document_id, {key()} AS key FROM merged WHERE {filled('content')}) m WHERE EXISTS (SELECT 1 FROM kd WHERE pass = 2 AND kd.document_id = m.document_id AND kd.key = m.key) AND NOT EXISTS (SELECT 1 FROM kd WHERE pass = 1 AND has AND kd.document_id = m.document_id AND kd.key = m.key) GROUP BY 1)",
+    """noted AS (SELECT document_id, 'ODL dual-pass: ' || n || ' empty block(s) filled via useStructTree pass' AS warning, 0 AS o, 0 AS p FROM newk
+        UNION ALL SELECT DISTINCT t.document_id, 'OCR repair 第 ' || t.page || ' 頁失敗: render failed', 1, 0 FROM trig t JOIN cho c ON t.document_id = c.document_id AND t.page = c.page WHERE bad
+        UNION ALL SELECT d.document_id, '第 ' || d.page || ' 頁偵測到可解析文字但 blocks 為空，可能需要 fallback 解析。', 2, d.page FROM det d LEFT JOIN (SELECT DISTINCT document_id, page FROM fin) f ON d.document_id = f.document_id AND d.page = f.page WHERE ext AND f.page IS NULL)""",
+]
 _DUP = f"""dup AS (SELECT document_id, page, CAST(row_number() OVER (PARTITION BY document_id, page ORDER BY pass, seq) - 1 AS INTEGER) AS seq, struct_pack(x := {unit('"left" / 612')}, y := {unit('(CAST(792 AS DOUBLE) - bottom - (top - bottom)) / 792')}, w := {unit('("right" - "left") / 612')}, h := {unit('(top - bottom) / 792')}) AS bb, {sha16('page', trim('content'))} AS h FROM items WHERE {filled('content')} AND NOT {skipped('type')})"""
 PARTS.insert(next(i for i, p in enumerate(PARTS) if p.startswith("ded AS")), _DUP)
 
@@ -209,6 +218,7 @@ _SELECTS = {
     "layout_order": "SELECT document_id, page, string_agg(role, ',' ORDER BY seq) AS roles FROM para GROUP BY 1, 2",
     "text_cleanup": "SELECT document_id, page, seq, t AS text FROM cln",
     "cleanup_trail": "SELECT document_id, page, seq, k AS n_fixes FROM cln",
+    "ingest_documents": "SELECT d.document_id, coalesce(n, 0) AS n_blocks, coalesce(r, 0) AS n_repaired, coalesce(texts, '') AS texts, coalesce(warnings, '') AS warnings FROM (SELECT DISTINCT document_id FROM infos) d LEFT JOIN (SELECT document_id, count(*) AS n, count(*) FILTER (src = 1) AS r, string_agg(text, '|' ORDER BY page, seq) AS texts FROM fin GROUP BY 1) b USING (document_id) LEFT JOIN (SELECT document_id, string_agg(warning, '|' ORDER BY o, p, warning) AS warnings FROM noted GROUP BY 1) w USING (document_id)",
     "page_quality": f"SELECT d.document_id, CAST(d.page AS INTEGER) AS page, coalesce(n, 0) AS n_blocks, {R('c')} AS avg_confidence, coalesce(n, 0) = 0 AND ext AS is_empty, coalesce(n, 0) > 0 AND coalesce(c, 1) < 0.5 AS is_low FROM det d LEFT JOIN (SELECT document_id, page, count(*) AS n, avg(CAST(0.93 AS DOUBLE)) AS c FROM nat GROUP BY 1, 2) USING (document_id, page)",
     "quality_report": "SELECT document_id, count(*) FILTER (e) > 0 AS requires_fallback, '' AS low_confidence_pages, coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (e), '') AS empty_pages, coalesce(string_agg('第 ' || page || ' 頁偵測到可解析文字但 blocks 為空，可能需要 fallback 解析。', '|' ORDER BY page) FILTER (e), '') AS warnings FROM (SELECT d.document_id, d.page, ext AND n.page IS NULL AS e FROM det d LEFT JOIN (SELECT DISTINCT document_id, page FROM nat) n ON d.document_id = n.document_id AND d.page = n.page) GROUP BY 1",
     "warnings_distinct": "SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY o, w) - 1 AS INTEGER) AS ord, w AS warning FROM (SELECT document_id, content AS w, min(pass * 1000000 + seq) AS o FROM items WHERE content IS NOT NULL GROUP BY 1, 2)",

@@ -71,14 +71,14 @@ SELECT document_id, page, slot AS line_no, attempt_no,
        x1, y1, x1 + least(5D * length(line), 540D) AS x2, y1 + 40 AS y2
 FROM (SELECT *, CASE WHEN document_id % 12 = 0 AND slot = 0 THEN 500D WHEN document_id % 3 = 0 AND slot % 2 = 1 THEN 680D ELSE 60D END AS x1,
              100D + 60 * CASE WHEN document_id % 3 = 0 THEN slot DIV 2 ELSE slot END AS y1
-      FROM (SELECT document_id, seq, line, seq % 14 AS slot, CAST(seq DIV 14 + 1 AS INT) AS page FROM ({lines}) WHERE NOT dense))
+      FROM (SELECT document_id, seq, line, seq % 14 AS slot, CAST(seq DIV 14 + 1 AS INT) AS page FROM (SELECT doc_id AS document_id, posexplode(split(text, '\\n')) AS (seq, line) FROM {documents})))
 LATERAL VIEW explode(array(1, 2, 3, 4)) a AS attempt_no
 """
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised lines in pixels of four attempts per page."""
-    return spark.sql(_OCR.format(lines=_LINES.format(documents="{documents}")), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spark.sql(_OCR, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def ocr_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
