@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        at = tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _own_dir()
     return at.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="pageloom-")
+
+
 def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """The table, sent to all executors if its rows come to at most BROADCAST_BYTES (counted, strings and arrays by their own length)."""
     fixed, sizes = 16, []
