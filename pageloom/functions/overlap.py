@@ -54,6 +54,11 @@ class Kept:
         counts = Counter(text[i : i + self.window] for i in range(total))
         known = sorted(((len(there), n, there) for x, n in counts.items() if (there := self.windows.get(x))), key=lambda x: x[:2])
         left = sum(n for _, n, _ in known)
+        if left < need:
+            return False
+        for k in {k for _, _, there in known[:2] for k in (there[0], there[-1])}:  # where much is alike, one of these will do
+            if sum(n for _, n, there in known if (at := bisect_left(there, k)) < len(there) and there[at] == k) >= need:
+                return True
         hits: dict[int, int] = defaultdict(int)
         for _, n, there in known:  # the rarest first: a text that is only in what comes later can't reach the threshold once too little is left
             if left >= need:

@@ -93,6 +93,20 @@ def bbox_normalize(f):
     return f.items.withColumn("b", box).select("document_id", "pass", "seq", *(r6(f"b.{x}", x) for x in ("x", "y", "width", "height")))
 
 
+@query
+def bbox_if_needed(f):
+    """Boxes of which every other one is normalised already."""
+    points = F.struct(c("left").alias("x"), c("bottom").alias("y"), (c("right") - c("left")).alias("width"), (c("top") - c("bottom")).alias("height"), F.lit("points").alias("coordinate_system"))
+    done = G.normalized(*(points[x] for x in ("x", "y", "width", "height")), F.lit(adapter.PAGE_WIDTH), F.lit(adapter.PAGE_HEIGHT))
+    box = G.normalized_if_needed(F.when(c("seq") % 2 == 0, done).otherwise(points), F.lit(adapter.PAGE_WIDTH), F.lit(adapter.PAGE_HEIGHT))
+    return f.items.withColumn("b", box).select("document_id", "pass", "seq", *(r6(f"b.{x}", x) for x in ("x", "y", "width", "height")), "b.coordinate_system")
+
+
+@query
+def selection(f):
+    return export.selections(f.native).select("document_id", "id", "page", *(r6(f"bbox.{x}", x) for x in ("x", "y", "width", "height")))
+
+
 @query
 def quad_bbox(f):
     box = G.quad_normalized(c("x1"), c("y1"), c("x2"), c("y2"), F.lit(adapter.RASTER_WIDTH), F.lit(adapter.RASTER_HEIGHT), F.lit(adapter.PAGE_WIDTH), F.lit(adapter.PAGE_HEIGHT))
@@ -276,7 +290,7 @@ def text_cleanup(f):
 
 @query
 def cleanup_trail(f):
-    return layout.reconstruct(f.chosen_lines).select("document_id", "page", "seq", F.size(cleanup.cleaned(c("text"))["fixes"]).alias("n_fixes"))
+    return layout.reconstruct(f.chosen_lines).select("document_id", "page", "seq", cleanup.cleaned(c("text"))["fixes"].alias("fixes")).select("document_id", "page", "seq", F.size("fixes").alias("n_fixes"), F.array_join(F.transform("fixes", lambda x: F.concat(x["type"], F.lit(":"), x["after"])), "|").alias("trail"))
 
 
 @query
@@ -350,12 +364,13 @@ def html_items(f):
 
 @query
 def preview_document(f):
-    """The nested document of native blocks, flattened to counts and texts."""
+    """The nested document of native blocks, its parts as text: blocks with their type and source hash, pages with class and recommendation, warnings."""
     detections, blocks = f.detections, f.native
     documents = f.infos.select("document_id").distinct()
     none = merge.parser_warnings(f.items, f.merged, documents).withColumn("ord", F.lit(0))
     nested = export.preview_documents(documents, blocks, detections, none)
-    return nested.select("document_id", F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"), F.coalesce(F.array_join(c("blocks.text"), "|"), F.lit("")).alias("texts"), F.size("detections").cast("long").alias("n_pages"))
+    listed = lambda of, *names: F.coalesce(F.array_join(F.transform(of, lambda x: F.concat_ws(":", *(x[n].cast("string") for n in names))), "|"), F.lit("")).alias(of)
+    return nested.select("document_id", F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"), F.coalesce(F.array_join(c("blocks.text"), "|"), F.lit("")).alias("texts"), F.size("detections").cast("long").alias("n_pages"), listed("blocks", "block_type", "page", "source_hash", "parser", "extraction_mode"), listed("detections", "page", "layout_class", "parser_recommendation"), F.coalesce(F.array_join("warnings", "|"), F.lit("")).alias("warnings"))
 
 
 @query

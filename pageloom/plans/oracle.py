@@ -58,13 +58,13 @@ def fold(members: str, drop: str) -> str:
 
 
 def rewrite(rules: list[Rule], source: str, name: str) -> list[str]:
-    """A part for each rule, on the one before; t is the text, k the number of changes."""
+    """A part for each rule, on the one before; t is the text, k the changes."""
     out = []
     for i, r in enumerate(rules):
         quote = lambda x: "'" + x.replace("'", "''") + "'"
         new = f"replace(t, {quote(r.pattern)}, {quote(r.replacement)})" if r.literal else f"regexp_replace(t, {quote(_re2(r.pattern))}, {quote(r.replacement)}, 'g')"
         before = source if i == 0 else f"{name}{i - 1}"
-        out.append(f"{name}{i} AS (SELECT * REPLACE (n AS t, k + CAST(n <> t AS INTEGER) AS k) EXCLUDE (n) FROM (SELECT *, {new} AS n FROM {before}))".replace("SELECT * REPLACE (n AS t, k + CAST(n <> t AS INTEGER) AS k) EXCLUDE (n)", "SELECT * EXCLUDE (n) REPLACE (n AS t, k + CAST(n <> t AS INTEGER) AS k)"))
+        out.append(f"{name}{i} AS (SELECT * EXCLUDE (n) REPLACE (n AS t, CASE WHEN n <> t THEN list_append(k, '{r.kind}:' || n) ELSE k END AS k) FROM (SELECT *, {new} AS n FROM {before}))")
     return out
 
 
@@ -137,7 +137,7 @@ PARTS = [
         OR coalesce(lag(hdr) OVER (PARTITION BY document_id, page, side ORDER BY place), true) THEN 1 ELSE 0 END AS new FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page, side ORDER BY CASE WHEN strategy IS NULL THEN line_no ELSE y1 END, CASE WHEN strategy IS NULL THEN line_no ELSE x1 END, line_no) AS place FROM lay)))""",
     f"""para AS (SELECT document_id, page, CAST(row_number() OVER (PARTITION BY document_id, page ORDER BY side, island) - 1 AS INTEGER) AS seq, CASE WHEN side NOT IN (1, 2) OR hdr THEN one ELSE joined END AS text, mean, x1, y1, x2, y2, coalesce(strategy, 'esearch_paragraphs') AS strategy, role FROM
         (SELECT document_id, page, strategy, side, island, arg_min(text, place) AS one, bool_or(hdr) AS hdr, string_agg({trim('text')}, '' ORDER BY place) AS joined, sum(mean * greatest(1, length(text))) / sum(greatest(1, length(text))) AS mean, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, arg_min(role, place) AS role FROM isl GROUP BY ALL))""",
-    "raw AS (SELECT document_id, page, seq, text AS t, 0 AS k FROM para)",
+    "raw AS (SELECT document_id, page, seq, text AS t, CAST([] AS VARCHAR[]) AS k FROM para)",
     *rewrite(BEFORE_TRIM, "raw", "rw"),
     f"rwt AS (SELECT * REPLACE ({trim('t')} AS t) FROM rw{len(BEFORE_TRIM) - 1})",
     *rewrite(AFTER_TRIM, "rwt", "rp"),
@@ -183,6 +183,8 @@ _SELECTS = {
     "source_hash": f"SELECT document_id, pass, seq, {sha16('page', trim('content'))} AS source_hash FROM items WHERE {filled('content')}",
     "type_map": "SELECT type, CASE WHEN type IN ('heading', 'paragraph', 'table', 'list') THEN type ELSE 'unknown' END AS block_type, count(*) AS n FROM items GROUP BY ALL",
     "bbox_normalize": f"""SELECT document_id, pass, seq, {R(unit('"left" / 612'))} AS x, {R(unit('(CAST(792 AS DOUBLE) - bottom - (top - bottom)) / 792'))} AS y, {R(unit('("right" - "left") / 612'))} AS width, {R(unit('(top - bottom) / 792'))} AS height FROM items""",
+    "bbox_if_needed": f"""SELECT document_id, pass, seq, {R(unit('"left" / 612'))} AS x, {R(unit('(CAST(792 AS DOUBLE) - bottom - (top - bottom)) / 792'))} AS y, {R(unit('("right" - "left") / 612'))} AS width, {R(unit('(top - bottom) / 792'))} AS height, 'normalized' AS coordinate_system FROM items""",
+    "selection": f"SELECT document_id, sha256('opendataloader-default:' || document_id || ':' || page || ':' || seq)[1:32] AS id, CAST(page AS INTEGER) AS page, {R('bb.x')} AS x, {R('bb.y')} AS y, {R('bb.w')} AS width, {R('bb.h')} AS height FROM nat",
     "quad_bbox": f"SELECT document_id, page, line_no, {R(unit('x1 / 1275'))} AS x, {R(unit('y1 / 1650'))} AS y, {R(unit('(x2 - x1) / 1275'))} AS width, {R(unit('(y2 - y1) / 1650'))} AS height FROM ol WHERE attempt_no = 1",
     "collapse_ws": f"SELECT document_id, pass, seq, lower({strip('content')}) AS collapsed FROM items WHERE content IS NOT NULL",
     "char_census": f"SELECT document_id, pass, seq, length({strip('c')}) AS chars, length(c) - length({strip('c')}) AS spaces, length({strip('c')}) - length(regexp_replace({strip('c')}, '{CJK}', '', 'g')) AS cjk, length(c) - length(replace(c, chr(65533), '')) AS replaced FROM (SELECT *, coalesce(content, '') AS c FROM items)",
@@ -217,7 +219,7 @@ _SELECTS = {
     "paragraph_merge": f"SELECT document_id, page, seq, text, {R('mean')} AS mean, x1, y1, x2, y2, role FROM para",
     "layout_order": "SELECT document_id, page, string_agg(role, ',' ORDER BY seq) AS roles FROM para GROUP BY 1, 2",
     "text_cleanup": "SELECT document_id, page, seq, t AS text FROM cln",
-    "cleanup_trail": "SELECT document_id, page, seq, k AS n_fixes FROM cln",
+    "cleanup_trail": "SELECT document_id, page, seq, CAST(len(k) AS INTEGER) AS n_fixes, array_to_string(k, '|') AS trail FROM cln",
     "ingest_documents": "SELECT d.document_id, coalesce(n, 0) AS n_blocks, coalesce(r, 0) AS n_repaired, coalesce(texts, '') AS texts, coalesce(warnings, '') AS warnings FROM (SELECT DISTINCT document_id FROM infos) d LEFT JOIN (SELECT document_id, count(*) AS n, count(*) FILTER (src = 1) AS r, string_agg(text, '|' ORDER BY page, seq) AS texts FROM fin GROUP BY 1) b USING (document_id) LEFT JOIN (SELECT document_id, string_agg(warning, '|' ORDER BY o, p, warning) AS warnings FROM noted GROUP BY 1) w USING (document_id)",
     "page_quality": f"SELECT d.document_id, CAST(d.page AS INTEGER) AS page, coalesce(n, 0) AS n_blocks, {R('c')} AS avg_confidence, coalesce(n, 0) = 0 AND ext AS is_empty, coalesce(n, 0) > 0 AND coalesce(c, 1) < 0.5 AS is_low FROM det d LEFT JOIN (SELECT document_id, page, count(*) AS n, avg(CAST(0.93 AS DOUBLE)) AS c FROM nat GROUP BY 1, 2) USING (document_id, page)",
     "quality_report": "SELECT document_id, count(*) FILTER (e) > 0 AS requires_fallback, '' AS low_confidence_pages, coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (e), '') AS empty_pages, coalesce(string_agg('第 ' || page || ' 頁偵測到可解析文字但 blocks 為空，可能需要 fallback 解析。', '|' ORDER BY page) FILTER (e), '') AS warnings FROM (SELECT d.document_id, d.page, ext AND n.page IS NULL AS e FROM det d LEFT JOIN (SELECT DISTINCT document_id, page FROM nat) n ON d.document_id = n.document_id AND d.page = n.page) GROUP BY 1",
@@ -230,6 +232,6 @@ _SELECTS = {
     "page_infos_text": "SELECT document_id, CAST(page AS INTEGER) AS page, CASE WHEN document_id % 2 = 0 THEN CAST(600 + page AS DOUBLE) ELSE CAST(595.5 AS DOUBLE) END AS page_width, CAST(842 AS DOUBLE) AS page_height FROM infos",
     "parser_json": "SELECT document_id, pass, seq, type, page, \"left\", top, content, rows_json FROM items WHERE pass = 1",
     "html_items": r"""SELECT page_id AS document_id, CAST(i - 1 AS INTEGER) AS seq, CASE regexp_extract(e, '^<(h1|p|li|footer)', 1) WHEN 'h1' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list' ELSE 'footer' END AS type, trim(regexp_replace(regexp_replace(e, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS content FROM (SELECT page_id, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1|p|li|footer)\b[^>]*>.*?</(?:h1|p|li|footer)>') AS x FROM pages))""",
-    "preview_document": "SELECT d.document_id, coalesce(n, 0) AS n_blocks, coalesce(texts, '') AS texts, p AS n_pages FROM (SELECT document_id, count(*) AS p FROM det GROUP BY 1) d LEFT JOIN (SELECT document_id, count(*) AS n, string_agg(text, '|' ORDER BY page, seq) AS texts FROM nat GROUP BY 1) USING (document_id)",
+    "preview_document": "SELECT d.document_id, coalesce(b.n, 0) AS n_blocks, coalesce(texts, '') AS texts, p AS n_pages, coalesce(blocks, '') AS blocks, detections, coalesce('ODL dual-pass: ' || w.n || ' empty block(s) filled via useStructTree pass', '') AS warnings FROM (SELECT document_id, count(*) AS p, string_agg(page || ':' || cls || ':' || rec, '|' ORDER BY page) AS detections FROM rec GROUP BY 1) d LEFT JOIN (SELECT document_id, count(*) AS n, string_agg(text, '|' ORDER BY page, seq) AS texts, string_agg(block_type || ':' || page || ':' || h || ':opendataloader-default:native_text', '|' ORDER BY page, seq) AS blocks FROM nat GROUP BY 1) b USING (document_id) LEFT JOIN newk w USING (document_id)",
 }
 SQL = {k: with_parts(v) for k, v in _SELECTS.items()}

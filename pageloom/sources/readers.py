@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 ITEMS = "document_id bigint, pass int, seq int, type string, page int, left double, bottom double, right double, top double, content string, font_size double, rows_json string"
 UPLOAD_LIMIT = 50 * 1024 * 1024
+PAGES = "array<struct<page:int,page_width:double,page_height:double>>"
 KIDS = "struct<kids:array<struct<type:string,id:bigint,`page number`:int,`bounding box`:array<double>,content:string,`heading level`:int,`font size`:double,rows:string>>>"
 
 
-def read_uploads(spark: SparkSession, path: str, *, modified_before: str | None = None) -> DataFrame:
-    """Files as document_id (hash of the path), file_path, size and content; larger ones than the upload limit are left out."""
+def read_uploads(spark: SparkSession, path: str, *, modified_before: str | None = None, limit: int = UPLOAD_LIMIT) -> DataFrame:
+    """Files as document_id (hash of the path), file_path, size, content and error; larger ones than the limit have an error and no content."""
     reader = spark.read.format("binaryFile")
     if modified_before:
         reader = reader.option("modifiedBefore", modified_before)
-    return reader.load(path).where(F.col("length") <= UPLOAD_LIMIT).select(F.xxhash64("path").alias("document_id"), F.col("path").alias("file_path"), F.col("length").alias("size"), "content")
+    files = reader.load(path)
+    known = [F.xxhash64("path").alias("document_id"), F.col("path").alias("file_path"), F.col("length").alias("size")]
+    good = files.where(F.col("length") <= limit).select(*known, "content", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(files.where(F.col("length") > limit).select(*known, F.lit(None).cast("binary").alias("content"), F.lit(f"larger than {limit} bytes").alias("error")))
 
 
 def parse_items(parser_json: DataFrame) -> DataFrame:
@@ -25,26 +29,38 @@ def parse_items(parser_json: DataFrame) -> DataFrame:
     return rows.select("document_id", "pass", "seq", F.col("k.type").alias("type"), F.col("k.id").alias("id"), F.col("k.page number").alias("page"), *(F.get(box, F.lit(i)).alias(x) for i, x in enumerate(("left", "bottom", "right", "top"))), F.col("k.content").alias("content"), F.col("k.heading level").alias("heading_level"), F.col("k.font size").alias("font_size"), F.col("k.rows").alias("rows_json"))
 
 
-def parse_page_infos(info: DataFrame) -> DataFrame:
-    """document_id, output (page-information text) to page_infos.
-
-    Each page's own size if there are as many as pages, else the default size
-    for all; an error without page count or sizes.
-    """
+def _pages(info: DataFrame) -> DataFrame:
+    """document_id, pages (array) and error of page-information texts; one of the two is null."""
     text = F.col("output")
     count = F.regexp_extract(text, r"(?m)^Pages:\s+(\d+)$", 1)
     own = r"(?m)^Page\s+(\d+)\s+size:\s+([0-9.]+)\s+x\s+([0-9.]+)\s+pts\b"
     part = lambda i: F.regexp_extract_all(text, F.lit(own), F.lit(i))
     one = r"(?m)^Page size:\s+([0-9.]+)\s+x\s+([0-9.]+)\s+pts\b"
     pages = info.select("document_id", count.alias("count"), F.arrays_zip(part(1).alias("p"), part(2).alias("w"), part(3).alias("h")).alias("own"), F.regexp_extract(text, one, 1).alias("w"), F.regexp_extract(text, one, 2).alias("h"))
-    pages = pages.withColumn("count", F.when(F.col("count") != "", F.col("count").cast("int")).otherwise(F.raise_error(F.lit("no page count"))))
+    pages = pages.withColumn("count", F.try_to_number("count", F.lit("999999999")).cast("int"))
     last = F.filter("own", lambda x, i: ~F.exists(F.slice("own", i + 2, F.greatest(F.size("own"), F.lit(1))), lambda y: y["p"] == x["p"]))
     pages = pages.withColumn("own", last)
     whole = F.size("own") == F.col("count")
     given = F.transform("own", lambda x: F.struct(x["p"].cast("int").alias("page"), x["w"].cast("double").alias("page_width"), x["h"].cast("double").alias("page_height")))
     same = F.transform(F.sequence(F.lit(1), F.greatest("count", F.lit(1))), lambda i: F.struct(i.alias("page"), F.col("w").cast("double").alias("page_width"), F.col("h").cast("double").alias("page_height")))
-    chosen = F.when(whole, given).when(F.col("w") != "", F.when(F.col("count") > 0, same)).otherwise(F.raise_error(F.lit("no page dimensions")))
-    return pages.select("document_id", F.explode(chosen).alias("p")).select("document_id", "p.*")
+    chosen = F.when(whole, given).when(F.col("w") != "", F.when(F.col("count") > 0, same).otherwise(F.array().cast(PAGES)))
+    error = F.when(F.col("count").isNull(), "no page count").when(chosen.isNull(), "no page dimensions")
+    return pages.select("document_id", F.when(F.col("count").isNotNull(), chosen).alias("pages"), error.alias("error"))
+
+
+def parse_page_infos(info: DataFrame) -> DataFrame:
+    """document_id, output (page-information text) to page_infos.
+
+    Each page's own size if there are as many as pages, else the default size
+    for all; an error without page count or sizes.
+    """
+    told = F.when(F.col("error").isNull(), F.col("pages")).otherwise(F.raise_error(F.col("error")).cast(PAGES))
+    return _pages(info).select("document_id", F.explode(told).alias("p")).select("document_id", "p.*")
+
+
+def page_info_errors(info: DataFrame) -> DataFrame:
+    """document_id and error of the texts that parse_page_infos fails on."""
+    return _pages(info).where("error is not null").select("document_id", "error")
 
 
 def html_items(pages: DataFrame) -> DataFrame:

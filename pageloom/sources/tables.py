@@ -4,23 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_scopes: list[list] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written within it go at its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for fs, path in _scopes.pop():
+            fs.delete(path, True)
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="pageloom-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and there is but one machine (tests), a local temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        at = _own_dir()
+    return at.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df from Parquet in the folder that all machines share (spark.checkpoint.dir; unset: a local one).
+    """The rows of df from Parquet in the folder that all machines share.
 
     The plan ends there, so what follows doesn't plan or compute it again, and
-    a lost executor costs nothing. The files go when the session's JVM ends.
+    a lost executor costs nothing. The files go at the end of the scope, else
+    when the session's JVM ends.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    at = f"{root.rstrip('/')}/pageloom-table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pageloom-table-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    if _scopes:
+        _scopes[-1].append((fs, path))
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pageloom.plans.ingest import Ingested, ingest
 from pageloom.plans.options import IngestOptions
-from pageloom.sources.readers import parse_items, parse_page_infos
+from pageloom.sources import tables
+from pageloom.sources.readers import page_info_errors, parse_items, parse_page_infos
 
 ARRIVALS = "document_id bigint, page_info string, pass_1 string, pass_2 string"
 
@@ -22,14 +23,26 @@ def ingest_arrivals(arrived: DataFrame, options: IngestOptions = IngestOptions()
     return ingest(items, parse_page_infos(arrived.select("document_id", F.col("page_info").alias("output"))), options)
 
 
+def rejected(arrived: DataFrame) -> DataFrame:
+    """document_id, error of the documents whose page information can't be read."""
+    return page_info_errors(arrived.select("document_id", F.col("page_info").alias("output")))
+
+
 def stream_blocks(spark: SparkSession, source: str, target: str, checkpoint: str, *, options: IngestOptions = IngestOptions(), then: Callable[[Ingested, int], None] | None = None, **trigger) -> StreamingQuery:  # noqa: B008
-    """Ingest files of JSON rows (ARRIVALS) in folder source as they come; the blocks of micro-batch n go to target/batch=n, written anew if n is repeated."""
+    """Ingest files of JSON rows (ARRIVALS) in folder source as they come; the blocks of micro-batch n go to target/batch=n, written anew if n is repeated.
+
+    Documents that can't be read go to target-rejects/batch=n with their error; the others of the batch are ingested.
+    Intermediate tables go at the end of their batch.
+    """
 
     def one(arrived: DataFrame, n: int) -> None:
-        done = ingest_arrivals(arrived, options)
-        done.blocks.write.mode("overwrite").parquet(f"{target}/batch={n}")
-        if then is not None:
-            then(done, n)
+        with tables.scope():
+            bad = tables.written(rejected(arrived))
+            bad.write.mode("overwrite").parquet(f"{target}-rejects/batch={n}")
+            done = ingest_arrivals(arrived.join(bad, arrived["document_id"].eqNullSafe(bad["document_id"]), "left_anti"), options)
+            done.blocks.write.mode("overwrite").parquet(f"{target}/batch={n}")
+            if then is not None:
+                then(done, n)
 
     rows = spark.readStream.schema(ARRIVALS).json(source)
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(one).start()

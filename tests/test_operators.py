@@ -136,3 +136,49 @@ def test_ingest(spark):
     assert done.blocks.count() == 1 and done.detections.count() == 2
     texts = [r.warning for r in done.warnings.orderBy("document_id", "ord").collect()]
     assert sum("eSearch-OCR" in x for x in texts) == 2 and sum("無輸出" in x for x in texts) == 1
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 10)
+    (tmp_path / "b.pdf").write_bytes(b"y" * 30)
+    got = {r.file_path[-5:]: r for r in readers.read_uploads(spark, str(tmp_path), limit=20).collect()}
+    assert (bytes(got["a.pdf"].content), got["a.pdf"].error, got["a.pdf"].size) == (b"x" * 10, None, 10)
+    assert (got["b.pdf"].content, got["b.pdf"].error, got["b.pdf"].size) == (None, "larger than 20 bytes", 30)
+
+
+def test_merge_reads_its_items_once(spark, tmp_path):
+    items(spark, [(1, 1, 0, "paragraph", 1, 10, 700, None, None), (1, 2, 0, "paragraph", 1, 10, 700, "text", None)]).write.parquet(str(tmp_path / "items"))
+    plan = merge.merge_passes(spark.read.parquet(str(tmp_path / "items")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_folds_are_linear():
+    import time
+
+    from pageloom.functions.overlap import Boxes, keep_flags
+
+    began = time.time()
+    lines = [f"line {i * 7919 % 100003} of a long document" if i % 3 else f"w{i % 5000}" for i in range(100_000)]
+    flags = keep_flags(lines, [i % 2 == 0 for i in range(100_000)])
+    assert flags[0] and time.time() - began < 60
+    boxes = Boxes(0.85)
+    for i in range(20_000):
+        box = ("n", (i % 100) / 100, (i // 100) / 200, 0.008, 0.004)
+        assert not boxes.overlaps(*box)
+        boxes.add(*box)
+    assert boxes.overlaps("n", 0.5001, 0.25, 0.008, 0.004) and not boxes.overlaps("n", 0.502, 0.25, 0.008, 0.004) and time.time() - began < 90
+
+
+def test_boxes_against_all_pairs():
+    import random
+
+    from pageloom.functions.overlap import Boxes
+
+    r, kept, fast = random.Random(3), [], Boxes(0.85)
+    for _ in range(600):
+        box = (r.choice([0.1, 0.3]) + r.gauss(0, 0.01), 0.2 + r.gauss(0, 0.01), r.choice([0, 0.2, 0.21]) + r.random() / 50, 0.1 + r.random() / 100)
+        want = any(Boxes._iou(k, *box) >= 0.85 for k in kept)
+        assert fast.overlaps("n", *box) == want
+        if not want:
+            kept.append(box)
+            fast.add("n", *box)

@@ -1,5 +1,7 @@
 import json
+import os
 
+from pageloom.sources import tables
 from pageloom.streaming.arrivals import stream_blocks
 
 
@@ -15,3 +17,20 @@ def test_blocks_of_arriving_documents(spark, tmp_path):
         assert query.awaitTermination(120) and query.exception() is None
         got = spark.read.parquet(str(tmp_path / "out")).orderBy("document_id", "seq").collect()
         assert [(r.document_id, r.text) for r in got] == [(d, t) for d in range(1, n + 1) for t in (f"text of document {d}", "filled by the other pass")]
+
+
+def test_a_bad_row_goes_to_the_rejects_and_nothing_is_left(spark, tmp_path):
+    root = tables.shared_dir(spark).removeprefix("file:")
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    source = tmp_path / "in"
+    source.mkdir()
+    kids = json.dumps({"kids": [{"type": "paragraph", "id": 1, "page number": 1, "bounding box": [10, 690, 200, 700], "content": "a text of its own"}]})
+    for n in range(3):
+        rows = [{"document_id": 2 * n, "page_info": "Pages: 1\nPage size: 612 x 792 pts\n", "pass_1": kids, "pass_2": "{}"}, {"document_id": 2 * n + 1, "page_info": "nothing", "pass_1": kids, "pass_2": "{}"}]
+        (source / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        query = stream_blocks(spark, str(source), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        assert query.awaitTermination(120) and query.exception() is None
+    assert sorted(r.document_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4]
+    assert sorted((r.document_id, r.error) for r in spark.read.parquet(str(tmp_path / "out-rejects")).collect()) == [(n, "no page count") for n in (1, 3, 5)]
+    assert set(os.listdir(root)) - before == set()
