@@ -5,7 +5,10 @@ takes both away, a revised count adds the difference. A batch of changes is
 summed by key (partial sums first, so a hot source costs a row per task) and
 written under its batch id; a batch that was committed is never counted again,
 and one that broke off is overwritten by its next commit. Totals are the last
-snapshot plus the batches that it doesn't hold.
+snapshot plus the batches that it doesn't hold. Deltas are kept until the
+snapshot after the one that holds them is valid, so a reader of the snapshot
+before loses nothing; then they and older snapshots go. Ids of batches stay in
+tables, and a commit looks up its own id there.
 
 Defined results: null keys are keys. A key whose documents come to none has no
 row in the totals. An empty batch commits as an empty batch.
@@ -52,7 +55,7 @@ class Rollup:
         return [x for x in self._names("snapshots") if x.isdigit()]
 
     def committed(self, batch: str) -> bool:
-        return self.fs.exists(self._at(f"deltas/{batch}/_SUCCESS")) or batch in self._held()[1]
+        return self.fs.exists(self._at(f"deltas/{batch}/_SUCCESS")) or self._held_in(self._last(), batch)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Sum and write the changes; False, and nothing done, if this batch was committed before."""
@@ -63,31 +66,48 @@ class Rollup:
         summed(changes).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")  # _SUCCESS comes last
         return True
 
-    def _held(self) -> tuple[str | None, set[str]]:
-        """The last whole snapshot and the batches in it."""
-        for n in reversed(self._names_snapshots()):
-            if self.fs.exists(self._at(f"snapshots/{n}-batches/_SUCCESS")):
-                return n, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{n}-batches").collect()}
-        return None, set()
+    def _last(self) -> str | None:
+        """The last whole snapshot."""
+        return next((n for n in reversed(self._names_snapshots()) if self.fs.exists(self._at(f"snapshots/{n}-batches/_SUCCESS"))), None)
 
-    def _sums(self) -> tuple[DataFrame, set[str]]:
-        last, held = self._held()
-        new = [x for x in self.batches() if x not in held]
+    def _ids(self, snapshot: str) -> DataFrame:
+        """Ids of all batches in the snapshot."""
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{snapshot}-batches")
+
+    def _held_in(self, snapshot: str | None, batch: str) -> bool:
+        return snapshot is not None and not self._ids(snapshot).where(F.col("batch") == batch).isEmpty()
+
+    def _new(self, last: str | None) -> list[str]:
+        """Kept deltas that the snapshot doesn't hold: those of at most two snapshots' time are looked up."""
+        kept = self.batches()
+        if last is None or not kept:
+            return kept
+        held = {r.batch for r in self._ids(last).where(F.col("batch").isin(kept)).collect()}
+        return [x for x in kept if x not in held]
+
+    def _sums(self, last: str | None, new: list[str]) -> DataFrame:
         paths = [f"{self.path}/deltas/{x}" for x in new] + ([f"{self.path}/snapshots/{last}"] if last else [])
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return summed(rows), held | set(new)
+        return summed(self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA))
 
     def totals(self) -> DataFrame:
-        rows, _ = self._sums()
-        return rows.where("d_docs <> 0").select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
+        last = self._last()
+        return self._sums(last, self._new(last)).where("d_docs <> 0").select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
 
     def compact(self) -> None:
-        """Write a snapshot of all committed batches; its list of batches comes last and makes it valid."""
-        last, _ = self._held()
-        rows, batches = self._sums()
+        """Write a snapshot of all committed batches; its list of batches comes last and makes it valid. Then prune."""
+        last = self._last()
+        new = self._new(last)
+        older = [x for x in self.batches() if x not in new]
         name = f"{int(last or 0) + 1:09d}"
-        rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
-        self.spark.createDataFrame([(x,) for x in sorted(batches)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}-batches")
+        self._sums(last, new).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}")
+        ids = self.spark.createDataFrame([(x,) for x in new], "batch string")
+        (self._ids(last).unionByName(ids) if last else ids).write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}-batches")
+        for x in older:  # held by the snapshot before too
+            self.fs.delete(self._at(f"deltas/{x}"), True)
+        for n in self._names_snapshots():
+            if last and int(n) < int(last):
+                self.fs.delete(self._at(f"snapshots/{n}-batches"), True)
+                self.fs.delete(self._at(f"snapshots/{n}"), True)
 
 
 def word_count(text: F.Column) -> F.Column:

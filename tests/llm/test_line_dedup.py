@@ -6,7 +6,7 @@ import pytest
 
 from pageloom.llm import line_dedup as L
 from pageloom.llm import store
-from pageloom.llm.words import utf8
+from pageloom.llm.words import grams, utf8, words
 
 
 def cut(text):
@@ -35,6 +35,38 @@ def test_boundaries_move_with_the_lines():
     assert shared >= 25  # all but the edges and chunks of one line
 
 
+def plain_chunks(text):
+    """Chunks line by line: each line hashed alone, each pair of lines alone."""
+    out, own = [], []
+    for x in (x for x in text.split("\n") if x):
+        h = words(*utf8(pa.array([x])), L.IN_LINE).hash[0]
+        if len(own) > 1 and grams(np.array([own[-2][1], own[-1][1]]), 2)[0] % np.uint64(L.AVERAGE_LINES) == 0:
+            out.append([])
+        elif not own:
+            out.append([])
+        own.append((x, h))
+        out[-1].append(x)
+    return out
+
+
+def test_boundaries_line_by_line_and_the_least_id_keeps(spark):
+    docs = [(d, t) for d, t in corpus() if d is not None and d != 5] + [(7000 + i, "\n".join(["same a", "same b", "same c"] * i)) for i in range(6)]
+    data, offsets = utf8(pa.array([t for _, t in docs]))
+    row, lines, start, end = L.chunks(data, offsets)
+    plain = {d: plain_chunks(t or "") for d, t in docs}
+    assert [(int(r), int(n)) for r, n in zip(row, lines, strict=True)] == [(i, len(c)) for i, (d, _) in enumerate(docs) for c in plain[d]]
+    seen, want = set(), {}
+    for d, _ in sorted(docs):
+        want[d] = []
+        for c in plain[d]:
+            if len(c) == 1 or tuple(c) not in seen:
+                want[d] += c
+            if len(c) > 1:
+                seen.add(tuple(c))
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: [x for x in (r.text or "").split("\n") if x] for r in got} == want
+
+
 def brute(docs):
     """The same rule with whole texts as keys."""
     seen = {}

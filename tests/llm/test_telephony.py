@@ -60,6 +60,33 @@ def test_stored(spark):
     assert A.store_media(frame.limit(0)).count() == 0
 
 
+def expand(code, law):
+    """One G.711 sample, from its sign, exponent and mantissa."""
+    code ^= 0xFF if law == "mu" else 0x55
+    exponent, mantissa = code >> 4 & 7, code & 15
+    if law == "mu":
+        size = ((2 * mantissa + 33) << exponent + 2) - 132
+        return -size if code & 128 else size
+    size = (2 * mantissa + 1) * 8 if exponent == 0 else (2 * mantissa + 33) << exponent + 2
+    return size if code & 128 else -size
+
+
+def test_feature_and_pcm_sample_by_sample(spark, tmp_path):
+    texts = [None, "é" * 40, "hello world", "x" * 64, "Mixed Ünïcode 123 " * 30]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in A.op3_telephony(spark, str(tmp_path)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        mu, a = ([expand(c, law) for c in payload] for law in ("mu", "a"))
+        decoded = [x for i in range(0, len(payload), 64) for x in decode_one(payload[i : i + 64])]
+        n = len(payload)
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(mu, mu[1:], strict=False))
+        power = lambda xs: sum(x * x for x in xs) // len(xs)
+        assert r.feature == f"n={n};mulaw={power(mu)};crossings={crossings};alaw={power(a)};adpcm={power(decoded)};peak={max(map(abs, decoded))}"
+        pcm = [x for i, m in enumerate(mu) for x in (m, m + (mu[min(i + 1, n - 1)] - m) // 2)]
+        assert r.pcm_sha256 == hashlib.sha256(A.wav(b"".join(x.to_bytes(2, "little", signed=True) for x in pcm), A.PCM, 16000)).hexdigest()
+
+
 def test_query(spark, tmp_path):
     spark.createDataFrame([(1, "hello"), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     r = A.op3_telephony(spark, str(tmp_path)).orderBy("doc_id").first()

@@ -30,6 +30,24 @@ def test_commits_are_idempotent(spark, tmp_path):
         rollup.commit("../x", first)
 
 
+def test_compaction_prunes_what_the_snapshot_before_holds(spark, tmp_path):
+    rollup = C.Rollup(spark, str(tmp_path / "r"))
+    row = spark.createDataFrame([("a", "en", "v1", 1, 10)], CHANGES)
+    for i in range(4):
+        assert rollup.commit(f"b{i}", row)
+        rollup.compact()
+        assert rollup.batches() == [f"b{i}"]  # kept for readers of the snapshot before
+        assert rollup._names_snapshots() == [f"{n:09d}" for n in range(max(1, i), i + 2)]
+        assert totals(rollup) == [("a", "en", "v1", i + 1, 10 * (i + 1))]
+    assert not any(rollup.commit(f"b{i}", row) for i in range(4))
+    rollup.compact()
+    assert rollup.batches() == [] and totals(rollup) == [("a", "en", "v1", 4, 40)] and not rollup.commit("b0", row)
+    (tmp_path / "r/snapshots/000000005-batches/_SUCCESS").unlink()  # broken off: the one before still counts
+    assert totals(rollup) == [("a", "en", "v1", 4, 40)] and rollup.commit("b9", row) and totals(rollup) == [("a", "en", "v1", 5, 50)]
+    rollup.compact()
+    assert totals(rollup) == [("a", "en", "v1", 5, 50)] and not rollup.commit("b2", row)
+
+
 def test_a_broken_commit_is_written_again(spark, tmp_path):
     rollup = C.Rollup(spark, str(tmp_path / "r"))
     rows = spark.createDataFrame([("a", "en", "v1", 1, 10)], CHANGES)
