@@ -1,9 +1,16 @@
 """Greedy folds: keep a text or a box unless it overlaps one kept before.
 
-What is dropped must not drop others, so the folds go in order within a page or
-document. They run as Arrow UDFs over arrays, with indexes that keep each step's
-work to its own size: texts look up their rarest windows first, boxes look into
-the cells around them.
+What is dropped must not drop others, so a fold goes in order within a page or
+document. Rows are dealt by group and sorted, and an Arrow UDF that keeps its
+state from batch to batch says of each row whether it stays: no group is ever
+brought into one row, and only what is compared goes to Python. Indexes keep
+each step's work to its own size: texts look up their rarest windows, boxes the
+cells around them. Windows of a large group move to sorted runs in files, so
+memory is bounded by `MOST_WINDOWS`, a text, the group's different texts under a
+window, and 8 bytes for each text kept; of boxes some 300 bytes each are kept.
+
+A step that fails marks its row with an error and ends its group; the row stays,
+so that the error is seen.
 """
 
 from __future__ import annotations
@@ -11,78 +18,141 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pageloom.functions.runs import Runs, Texts
 
 WINDOW, THRESHOLD = 8, 0.5
+#: Windows that a group has in memory.
+MOST_WINDOWS = 1 << 18
 
 
 class Kept:
-    """Texts kept so far: the places of their windows, and which of the short texts (under a window) that may come lie in them."""
+    """Texts kept so far: the places of their windows, and which of the short texts (under a window) that may come lie in them.
+
+    Windows are in a dictionary until there are `most` of them; then they go, as
+    64-bit hashes, to sorted runs. What is found there is checked in the text itself.
+    """
 
-    def __init__(self, window: int = WINDOW, threshold: float = THRESHOLD, short: Iterable[str] | None = None):
-        self.window, self.threshold = window, threshold
+    def __init__(self, window: int = WINDOW, threshold: float = THRESHOLD, short: Iterable[str] | None = None, most: int = MOST_WINDOWS):
+        self.window, self.threshold, self.most = window, threshold, most
+        self.any = False
         self.texts: set[str] = set()
         self.windows: dict[str, list[int]] = {}
+        self.recent: list[str] = []
+        self.runs, self.stored = Runs(), None
         #: short texts that may be asked for, None: any; of these, those in a kept text
         self.short = None if short is None else set(short)
         self.lengths = range(window) if self.short is None else sorted({len(x) for x in self.short})
         self.inside: set[str] = set()
 
+    @property
+    def moved(self) -> int:
+        """Texts whose windows are in runs."""
+        return 0 if self.stored is None else len(self.stored)
+
     def add(self, text: str) -> None:
+        self.any = True
         if text in self.texts:
             return
-        k, w = len(self.texts), self.window
+        k, w = self.moved + len(self.recent), self.window
         self.texts.add(text)
-        for at in {text[i : i + w] for i in range(len(text) - w + 1)}:
-            self.windows.setdefault(at, []).append(k)
+        self.recent.append(text)
+        for first in range(0, max(len(text) - w + 1, 0), self.most):
+            for at in {text[i : i + w] for i in range(first, min(first + self.most, len(text) - w + 1))}:
+                there = self.windows.setdefault(at, [])
+                if not there or there[-1] != k:
+                    there.append(k)
+            if len(self.windows) >= self.most:
+                self._move()
         for n in self.lengths:
             parts = {text[i : i + n] for i in range(len(text) - n + 1)}
             self.inside |= parts if self.short is None else parts & self.short
+        if len(self.texts) >= self.most:
+            self._move()
+
+    def _move(self) -> None:
+        self.stored = Texts() if self.stored is None else self.stored
+        for text in self.recent:
+            self.stored.add(text)
+        n = sum(map(len, self.windows.values()))
+        keys = np.repeat(np.fromiter(map(hash, self.windows), np.int64, len(self.windows)), np.fromiter(map(len, self.windows.values()), np.int64, len(self.windows)))
+        self.runs.add(keys, np.fromiter((k for there in self.windows.values() for k in there), np.int64, n))
+        self.texts, self.windows, self.recent = set(), {}, []
+
+    def _places(self, counts: Counter) -> list[tuple[int, int, Sequence[int]]]:
+        """How many kept texts have a window, how often the new text has it, and which those are; the rarest first."""
+        if self.stored is None:
+            found = ((len(there), n, there) for x, n in counts.items() if (there := self.windows.get(x)))
+        else:
+            found = []
+            for (x, n), old in zip(counts.items(), self.runs.find(np.fromiter(map(hash, counts), np.int64, len(counts))), strict=True):
+                new = self.windows.get(x, [])
+                there = np.concatenate([old, new]).astype(np.int64) if len(new) else old
+                if len(there):
+                    there = there[np.concatenate([[True], there[1:] != there[:-1]])]
+                    found.append((len(there), n, there))
+        return sorted(found, key=lambda x: x[:2])
+
+    def _surely(self, k: int, counts: Counter, need: float) -> bool:
+        """Does text k, found by hashes if it is a stored one, have so many of the windows?"""
+        if k >= self.moved:
+            return True
+        text = self.stored[k]
+        return sum(n for x, n in counts.items() if x in text) >= need
 
     def overlaps(self, text: str) -> bool:
-        if not self.texts:
+        if not self.any:
             return False
         total = len(text) - self.window + 1
         if total < 1:
             return text in self.inside
         need = self.threshold * total
         counts = Counter(text[i : i + self.window] for i in range(total))
-        known = sorted(((len(there), n, there) for x, n in counts.items() if (there := self.windows.get(x))), key=lambda x: x[:2])
+        known = self._places(counts)
         left = sum(n for _, n, _ in known)
         if left < need:
             return False
-        for k in {k for _, _, there in known[:2] for k in (there[0], there[-1])}:  # where much is alike, one of these will do
+        wrong: set[int] = set()
+        for k in {int(k) for _, _, there in known[:2] for k in (there[0], there[-1])}:  # where much is alike, one of these will do
             if sum(n for _, n, there in known if (at := bisect_left(there, k)) < len(there) and there[at] == k) >= need:
-                return True
+                if self._surely(k, counts, need):
+                    return True
+                wrong.add(k)
         hits: dict[int, int] = defaultdict(int)
         for _, n, there in known:  # the rarest first: a text that is only in what comes later can't reach the threshold once too little is left
             if left >= need:
-                for k in there:
+                for k in map(int, there):
                     hits[k] += n
-                    if hits[k] >= need:
-                        return True
+                    if hits[k] >= need and k not in wrong:
+                        if self._surely(k, counts, need):
+                            return True
+                        wrong.add(k)
             else:
                 for k in list(hits):
-                    if hits[k] + left < need:
+                    if hits[k] + left < need or k in wrong:
                         del hits[k]
                     elif (at := bisect_left(there, k)) < len(there) and there[at] == k:
                         hits[k] += n
                         if hits[k] >= need:
-                            return True
+                            if self._surely(k, counts, need):
+                                return True
+                            wrong.add(k)
                 if not hits:
                     return False
             left -= n
         return False
 
 
-def keep_flags(texts, given) -> list[bool]:
+def keep_flags(texts, given, **how) -> list[bool]:
     """For texts in order: is it kept? given: kept whatever it overlaps."""
-    kept, out = Kept(short=(t for t in texts if len(t) < WINDOW)), []
+    kept, out = Kept(short=(t for t in texts if len(t) < WINDOW), **how), []
     for text, fixed in zip(texts, given, strict=True):
         keep = bool(fixed) or not kept.overlaps(text)
         if keep:
@@ -91,40 +161,43 @@ def keep_flags(texts, given) -> list[bool]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _fold(texts: pd.Series, given: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else keep_flags(t, g) for t, g in zip(texts, given, strict=True)], dtype=object)
-
-
-def greedy_keep(texts: Column, given: Column) -> Column:
-    """Arrays of collapsed texts and of flags to an array of flags; null stays null. One UDF for all uses: equal plans share their exchanges."""
-    return _fold(texts, given)
-
-
 class Boxes:
     """Boxes kept so far, in cells by the logarithms of their sizes and by their places.
 
     Boxes that overlap by `threshold` or more of their union do so along each
     axis too: their sizes differ by at most that factor, and their places by
     less than a fixed share of the size. So only the cells around a box matter,
-    and few kept boxes fit in one.
+    and few kept boxes fit in one. Cells are those of a threshold of at most
+    WIDEST; under LEAST they would hold nearly all boxes, and all are compared.
+    A threshold of 0 or less is met by any two boxes, also apart or without area.
     """
 
+    LEAST, WIDEST = 0.02, 0.98
+
     def __init__(self, threshold: float):
         self.threshold = threshold
-        self.base = -math.log(threshold)
-        self.share = (1 - threshold) / threshold
+        near = min(max(threshold, self.LEAST), self.WIDEST)
+        self.base = -math.log(near)
+        self.share = (1 - near) / near
+        self.every: list[tuple] | None = [] if threshold < self.LEAST else None
         self.cells: dict[tuple, list[tuple[float, float, float, float]]] = defaultdict(list)
 
     def _spot(self, at: float, band: int) -> int:
         return math.floor(at / (math.exp((band + 1) * self.base) * self.share))
 
     def add(self, system, x: float, y: float, w: float, h: float) -> None:
-        if w > 0 and h > 0:
+        if self.every is not None:
+            if self.threshold > 0 or not self.every:
+                self.every.append((system, x, y, w, h))
+        elif w > 0 and h > 0:
             a, b = math.floor(math.log(w) / self.base), math.floor(math.log(h) / self.base)
             self.cells[system, a, b, self._spot(x, a), self._spot(y, b)].append((x, y, w, h))
 
     def overlaps(self, system, x: float, y: float, w: float, h: float) -> bool:
+        if self.threshold <= 0:
+            return bool(self.every)
+        if self.every is not None:
+            return any(o[0] == system and self._iou(o[1:], x, y, w, h) >= self.threshold for o in self.every)
         if not (w > 0 and h > 0):
             return False
         dx, dy = w * self.share * 1.001, h * self.share * 1.001
@@ -146,27 +219,97 @@ class Boxes:
         return common / union if common > 0 and union > 0 else 0.0
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _fold_boxes(hashes: pd.Series, boxes: pd.Series, threshold: pd.Series) -> pd.Series:
-    out = []
-    for own, of, limit in zip(hashes, boxes, threshold, strict=True):
-        seen, kept, flags = set(), Boxes(limit), []
-        for digest, b in zip(own, of, strict=True):
-            box = (b["coordinate_system"], b["x"], b["y"], b["width"], b["height"]) if b is not None and None not in (b["x"], b["y"], b["width"], b["height"]) else None
-            keep = digest not in seen and not (box is not None and kept.overlaps(*box))
-            if keep:
-                if digest is not None:
-                    seen.add(digest)
-                if box is not None:
-                    kept.add(*box)
-            flags.append(keep)
-        out.append(flags)
-    return pd.Series(out, dtype=object)
-
-
-def greedy_boxes(hashes: Column, boxes: Column, threshold: float) -> Column:
-    """Arrays of hashes and of boxes to an array of flags: the first of equal hashes, and of boxes that overlap by the threshold (0 to 1, neither) the one kept first."""
-    return _fold_boxes(hashes, boxes, F.lit(float(threshold)))
+class Blocks:
+    """Hashes seen and boxes kept on a page; a block dropped for its box doesn't count as seen."""
+
+    def __init__(self, threshold: float):
+        self.seen: set = set()
+        self.boxes = Boxes(threshold)
+
+    def step(self, digest, *box) -> bool:
+        box = None if None in box[1:] or any(x != x for x in box[1:]) else box
+        if digest in self.seen or (box is not None and self.boxes.overlaps(*box)):
+            return False
+        if digest is not None:
+            self.seen.add(digest)
+        if box is not None:
+            self.boxes.add(*box)
+        return True
+
+
+FOLDED = "struct<keep:boolean,error:string>"
+
+
+def _folded(batches: Iterator[tuple[pd.Series, ...]], begin: Callable, step: Callable) -> Iterator[pd.DataFrame]:
+    """The first column tells where groups begin, the second which rows take part; the state goes on from batch to batch, and a failed group has none."""
+    state, broken = None, False
+    for new, takes, *columns in batches:
+        keep, errors = np.ones(len(new), dtype=bool), [None] * len(new)
+        new, takes = new.to_numpy(bool), takes.to_numpy(bool)
+        columns = [c.to_numpy() for c in columns]
+        for i in np.flatnonzero(new | takes).tolist():
+            try:
+                if new[i]:
+                    state, broken = None, False
+                    state = begin(*(c[i] for c in columns))
+                if takes[i] and not broken:
+                    keep[i] = step(state, *(c[i] for c in columns))
+            except Exception as e:  # noqa: BLE001
+                broken, errors[i] = True, str(e) or type(e).__name__
+        yield pd.DataFrame({"keep": keep, "error": pd.Series(errors, dtype=object)})
+
+
+def _fold(begin: Callable, step: Callable):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        return _folded(batches, begin, step)
+
+    # what it says of a row depends on those before it: no filter may go below it
+    return F.pandas_udf(run, FOLDED).asNondeterministic()
+
+
+def _begin_texts(short, text, given) -> Kept:
+    return Kept(short=short if short is not None else ())
+
+
+def _step_texts(kept: Kept, short, text, given) -> bool:
+    keep = bool(given) or not kept.overlaps(text)
+    if keep:
+        kept.add(text)
+    return keep
+
+
+def _kept(rows: DataFrame, keys: Sequence[str], order: Sequence, fold, takes: Column, *columns: Column) -> DataFrame:
+    """The rows that the fold keeps, with column error (null: none); what had an error before stays."""
+    group = Window.partitionBy(*keys)
+    rows = rows.withColumn("__new", F.row_number().over(group.orderBy(*order)) == 1)
+    rows = rows.withColumn("__fold", fold(F.col("__new"), F.coalesce(takes, F.lit(False)), *columns))
+    before = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("error", F.coalesce(before, "__fold.error")).where(F.col("__fold.keep") | F.col("error").isNotNull()).drop("__new", "__fold")
+
+
+def drop_overlapping_texts(rows: DataFrame, keys: Sequence[str], order: Sequence, text: Column, given: Column) -> DataFrame:
+    """Rows of each group in order, without those whose collapsed text (null: takes no part) overlaps one kept before. given: kept whatever it overlaps."""
+    rows = rows.withColumns({"__text": text, "__given": given})
+    short = F.when((F.length("__text") < WINDOW) & ~F.col("__given"), F.col("__text"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    rows = rows.withColumn("__first", first).withColumn("__short", F.when(F.col("__first"), F.collect_set(short).over(Window.partitionBy(*keys))))
+    return _kept(rows, keys, order, _text_fold(), F.col("__text").isNotNull(), F.col("__short"), F.col("__text"), F.col("__given")).drop("__text", "__given", "__first", "__short")
+
+
+@lru_cache(maxsize=1)
+def _text_fold():
+    return _fold(_begin_texts, _step_texts)
+
+
+@lru_cache(maxsize=16)
+def _box_fold(threshold: float):
+    return _fold(lambda *_: Blocks(threshold), lambda blocks, *of: blocks.step(*of))
+
+
+def drop_overlapping_boxes(rows: DataFrame, keys: Sequence[str], order: Sequence, digest: Column, box: Column, threshold: float) -> DataFrame:
+    """Rows of each group in order: the first of equal hashes, and of boxes that overlap by the threshold or more the one kept first."""
+    sides = [box[x] for x in ("coordinate_system", "x", "y", "width", "height")]
+    return _kept(rows, keys, order, _box_fold(float(threshold)), F.lit(True), digest, *sides)
 
 
 def overlap_ratio(new: Column, existing: Column, window: int = WINDOW) -> Column:

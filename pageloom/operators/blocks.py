@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import normalized
 from pageloom.functions.labels import block_type, is_skipped
-from pageloom.functions.overlap import greedy_boxes, greedy_keep
+from pageloom.functions.overlap import drop_overlapping_boxes, drop_overlapping_texts
 from pageloom.functions.text import collapse_ws, has_text, source_hash, trim
 
 PARSER, VERSION, CONFIDENCE = "opendataloader-default", "1.10.1", 0.93
@@ -20,19 +18,9 @@ def block_id(parser: str) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", F.lit(parser), "document_id", "page", "seq"), 256), 1, 32)
 
 
-def _unfold(rows: DataFrame, members: Callable[[], Column], flags: Callable[[Column], Column]) -> DataFrame:
-    """Rows grouped by page in order, without those that the flags drop; the rows travel with their group, so nothing is joined back."""
-    rest = [x for x in rows.columns if x not in ("document_id", "page")]
-    pages = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", members().alias("by"), F.struct(*rest).alias("row")))).alias("m"))
-    kept = F.filter(F.arrays_zip(F.col("m.row").alias("row"), F.coalesce(flags(F.col("m.by")), F.transform("m", lambda _: F.lit(True))).alias("keep")), lambda x: x["keep"])
-    return pages.select("document_id", "page", F.explode(kept).alias("x")).select("document_id", "page", "x.row.*").select(*rows.columns)
-
-
 def drop_overlapping(rows: DataFrame, given: Column) -> DataFrame:
-    """Rows (document_id, page, seq, text) in order, without those whose text overlaps one kept before on the page."""
-    several = lambda by: F.when(F.size(by) > 1, by)
-    flags = lambda by: greedy_keep(F.transform(several(by), lambda x: x["t"]), F.transform(several(by), lambda x: x["g"]))
-    return _unfold(rows, lambda: F.struct(collapse_ws(F.col("text")).alias("t"), given.alias("g")), flags)
+    """Rows (document_id, page, seq, text) in order, without those whose text overlaps one kept before on the page; with their error, if any."""
+    return drop_overlapping_texts(rows, ["document_id", "page"], ["seq"], collapse_ws(F.col("text")), given)
 
 
 def native_blocks(merged: DataFrame, page_infos: DataFrame) -> DataFrame:
@@ -40,10 +28,9 @@ def native_blocks(merged: DataFrame, page_infos: DataFrame) -> DataFrame:
     rows = merged.where(has_text(F.col("content")) & ~is_skipped(F.col("type"))).join(page_infos, ["document_id", "page"]).withColumn("text", trim(F.col("content")))
     kept = drop_overlapping(rows, F.lit(False))
     box = normalized(F.col("left"), F.col("bottom"), F.col("right") - F.col("left"), F.col("top") - F.col("bottom"), F.col("page_width"), F.col("page_height"))
-    return kept.select("document_id", "page", "seq", block_id(PARSER).alias("id"), block_type(F.col("type")).alias("block_type"), "text", box.alias("bbox"), F.lit(PARSER).alias("parser"), F.lit(VERSION).alias("parser_version"), F.lit("native_text").alias("extraction_mode"), F.lit(CONFIDENCE).alias("confidence"), F.array().cast("array<string>").alias("warnings"), source_hash(F.col("page"), F.col("text")).alias("source_hash"), F.lit(f"OpenDataLoader {VERSION}").alias("model_label"))
+    return kept.select("document_id", "page", "seq", block_id(PARSER).alias("id"), block_type(F.col("type")).alias("block_type"), "text", box.alias("bbox"), F.lit(PARSER).alias("parser"), F.lit(VERSION).alias("parser_version"), F.lit("native_text").alias("extraction_mode"), F.lit(CONFIDENCE).alias("confidence"), F.array().cast("array<string>").alias("warnings"), source_hash(F.col("page"), F.col("text")).alias("source_hash"), F.lit(f"OpenDataLoader {VERSION}").alias("model_label"), "error")
 
 
 def dedupe(blocks: DataFrame, threshold: float = 0.85) -> DataFrame:
     """First of equal hashes on a page; of boxes that overlap by the threshold the one kept first. A block dropped for its box doesn't count as seen."""
-    flags = lambda by: greedy_boxes(F.transform(by, lambda x: x["source_hash"]), F.transform(by, lambda x: x["bbox"]), threshold)
-    return _unfold(blocks, lambda: F.struct("source_hash", "bbox"), flags)
+    return drop_overlapping_boxes(blocks, ["document_id", "page"], ["seq"], F.col("source_hash"), F.col("bbox"), threshold)

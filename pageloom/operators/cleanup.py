@@ -1,21 +1,29 @@
 """Text cleanup: an ordered chain of rewrites, each recorded if it changed the text.
 
 Rules are rows (kind, pattern, replacement); literal kinds replace plain text.
-The chain depends on its order and on each step's text, so it runs as one
-vectorised UDF; texts are independent of each other.
+They can come from a table (`rules_from`), and a script conversion may go first
+(`functions.phrases`).
+
+The chain depends on its order and on each step's text, as what a rule writes
+may be what a later one looks for. Only a rule that matches the text as it is
+can be the first to change it, so texts that match none stay in the JVM: one
+regular expression tells. For the others one pass of an Aho-Corasick automaton
+tells which literal rules occur; the first of them in order goes, and what it
+changed is passed again. Texts are independent of each other; a text that a
+given conversion fails on has an error and no text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
 
 
 class Rule(NamedTuple):
@@ -23,6 +31,8 @@ class Rule(NamedTuple):
     pattern: str
     replacement: str
     literal: bool = False
+    #: a Java pattern without which a rule that isn't literal changes nothing, None: not known
+    needs: str | None = None
 
 
 _S = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
@@ -52,49 +62,122 @@ PHRASES = [
 SPACING = [(rf"(\p{{Han}}){_S}+(\p{{Han}})", r"\1\2"), (rf"{_S}+([，。；：、！？）】])", r"\1"), (rf"([（【]){_S}+", r"\1"), (r"([A-Za-z])(\p{Han})", r"\1 \2"), (r"(\p{Han})([A-Za-z]{2,})", r"\1 \2"), (rf"{_S}{{2,}}", " ")]
 PUNCTUATION = [(r"(\p{Han})·(\p{Han})", r"\1，\2"), (r"([一二三四五六七八九十])[:：]", r"\1、"), (r"(\p{Han})[:：](\p{Han})", r"\1，\2"), (r"，([）】])", r"\1"), (rf"（{_S}*([A-Za-z])", r"（\1"), (rf"([A-Za-z]){_S}*）", r"\1）")]
 
-BEFORE_TRIM = [Rule("ocr_confusion", a, b, True) for a, b in CONFUSIONS] + [Rule("whitespace", a, b, True) for a, b in PHRASES] + [Rule("whitespace", a, b) for a, b in SPACING]
-AFTER_TRIM = [Rule("punctuation", a, b) for a, b in PUNCTUATION]
-RESULT = "struct<text:string,fixes:array<struct<type:string,before:string,after:string>>>"
+#: Characters of which the spacing and punctuation rules need one, or white space twice.
+_NEEDS = rf"[\p{{IsHan}}，。；：、！？）】（【]|{_S}{_S}"
+
+BEFORE_TRIM = [Rule("ocr_confusion", a, b, True) for a, b in CONFUSIONS] + [Rule("whitespace", a, b, True) for a, b in PHRASES] + [Rule("whitespace", a, b, needs=_NEEDS) for a, b in SPACING]
+AFTER_TRIM = [Rule("punctuation", a, b, needs=_NEEDS) for a, b in PUNCTUATION]
+RESULT = "struct<text:string,fixes:array<struct<type:string,before:string,after:string>>,error:string>"
+#: Rules that a table may have: they go to every task.
+MOST_RULES = 10_000
+
+
+def rules_from(table: DataFrame) -> tuple[list[Rule], list[Rule]]:
+    """The rules before and after the trim of a table: ord, kind, pattern, replacement, literal, after_trim (of MOST_RULES rows at most)."""
+    rows = table.select("ord", "kind", "pattern", "replacement", "literal", "after_trim").orderBy("ord").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    if bad := [r.ord for r in rows if not r.pattern or r.replacement is None]:
+        raise ValueError(f"rules without pattern or replacement: {bad}")
+    known = {(x.pattern, x.literal): x.needs for x in (*BEFORE_TRIM, *AFTER_TRIM)}
+    made = [(Rule(r.kind, r.pattern, r.replacement, bool(r.literal), known.get((r.pattern, bool(r.literal)))), bool(r.after_trim)) for r in rows]
+    return [x for x, after in made if not after], [x for x, after in made if after]
+
+
+class Chain:
+    """Rules in order, compiled: an automaton of the literal ones, and whether any of the others matches."""
+
+    def __init__(self, rules: Sequence[Rule]):
+        self.rules = rules
+        self.patterns = {i: regex.compile(r.pattern) for i, r in enumerate(rules) if not r.literal}
+        self.any_pattern = regex.compile("|".join(f"(?:{r.pattern})" for r in rules if not r.literal)) if self.patterns else None
+        self.automaton = None
+        of: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            if r.literal:
+                of.setdefault(r.pattern, []).append(i)
+        if of:
+            self.automaton = ahocorasick.Automaton()
+            for pattern, numbers in of.items():
+                self.automaton.add_word(pattern, numbers)
+            self.automaton.make_automaton()
+
+    def _due(self, text: str, after: int) -> list[int]:
+        """Rules beyond one that may change the text, in order."""
+        due = {i for _, numbers in self.automaton.iter(text) for i in numbers if i > after} if self.automaton is not None else set()
+        if self.any_pattern is not None and self.any_pattern.search(text):
+            due |= {i for i in self.patterns if i > after}
+        return sorted(due)
+
+    def run(self, text: str) -> Iterator[tuple[Rule, str]]:
+        """The rules that change the text, and what it is then."""
+        due = self._due(text, -1)
+        while due:
+            i = due.pop(0)
+            rule = self.rules[i]
+            new = text.replace(rule.pattern, rule.replacement) if rule.literal else self.patterns[i].sub(rule.replacement, text)
+            if new != text:
+                text = new
+                yield rule, text
+                due = self._due(text, i)
+
+
+_ENDS = regex.compile(f"^{_S}+|{_S}+\\Z")
 
 
 def clean_text(text: str, before: Sequence[Rule], after: Sequence[Rule], convert: Callable[[str], str] | None = None) -> tuple[str, list[dict]]:
     """The cleaned text and the steps that changed it."""
     fixes: list[dict] = []
-
-    def step(text: str, kind: str, new: str) -> str:
-        if new != text:
-            fixes.append({"type": kind, "before": text, "after": new})
-        return new
-
-    if convert is not None:
-        text = step(text, "opencc", convert(text))
-    for i, rules in enumerate((before, after)):
-        for r in rules:
-            text = step(text, r.kind, text.replace(r.pattern, r.replacement) if r.literal else _compiled(r.pattern).sub(r.replacement, text))
-        if i == 0:
-            text = _compiled(f"^{_S}+|{_S}+\\Z").sub("", text)
+    if convert is not None and (new := convert(text)) != text:
+        fixes.append({"type": "opencc", "before": text, "after": new})
+        text = new
+    for chain in (_chain(tuple(before)), _chain(tuple(after))):
+        for rule, new in chain.run(text):
+            fixes.append({"type": rule.kind, "before": text, "after": new})
+            text = new
+        if chain.rules == tuple(before):
+            text = _ENDS.sub("", text)
     return text, fixes
 
 
-_known: dict[str, regex.Pattern] = {}
+@lru_cache(maxsize=16)
+def _chain(rules: tuple[Rule, ...]) -> Chain:
+    return Chain(rules)
 
 
-def _compiled(pattern: str) -> regex.Pattern:
-    if pattern not in _known:
-        _known[pattern] = regex.compile(pattern)
-    return _known[pattern]
+def may_change(text: Column, rules: Sequence[Rule]) -> Column:
+    """Can any of the rules, or the trim, change the text? Certain only of the answer no."""
+    if any(not r.literal and r.needs is None for r in rules):
+        return F.lit(True)
+    plain = [r.pattern for r in rules if r.literal and r.pattern.isascii()]
+    # of a literal that isn't ASCII the character furthest up will do
+    classes = sorted({max(r.pattern) for r in rules if r.literal and not r.pattern.isascii()})
+    parts = sorted({r.needs for r in rules if not r.literal})
+    if classes:
+        parts.append("[" + "".join(f"\\x{{{ord(x):X}}}" for x in classes) + "]")
+    found = text.rlike("|".join([*parts, f"^{_S}", f"{_S}$"]))
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in plain), found)
 
 
 @lru_cache(maxsize=16)
 def _cleaner(before: tuple[Rule, ...], after: tuple[Rule, ...], convert: Callable[[str], str] | None):
-    @F.pandas_udf(_parse_datatype_string(RESULT))
+    def one(text: str | None) -> tuple:
+        if text is None:
+            return None, [], None
+        try:
+            return *clean_text(text, before, after, convert), None
+        except Exception as e:  # noqa: BLE001
+            return None, [], str(e) or type(e).__name__
+
+    @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        out = [clean_text(t, before, after, convert) if t is not None else (None, []) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in out], "fixes": [f for _, f in out]})
+        return pd.DataFrame([one(t) for t in texts], columns=["text", "fixes", "error"], dtype=object)
 
     return run
 
 
 def cleaned(text: Column, *, before: Sequence[Rule] = BEFORE_TRIM, after: Sequence[Rule] = AFTER_TRIM, convert: Callable[[str], str] | None = None) -> Column:
-    """Struct of text and fixes. convert: a script conversion that goes first, none by default."""
-    return _cleaner(tuple(before), tuple(after), convert)(text)
+    """Struct of text, fixes and error. convert: a script conversion that goes first, none by default."""
+    goes = F.lit(True) if convert is not None else may_change(text, [*before, *after])
+    as_it_is = F.struct(text.alias("text"), F.array().cast("array<struct<type:string,before:string,after:string>>").alias("fixes"), F.lit(None).cast("string").alias("error"))
+    return F.when(goes, _cleaner(tuple(before), tuple(after), convert)(F.when(goes, text))).otherwise(as_it_is)

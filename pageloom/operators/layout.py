@@ -39,19 +39,28 @@ def is_column_header(text: Column) -> Column:
     return strip_ws(text).isin(*COLUMN_HEADERS)
 
 
-def page_strategy(lines: DataFrame) -> DataFrame:
-    """document_id, page, strategy (null: none). lines have width_px."""
-    w = F.first("width_px")
+def _facts() -> dict[str, Column]:
+    """What the strategy of a page asks of its lines, as aggregates."""
     compact, top = strip_ws(F.col("text")), F.col("y1") < 240
     body = (F.length(trim(F.col("text"))) >= 2) & (F.col("y1") > 70)
     left, right = body & (center_x() < F.col("width_px") * 0.48), body & (center_x() > F.col("width_px") * 0.52)
     n = lambda x: F.count(F.when(x, 1))
-    facts = lines.groupBy("document_id", "page").agg(
-        w.alias("w"), F.max(top & compact.contains("條文")).alias("has_article"), F.max(top & compact.contains("說明")).alias("has_note"),
-        n(body).alias("body"), n(left).alias("left"), n(right).alias("right"), F.max(F.when(left, F.col("x2"))).alias("left_max"), F.min(F.when(right, F.col("x1"))).alias("right_min"),
-    )
-    spread = (F.col("body") >= 12) & (F.col("left") >= 5) & (F.col("right") >= 5) & ((F.col("right_min") - F.col("left_max") > F.col("w") * 0.01) | (F.col("left") + F.col("right") >= F.col("body") * 0.75))
-    return facts.select("document_id", "page", F.when(F.col("has_article") & F.col("has_note"), LEGAL).when(spread, TABLE).alias("strategy"))
+    return {
+        "w": F.first("width_px"), "has_article": F.max(top & compact.contains("條文")), "has_note": F.max(top & compact.contains("說明")),
+        "body": n(body), "left": n(left), "right": n(right), "left_max": F.max(F.when(left, F.col("x2"))), "right_min": F.min(F.when(right, F.col("x1"))),
+    }
+
+
+def _strategy(of: dict[str, Column]) -> Column:
+    spread = (of["body"] >= 12) & (of["left"] >= 5) & (of["right"] >= 5) & ((of["right_min"] - of["left_max"] > of["w"] * 0.01) | (of["left"] + of["right"] >= of["body"] * 0.75))
+    return F.when(of["has_article"] & of["has_note"], LEGAL).when(spread, TABLE)
+
+
+def page_strategy(lines: DataFrame) -> DataFrame:
+    """document_id, page, strategy (null: none). lines have width_px."""
+    facts = _facts()
+    rows = lines.groupBy("document_id", "page").agg(*(v.alias(k) for k, v in facts.items()))
+    return rows.select("document_id", "page", _strategy({k: F.col(k) for k in facts}).alias("strategy"))
 
 
 def generic_headers(lines: DataFrame) -> DataFrame:
@@ -70,12 +79,16 @@ def layout_rank(strategy: Column, role: Column) -> Column:
     return F.when(~F.coalesce(strategy.isin(LEGAL, TABLE), F.lit(False)), 10).when(role == "title", 0).when(role.isin("article", "left"), 1).when(role.isin("explanation", "right"), 2).otherwise(3)
 
 
-def reconstruct(lines: DataFrame) -> DataFrame:
+def reconstruct(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Paragraphs of each page in reading order (seq): titles, left and right column with their lines merged; without a strategy the lines as they are.
 
     Columns are told apart at the middle of the page. lines: document_id, page, line_no, text, mean, x1, y1, x2, y2, width_px.
+    carry: columns of lines that are the same for a page. All steps go by page: lines dealt so aren't dealt again.
     """
-    rows = lines.where(has_text(F.col("text"))).join(page_strategy(lines), ["document_id", "page"])
+    page = Window.partitionBy("document_id", "page")
+    facts = _facts()
+    rows = lines.withColumns({f"fact_{k}": v.over(page) for k, v in facts.items()})
+    rows = rows.withColumn("strategy", _strategy({k: F.col(f"fact_{k}") for k in facts})).drop(*(f"fact_{k}" for k in facts)).where(has_text(F.col("text")))
     role = F.when(F.col("strategy").isNull(), "unknown").when(is_title(F.col("width_px")), "title").otherwise(column_role(F.col("strategy"), F.col("width_px")))
     rows = rows.withColumn("role", role).withColumn("side", F.when(F.col("strategy").isNull(), 9).otherwise(layout_rank(F.col("strategy"), F.col("role"))))
     order = Window.partitionBy("document_id", "page", "side").orderBy(*(F.when(F.col("strategy").isNull(), F.col("line_no")).otherwise(F.col(x)) for x in ("y1", "x1")), "line_no")
@@ -90,8 +103,8 @@ def reconstruct(lines: DataFrame) -> DataFrame:
     merged = rows.groupBy("document_id", "page", "strategy", "side", "island").agg(
         F.count("*").alias("n"), F.min_by("text", "place").alias("one"), F.max("header").alias("header"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", trim(F.col("text")).alias("t")))), lambda s: s["t"]), "").alias("joined"),
-        (F.sum(F.col("mean") * weight) / F.sum(weight)).alias("mean"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min_by("role", "place").alias("role"),
+        (F.sum(F.col("mean") * weight) / F.sum(weight)).alias("mean"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min_by("role", "place").alias("role"), *(F.first(x).alias(x) for x in carry),
     )
     text = F.when(~F.col("side").isin(1, 2) | F.col("header"), F.col("one")).otherwise(F.col("joined"))
     reading = Window.partitionBy("document_id", "page").orderBy("side", "island")
-    return merged.select("document_id", "page", (F.row_number().over(reading) - 1).alias("seq"), text.alias("text"), "mean", "x1", "y1", "x2", "y2", F.coalesce("strategy", F.lit(PLAIN)).alias("strategy"), "role", only.alias("single"))
+    return merged.select("document_id", "page", (F.row_number().over(reading) - 1).alias("seq"), text.alias("text"), "mean", "x1", "y1", "x2", "y2", F.coalesce("strategy", F.lit(PLAIN)).alias("strategy"), "role", only.alias("single"), *carry)

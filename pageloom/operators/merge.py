@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import block_key
 from pageloom.functions.labels import is_skipped
-from pageloom.functions.overlap import greedy_keep
+from pageloom.functions.overlap import drop_overlapping_texts
 from pageloom.functions.text import collapse_ws, has_text
 
 FIELDS = ("type", "page", "left", "bottom", "right", "top", "content", "font_size", "rows_json")
@@ -59,24 +59,22 @@ def extras(items: DataFrame) -> DataFrame:
 def merge_passes(items: DataFrame) -> DataFrame:
     """Pass 1 with blanks filled, and the extras of pass 2 whose text doesn't overlap one kept before anywhere in the document; by page, then from the top.
 
-    seq is the new order; new tells of items whose text pass 1 has nowhere under their key.
+    seq is the new order; new tells of items whose text pass 1 has nowhere under their key; error of a document whose merge failed at an item.
     """
     marked = _marked(items)
     fill = ~F.col("text_there") & F.coalesce(F.col("alt.text_there"), F.lit(False)) & (F.col("pass") == 1)
     extra = F.col("text_there") & ~F.col("in_first") & F.col("gap") & (F.col("pass") == 2)
     rows = marked.where((F.col("pass") == 1) | extra).withColumn("fill", fill)
     merged = F.struct(*(F.when(F.col("fill"), F.col(f"alt.of.{x}")).otherwise(F.col(x)).alias(x) for x in FIELDS))
-    rows = rows.select("document_id", F.struct(F.col("pass").alias("src"), "seq", F.col("fill").alias("filled"), ((F.col("fill") | extra) & ~F.col("text_in_first")).alias("new"), (F.col("text_there") | F.col("fill")).alias("text_there"), merged.alias("of")).alias("m"))
-    folded = rows.groupBy("document_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    of = {x: F.when(F.col("fill"), F.col(f"alt.of.{x}")).otherwise(F.col(x)) for x in FIELDS}
+    rows = rows.select("document_id", F.col("pass").alias("src"), F.col("seq").alias("old"), F.col("fill").alias("filled"), ((F.col("fill") | extra) & ~F.col("text_in_first")).alias("new"), (F.col("text_there") | F.col("fill")).alias("told"), *(v.alias(k) for k, v in of.items()))
     # only documents with extras have something to decide, and blank items drop nothing
-    undecided = F.exists("m", lambda x: x["src"] == 2)
-    told = F.when(undecided, F.filter("m", lambda x: x["text_there"]))
-    flags = greedy_keep(F.transform(told, lambda x: collapse_ws(x["of"]["content"])), F.transform(told, lambda x: x["src"] == 1))
-    kept = F.transform(F.filter(F.arrays_zip(told.alias("x"), flags.alias("keep")), lambda z: z["keep"]), lambda z: z["x"])
-    kept = F.when(undecided, F.concat(F.filter("m", lambda x: ~x["text_there"]), kept)).otherwise(F.col("m"))
-    rows = folded.select("document_id", F.explode(kept).alias("m")).select("document_id", "m.src", F.col("m.seq").alias("old"), "m.filled", "m.new", "m.of.*")
+    undecided = F.max(F.col("src") == 2).over(Window.partitionBy("document_id"))
+    rows = rows.withColumn("undecided", undecided)
+    text = F.when(F.col("undecided") & F.col("told"), collapse_ws(F.col("content")))
+    kept = drop_overlapping_texts(rows, ["document_id"], ["src", "old"], text, F.col("src") == 1)
     order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "src", "old")
-    return rows.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new")
+    return kept.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new", "error")
 
 
 def filled_count(merged: DataFrame) -> DataFrame:

@@ -51,17 +51,34 @@ def attempt_log(summary: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("attempt_no", steps.alias("steps")))).alias("s")).select("document_id", "page", F.flatten(F.transform("s", lambda x: x["steps"])).alias("fallback_reasons"))
 
 
+RASTER = ("width_px", "height_px", "dpi", "model_label")
+
+
+def chosen_lines(lines: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Lines of each page's chosen attempt, with what RASTER names of it; pages with an error have none.
+
+    Lines and attempts are dealt by page once; means, counts and the choice are windows over a page's rows.
+    """
+    rows = lines.withColumn("is_line", F.lit(True)).unionByName(attempts.select("document_id", "page", "attempt_no", *RASTER, "error", F.lit(False).alias("is_line")), allowMissingColumns=True)
+    page = Window.partitionBy("document_id", "page")
+    attempt = Window.partitionBy("document_id", "page", "attempt_no")
+    known = F.coalesce(F.max(~F.col("is_line")).over(attempt), F.lit(False))
+    mean, n = F.avg(F.when(F.col("is_line") & finite(F.col("mean")), F.col("mean"))).over(attempt), F.count(F.when(F.col("is_line"), 1)).over(attempt)
+    rows = rows.repartition("document_id", "page").withColumns({x: F.max(x).over(attempt) for x in RASTER} | {"good": (mean >= LEAST_MEAN) & (n > 0), "known": known})
+    last = F.when(F.col("known"), F.col("attempt_no"))
+    rows = rows.withColumns({"chosen": F.coalesce(F.min(F.when(F.col("known") & F.col("good"), F.col("attempt_no"))).over(page), F.max(last).over(page)), "failed": F.max("error").over(page)})
+    return rows.where("is_line and attempt_no = chosen and failed is null").select(*(x for x in lines.columns if x not in RASTER), *RASTER)
+
+
 def ocr_blocks(lines: DataFrame, attempts: DataFrame, page_infos: DataFrame, triggered: DataFrame, *, convert=None) -> DataFrame:
     """Blocks of the chosen attempts of triggered pages, in reading order. Pages with an error have none."""
-    chosen = choose_attempt(attempt_summary(attempts, lines)).where("error is null").select("document_id", "page", "attempt_no")
-    taken = lines.join(chosen, ["document_id", "page", "attempt_no"]).join(triggered.select("document_id", "page", "triggers"), ["document_id", "page"]).join(attempts.select("document_id", "page", "attempt_no", "width_px", "height_px", "dpi", "model_label"), ["document_id", "page", "attempt_no"])
-    pages = taken.groupBy("document_id", "page").agg(*(F.first(x).alias(x) for x in ("width_px", "height_px", "dpi", "model_label", "triggers")))
-    rows = reconstruct(taken).join(pages, ["document_id", "page"]).join(page_infos, ["document_id", "page"])
-    rows = rows.withColumn("clean", cleaned(F.col("text"), convert=convert)).where(has_text(F.col("clean.text")))
+    paragraphs = reconstruct(chosen_lines(lines, attempts), carry=RASTER)
+    rows = paragraphs.join(triggered.select("document_id", "page", "triggers"), ["document_id", "page"]).join(page_infos, ["document_id", "page"])
+    rows = rows.withColumn("clean", cleaned(F.col("text"), convert=convert)).where(has_text(F.col("clean.text")) | F.col("clean.error").isNotNull())
     rows = rows.withColumn("bbox", quad_normalized(*(F.col(x) for x in ("x1", "y1", "x2", "y2", "width_px", "height_px", "page_width", "page_height"))))
     order = Window.partitionBy("document_id", "page").orderBy(layout_rank(F.col("strategy"), F.col("role")), "bbox.y", "bbox.x", "seq")
     rows = rows.withColumn("seq", F.row_number().over(order) - 1)
-    return rows.select("document_id", "page", "seq", block_id(PARSER).alias("id"), F.lit("paragraph").alias("block_type"), trim(F.col("clean.text")).alias("text"), "bbox", F.lit(PARSER).alias("parser"), F.lit(VERSION).alias("parser_version"), F.lit("ocr").alias("extraction_mode"), confidence(F.col("mean")).alias("confidence"), F.array().cast("array<string>").alias("warnings"), source_hash(F.col("page"), F.col("clean.text")).alias("source_hash"), "model_label", "triggers", "strategy", "role", F.col("clean.fixes").alias("fixes"), F.col("text").alias("original_text"))
+    return rows.select("document_id", "page", "seq", block_id(PARSER).alias("id"), F.lit("paragraph").alias("block_type"), trim(F.col("clean.text")).alias("text"), "bbox", F.lit(PARSER).alias("parser"), F.lit(VERSION).alias("parser_version"), F.lit("ocr").alias("extraction_mode"), confidence(F.col("mean")).alias("confidence"), F.array().cast("array<string>").alias("warnings"), source_hash(F.col("page"), F.col("clean.text")).alias("source_hash"), "model_label", F.col("clean.error").alias("error"), "triggers", "strategy", "role", F.col("clean.fixes").alias("fixes"), F.col("text").alias("original_text"))
 
 
 def failed_pages(attempts: DataFrame, triggered: DataFrame) -> DataFrame:
@@ -78,5 +95,3 @@ def merge_blocks(native: DataFrame, repair: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id", "page").orderBy("src", "seq")
     rows = rows.withColumn("seq", F.row_number().over(order) - 1)
     return drop_overlapping(rows, F.col("src") == 0).drop("src")
-
-

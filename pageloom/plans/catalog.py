@@ -12,10 +12,12 @@ from pageloom.functions import geometry as G
 from pageloom.functions import labels as L
 from pageloom.functions import overlap
 from pageloom.functions import text as X
+from pageloom.functions.phrases import Phrases
 from pageloom.operators import blocks as B
-from pageloom.operators import cleanup, export, layout, merge, ocr, quality, routing, stats, triggers
+from pageloom.operators import cleanup, export, layout, merge, ocr, quality, recognise, routing, stats, triggers
 from pageloom.plans.ingest import ingest
 from pageloom.plans.options import IngestOptions
+from pageloom.plans.oracle import PHRASES
 from pageloom.plans.oracle import SQL as SQL
 from pageloom.sources import adapter, readers
 from pageloom.sources.tables import written
@@ -58,10 +60,7 @@ class Flow:
     summary = cached_property(lambda f: ocr.attempt_summary(f.attempts, f.lines))
     ocr_blocks = cached_property(lambda f: ocr.ocr_blocks(f.lines, f.attempts, f.infos, f.triggered))
 
-    @cached_property
-    def chosen_lines(self) -> DataFrame:
-        chosen = ocr.choose_attempt(self.summary).where("error is null").select("document_id", "page", "attempt_no")
-        return self.lines.join(chosen, ["document_id", "page", "attempt_no"]).withColumn("width_px", F.lit(adapter.RASTER_WIDTH))
+    chosen_lines = cached_property(lambda f: ocr.chosen_lines(f.lines, f.attempts))
 
 
 def _candidate_blocks(f):
@@ -241,6 +240,15 @@ def ocr_attempt_choice(f):
     return ocr.choose_attempt(summary).drop("error").join(summary, ["document_id", "page", "attempt_no"]).select("document_id", "page", "attempt_no", r6("mean_confidence", "mean_confidence"), "paragraph_count")
 
 
+@query
+def ocr_cascade(f):
+    """Recognition in steps of every page with lines: the attempts made, the result of the last one, and errors."""
+    lines, attempts = recognise.run_cascade(adapter.page_rasters(f.s, f.d), adapter.open_recogniser, recognise.steps(REPAIR))
+    summary = ocr.attempt_summary(attempts, lines)
+    last = F.max_by(F.struct("attempt_no", "mean_confidence", "paragraph_count", "error"), "attempt_no")
+    return summary.groupBy("document_id", "page").agg(F.count("*").alias("n_attempts"), last.alias("last")).select("document_id", "page", "n_attempts", "last.attempt_no", r6("last.mean_confidence", "mean_confidence"), "last.paragraph_count", F.coalesce("last.error", F.lit("")).alias("error"))
+
+
 @query
 def ocr_attempt_log(f):
     summary = f.summary
@@ -288,6 +296,16 @@ def text_cleanup(f):
     return layout.reconstruct(f.chosen_lines).select("document_id", "page", "seq", cleanup.cleaned(c("text"))["text"].alias("text"))
 
 
+@query
+def script_conversion(f):
+    """Paragraphs after conversion by made phrases, and after the cleanup that follows it. Some phrases begin alike, some lie in others, and what one stage writes is read by the next and by the cleanup rules."""
+    phrases = Phrases.read(f.s.createDataFrame(PHRASES, "stage int, phrase string, replacement string"))
+    rows = layout.reconstruct(f.chosen_lines).select("document_id", "page", "seq", cleanup.cleaned(c("text"), convert=phrases).alias("clean"))
+    first = F.get("clean.fixes", F.lit(0))
+    converted = F.when(first["type"] == "opencc", first["after"])
+    return rows.select("document_id", "page", "seq", F.coalesce(converted, F.lit("")).alias("converted"), "clean.text", F.size(F.filter("clean.fixes", lambda x: x["type"] == "ocr_confusion")).alias("n_confusions"))
+
+
 @query
 def cleanup_trail(f):
     return layout.reconstruct(f.chosen_lines).select("document_id", "page", "seq", cleanup.cleaned(c("text"))["fixes"].alias("fixes")).select("document_id", "page", "seq", F.size("fixes").alias("n_fixes"), F.array_join(F.transform("fixes", lambda x: F.concat(x["type"], F.lit(":"), x["after"])), "|").alias("trail"))

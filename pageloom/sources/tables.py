@@ -6,21 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list] = []
+#: The tables of the scope that this thread (or context) is in, innermost.
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scope() -> Iterator[None]:
-    """Tables written within it go at its end."""
-    _scopes.append([])
+    """Tables written within it, by the same thread, go at its end."""
+    own: list = []
+    token = _scope.set(own)
     try:
         yield
     finally:
-        for fs, path in _scopes.pop():
+        _scope.reset(token)
+        for fs, path in own:
             fs.delete(path, True)
 
 
@@ -50,7 +54,7 @@ def written(df: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pageloom-table-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.deleteOnExit(path)
-    if _scopes:
-        _scopes[-1].append((fs, path))
+    if (own := _scope.get()) is not None:
+        own.append((fs, path))
     df.write.parquet(path.toString())
     return spark.read.schema(df.schema).parquet(path.toString())
