@@ -278,10 +278,13 @@ def _step_texts(kept: Kept, short, text, given) -> bool:
     return keep
 
 
-def _kept(rows: DataFrame, keys: Sequence[str], order: Sequence, fold, takes: Column, *columns: Column) -> DataFrame:
-    """The rows that the fold keeps, with column error (null: none); what had an error before stays."""
-    group = Window.partitionBy(*keys)
-    rows = rows.withColumn("__new", F.row_number().over(group.orderBy(*order)) == 1)
+def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """The rows dealt by group and in order, with __new where a group begins."""
+    return rows.withColumn("__new", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+
+
+def _kept(rows: DataFrame, fold, takes: Column, *columns: Column) -> DataFrame:
+    """Of marked rows those that the fold keeps, with column error (null: none); what had an error before stays."""
     rows = rows.withColumn("__fold", fold(F.col("__new"), F.coalesce(takes, F.lit(False)), *columns))
     before = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
     return rows.withColumn("error", F.coalesce(before, "__fold.error")).where(F.col("__fold.keep") | F.col("error").isNotNull()).drop("__new", "__fold")
@@ -289,11 +292,10 @@ def _kept(rows: DataFrame, keys: Sequence[str], order: Sequence, fold, takes: Co
 
 def drop_overlapping_texts(rows: DataFrame, keys: Sequence[str], order: Sequence, text: Column, given: Column) -> DataFrame:
     """Rows of each group in order, without those whose collapsed text (null: takes no part) overlaps one kept before. given: kept whatever it overlaps."""
-    rows = rows.withColumns({"__text": text, "__given": given})
+    rows = _marked(rows.withColumns({"__text": text, "__given": given}), keys, order)
     short = F.when((F.length("__text") < WINDOW) & ~F.col("__given"), F.col("__text"))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    rows = rows.withColumn("__first", first).withColumn("__short", F.when(F.col("__first"), F.collect_set(short).over(Window.partitionBy(*keys))))
-    return _kept(rows, keys, order, _text_fold(), F.col("__text").isNotNull(), F.col("__short"), F.col("__text"), F.col("__given")).drop("__text", "__given", "__first", "__short")
+    rows = rows.withColumn("__short", F.when(F.col("__new"), F.collect_set(short).over(Window.partitionBy(*keys))))
+    return _kept(rows, _text_fold(), F.col("__text").isNotNull(), F.col("__short"), F.col("__text"), F.col("__given")).drop("__text", "__given", "__short")
 
 
 @lru_cache(maxsize=1)
@@ -309,7 +311,7 @@ def _box_fold(threshold: float):
 def drop_overlapping_boxes(rows: DataFrame, keys: Sequence[str], order: Sequence, digest: Column, box: Column, threshold: float) -> DataFrame:
     """Rows of each group in order: the first of equal hashes, and of boxes that overlap by the threshold or more the one kept first."""
     sides = [box[x] for x in ("coordinate_system", "x", "y", "width", "height")]
-    return _kept(rows, keys, order, _box_fold(float(threshold)), F.lit(True), digest, *sides)
+    return _kept(_marked(rows, keys, order), _box_fold(float(threshold)), F.lit(True), digest, *sides)
 
 
 def overlap_ratio(new: Column, existing: Column, window: int = WINDOW) -> Column:

@@ -6,21 +6,25 @@ They can come from a table (`rules_from`), and a script conversion may go first
 
 The chain depends on its order and on each step's text, as what a rule writes
 may be what a later one looks for. Only a rule that matches the text as it is
-can be the first to change it, so texts that match none stay in the JVM: one
-regular expression tells. For the others one pass of an Aho-Corasick automaton
-tells which literal rules occur; the first of them in order goes, and what it
-changed is passed again. Texts are independent of each other; a text that a
-given conversion fails on has an error and no text.
+can be the first to change it, so one scan over an Arrow batch for all patterns
+at once tells which texts can change; the others never leave its buffers. In a
+text that can, an Aho-Corasick automaton tells which literal rules occur; the
+first of them in order goes, and what it changed is scanned again. Texts are
+independent of each other; one that a given conversion fails on has an error
+and no text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache, reduce
+from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +35,7 @@ class Rule(NamedTuple):
     pattern: str
     replacement: str
     literal: bool = False
-    #: a Java pattern without which a rule that isn't literal changes nothing, None: not known
+    #: a pattern (of re) without which a rule that isn't literal changes nothing, None: not known
     needs: str | None = None
 
 
@@ -62,8 +66,8 @@ PHRASES = [
 SPACING = [(rf"(\p{{Han}}){_S}+(\p{{Han}})", r"\1\2"), (rf"{_S}+([，。；：、！？）】])", r"\1"), (rf"([（【]){_S}+", r"\1"), (r"([A-Za-z])(\p{Han})", r"\1 \2"), (r"(\p{Han})([A-Za-z]{2,})", r"\1 \2"), (rf"{_S}{{2,}}", " ")]
 PUNCTUATION = [(r"(\p{Han})·(\p{Han})", r"\1，\2"), (r"([一二三四五六七八九十])[:：]", r"\1、"), (r"(\p{Han})[:：](\p{Han})", r"\1，\2"), (r"，([）】])", r"\1"), (rf"（{_S}*([A-Za-z])", r"（\1"), (rf"([A-Za-z]){_S}*）", r"\1）")]
 
-#: Characters of which the spacing and punctuation rules need one, or white space twice.
-_NEEDS = rf"[\p{{IsHan}}，。；：、！？）】（【]|{_S}{_S}"
+#: Characters of which the spacing and punctuation rules need one (all Han characters and their punctuation are among them), or white space twice.
+_NEEDS = rf"[\u2E80-\u9FFF\uF900-\uFAFF\uFF01-\uFF5E\U00016FE0-\U0003FFFF]|{_S}{_S}"
 
 BEFORE_TRIM = [Rule("ocr_confusion", a, b, True) for a, b in CONFUSIONS] + [Rule("whitespace", a, b, True) for a, b in PHRASES] + [Rule("whitespace", a, b, needs=_NEEDS) for a, b in SPACING]
 AFTER_TRIM = [Rule("punctuation", a, b, needs=_NEEDS) for a, b in PUNCTUATION]
@@ -90,7 +94,8 @@ class Chain:
     def __init__(self, rules: Sequence[Rule]):
         self.rules = rules
         self.patterns = {i: regex.compile(r.pattern) for i, r in enumerate(rules) if not r.literal}
-        self.any_pattern = regex.compile("|".join(f"(?:{r.pattern})" for r in rules if not r.literal)) if self.patterns else None
+        needs = {r.needs for r in rules if not r.literal}
+        self.needs = None if None in needs else re.compile("|".join(sorted(needs)))
         self.automaton = None
         of: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
@@ -105,7 +110,7 @@ class Chain:
     def _due(self, text: str, after: int) -> list[int]:
         """Rules beyond one that may change the text, in order."""
         due = {i for _, numbers in self.automaton.iter(text) for i in numbers if i > after} if self.automaton is not None else set()
-        if self.any_pattern is not None and self.any_pattern.search(text):
+        if self.patterns and (self.needs is None or self.needs.search(text)):
             due |= {i for i in self.patterns if i > after}
         return sorted(due)
 
@@ -145,39 +150,48 @@ def _chain(rules: tuple[Rule, ...]) -> Chain:
     return Chain(rules)
 
 
-def may_change(text: Column, rules: Sequence[Rule]) -> Column:
-    """Can any of the rules, or the trim, change the text? Certain only of the answer no."""
-    if any(not r.literal and r.needs is None for r in rules):
-        return F.lit(True)
-    plain = [r.pattern for r in rules if r.literal and r.pattern.isascii()]
-    # of a literal that isn't ASCII the character furthest up will do
-    classes = sorted({max(r.pattern) for r in rules if r.literal and not r.pattern.isascii()})
-    parts = sorted({r.needs for r in rules if not r.literal})
-    if classes:
-        parts.append("[" + "".join(f"\\x{{{ord(x):X}}}" for x in classes) + "]")
-    found = text.rlike("|".join([*parts, f"^{_S}", f"{_S}$"]))
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in plain), found)
+def scan_pattern(rules: Sequence[Rule]) -> str | None:
+    """One RE2 pattern of all that the rules look for, and of white space at the ends; None if some rule can't be said in RE2."""
+    literal = lambda x: re.sub(r"[\\.+*?()|\[\]{}^$]", r"\\\g<0>", x)
+    re2 = lambda x: re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", x)
+    parts = [literal(r.pattern) if r.literal else f"(?:{re2(r.pattern)})" for r in rules]
+    pattern = "|".join([*parts, f"^{re2(_S)}", f"{re2(_S)}$"])
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return None
+    return pattern
 
 
 @lru_cache(maxsize=16)
 def _cleaner(before: tuple[Rule, ...], after: tuple[Rule, ...], convert: Callable[[str], str] | None):
-    def one(text: str | None) -> tuple:
-        if text is None:
-            return None, [], None
+    def one(text: str) -> tuple:
         try:
             return *clean_text(text, before, after, convert), None
         except Exception as e:  # noqa: BLE001
             return None, [], str(e) or type(e).__name__
 
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["text", "fixes", "error"], dtype=object)
+    pattern = None if convert is not None else scan_pattern([*before, *after])
 
-    return run
+    def run(texts: pa.Array) -> pa.Array:
+        can = texts.is_valid() if pattern is None else pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+        rows = np.flatnonzero(can.to_numpy(zero_copy_only=False))
+        made = [one(t) for t in texts.take(pa.array(rows)).to_pylist()]
+        count = np.zeros(len(texts), np.int32)
+        count[rows] = [len(fixes) for _, fixes, _ in made]
+        flat = [x for _, fixes, _ in made for x in fixes]
+        fixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat, FIX))
+        new = pc.replace_with_mask(texts, can, pa.array([t for t, _, _ in made], texts.type))
+        errors = pc.replace_with_mask(pa.nulls(len(texts), pa.string()), can, pa.array([e for _, _, e in made], pa.string()))
+        return pa.StructArray.from_arrays([new, fixes, errors], ["text", "fixes", "error"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, RESULT)
+
+
+FIX = pa.struct([("type", pa.string()), ("before", pa.string()), ("after", pa.string())])
 
 
 def cleaned(text: Column, *, before: Sequence[Rule] = BEFORE_TRIM, after: Sequence[Rule] = AFTER_TRIM, convert: Callable[[str], str] | None = None) -> Column:
-    """Struct of text, fixes and error. convert: a script conversion that goes first, none by default."""
-    goes = F.lit(True) if convert is not None else may_change(text, [*before, *after])
-    as_it_is = F.struct(text.alias("text"), F.array().cast("array<struct<type:string,before:string,after:string>>").alias("fixes"), F.lit(None).cast("string").alias("error"))
-    return F.when(goes, _cleaner(tuple(before), tuple(after), convert)(F.when(goes, text))).otherwise(as_it_is)
+    """Struct of text, fixes and error; of null all are null or empty. convert: a script conversion that goes first, none by default."""
+    return _cleaner(tuple(before), tuple(after), convert)(text)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pageloom.functions.geometry import block_key
+from pageloom.functions.geometry import block_key, round_half_up
 from pageloom.functions.labels import is_skipped
 from pageloom.functions.overlap import drop_overlapping_texts
 from pageloom.functions.text import collapse_ws, has_text
@@ -28,8 +28,10 @@ def _any(flag: Column, among: WindowSpec) -> Column:
 def _marked(items: DataFrame) -> DataFrame:
     """Items of both passes, dealt by document once, with what the merge asks of their key and page."""
     first, text = F.col("pass") == 1, F.col("text_there")
-    rows = keyed(items).withColumn("text_there", has_text(F.col("content"))).repartition("document_id")
-    same = Window.partitionBy("document_id", "key")
+    # what the key says, as numbers: sorted by these, the rows of a page lie together too
+    at = {f"at_{x}": round_half_up(F.col(x)) for x in ("left", "bottom", "right", "top")}
+    rows = keyed(items).withColumns({"text_there": has_text(F.col("content"))} | at).repartition("document_id")
+    same = Window.partitionBy("document_id", "page", *at)
     last = F.when(F.col("pass") == 2, F.struct("seq", "text_there", F.struct(*FIELDS).alias("of")))
     rows = rows.withColumns({"alt": F.max_by(last, F.when(F.col("pass") == 2, F.col("seq"))).over(same), "in_first": _any(first, same), "text_in_first": _any(first & text, same)})
     gap = first & ~text & ~is_skipped(F.col("type"))
