@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import has_text, trim
+from pageloom.sources.previews import read_previews as read_previews
+from pageloom.sources.previews import write_previews as write_previews
 
 
 def page_texts(blocks: DataFrame) -> DataFrame:
@@ -38,23 +39,3 @@ def preview_documents(documents: DataFrame, blocks: DataFrame, detections: DataF
     pages = detections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "layout_class", "parser_recommendation", "reasons", "has_extractable_text"))).alias("detections"))
     texts = warnings.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "warning"))), lambda s: s["warning"]).alias("warnings"))
     return documents.join(nested, "document_id", "left").join(pages, "document_id", "left").join(texts, "document_id", "left")
-
-
-def write_previews(spark, previews: DataFrame, path: str, *, deleted: bool = False, buckets: int = 64) -> None:
-    """Append to the preview store, in folders named by a hash of the id. Of a document's rows the last write holds; deleted writes take documents away."""
-    at = 0
-    try:
-        at = spark.read.parquet(path).agg(F.max("version")).first()[0] + 1
-    except AnalysisException:
-        pass
-    rows = previews.withColumns({"version": F.lit(at).cast("long"), "deleted": F.lit(deleted), "bucket": F.pmod(F.hash("document_id"), F.lit(buckets))})
-    rows.write.mode("append").partitionBy("bucket").parquet(path)
-
-
-def read_previews(spark, path: str, document_id: int | None = None, buckets: int = 64) -> DataFrame:
-    """All documents of the store, or one (no row if it isn't known); only its folder is read."""
-    rows = spark.read.option("mergeSchema", "true").parquet(path)
-    if document_id is not None:
-        rows = rows.where((F.col("bucket") == F.pmod(F.hash(F.lit(document_id).cast("long")), F.lit(buckets))) & (F.col("document_id") == document_id))
-    last = rows.groupBy("document_id").agg(F.max("version").alias("version"))
-    return rows.join(last, ["document_id", "version"]).where("not deleted").drop("bucket", "version", "deleted")

@@ -70,26 +70,55 @@ def generic_headers(lines: DataFrame) -> DataFrame:
     return lines.groupBy("document_id", "page").agg((F.max(left) & F.max(right)).alias("has_headers"))
 
 
-def column_role(strategy: Column, width: Column) -> Column:
-    left = center_x() < width * 0.5
+def column_role(strategy: Column, gutter: Column) -> Column:
+    left = center_x() < gutter
     return F.when(strategy == LEGAL, F.when(left, "article").otherwise("explanation")).otherwise(F.when(left, "left").otherwise("right"))
 
 
+#: Share of the width that a line has at most to count for the gutter, and where in the width a gutter can be.
+NARROW, BAND = 0.6, (0.2, 0.8)
+
+
+def _gap() -> Column:
+    """The gap before a line, if it begins right of all narrow body lines that begin before it; null: none, or not in the band. Greater ones make better gutters: wider, then nearer to the page's middle, then further left."""
+    width, page = F.col("width_px"), Window.partitionBy("document_id", "page")
+    counts = (F.length(trim(F.col("text"))) >= 2) & (F.col("y1") > 70) & ((F.col("x2") - F.col("x1")) <= width * NARROW) & ~is_title(width)
+    before = F.max(F.when(counts, F.col("x2"))).over(page.orderBy("x1", "line_no").rowsBetween(Window.unboundedPreceding, -1))
+    middle = (before + F.col("x1")) / 2
+    return F.when(counts & (F.col("x1") > before) & (middle >= width * BAND[0]) & (middle <= width * BAND[1]), F.struct((F.col("x1") - before).alias("size"), (-F.abs(middle - width / 2)).alias("near"), (-middle).alias("left")))
+
+
+def with_gutter(lines: DataFrame) -> DataFrame:
+    """Lines with `gutter`, where the page's columns are told apart: the middle of the best gap between its narrow body lines, else of the page. lines have width_px.
+
+    The lines' spans along the width are laid over each other; rows sorted by x1 show where nothing lies.
+    """
+    best = F.max("__gap").over(Window.partitionBy("document_id", "page"))
+    rows = lines.withColumn("__gap", _gap()).withColumn("__best", best)
+    return rows.withColumn("gutter", F.coalesce(-F.col("__best.left"), F.col("width_px") / 2)).drop("__gap", "__best")
+
+
+def column_gutters(lines: DataFrame) -> DataFrame:
+    """document_id, page and gutter of each page with lines."""
+    return with_gutter(lines).groupBy("document_id", "page").agg(F.first("gutter").alias("gutter"))
+
+
 def layout_rank(strategy: Column, role: Column) -> Column:
     return F.when(~F.coalesce(strategy.isin(LEGAL, TABLE), F.lit(False)), 10).when(role == "title", 0).when(role.isin("article", "left"), 1).when(role.isin("explanation", "right"), 2).otherwise(3)
 
 
-def reconstruct(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def reconstruct(lines: DataFrame, carry: tuple[str, ...] = (), *, by_gutter: bool = False) -> DataFrame:
     """Paragraphs of each page in reading order (seq): titles, left and right column with their lines merged; without a strategy the lines as they are.
 
-    Columns are told apart at the middle of the page. lines: document_id, page, line_no, text, mean, x1, y1, x2, y2, width_px.
+    Columns are told apart at the middle of the page, or with by_gutter at the gutter between their lines. lines: document_id, page, line_no, text, mean, x1, y1, x2, y2, width_px.
     carry: columns of lines that are the same for a page. All steps go by page: lines dealt so aren't dealt again.
     """
     page = Window.partitionBy("document_id", "page")
     facts = _facts()
+    lines = with_gutter(lines) if by_gutter else lines.withColumn("gutter", F.col("width_px") / 2)
     rows = lines.withColumns({f"fact_{k}": v.over(page) for k, v in facts.items()})
     rows = rows.withColumn("strategy", _strategy({k: F.col(f"fact_{k}") for k in facts})).drop(*(f"fact_{k}" for k in facts)).where(has_text(F.col("text")))
-    role = F.when(F.col("strategy").isNull(), "unknown").when(is_title(F.col("width_px")), "title").otherwise(column_role(F.col("strategy"), F.col("width_px")))
+    role = F.when(F.col("strategy").isNull(), "unknown").when(is_title(F.col("width_px")), "title").otherwise(column_role(F.col("strategy"), F.col("gutter")))
     rows = rows.withColumn("role", role).withColumn("side", F.when(F.col("strategy").isNull(), 9).otherwise(layout_rank(F.col("strategy"), F.col("role"))))
     order = Window.partitionBy("document_id", "page", "side").orderBy(*(F.when(F.col("strategy").isNull(), F.col("line_no")).otherwise(F.col(x)) for x in ("y1", "x1")), "line_no")
     header = is_column_header(F.col("text")) & F.col("side").isin(1, 2)

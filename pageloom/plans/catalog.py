@@ -275,6 +275,14 @@ def layout_strategy(f):
     return layout.page_strategy(f.chosen_lines)
 
 
+@query
+def column_split(f):
+    """Where columns are told apart on each page, and how many lines then lie on either side."""
+    rows = layout.with_gutter(f.chosen_lines)
+    left = layout.center_x() < c("gutter")
+    return rows.groupBy("document_id", "page").agg(r6(F.first("gutter"), "gutter"), F.count(F.when(left, 1)).alias("n_left"), F.count(F.when(~left, 1)).alias("n_right"))
+
+
 @query
 def layout_headers(f):
     return layout.generic_headers(f.chosen_lines)
@@ -399,3 +407,14 @@ def ingest_documents(f):
     blocks = done.blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.count(F.when(c("parser") == ocr.PARSER, 1)).alias("n_repaired"), joined("page", "seq", "text").alias("texts"))
     warned = done.warnings.groupBy("document_id").agg(joined("ord", "warning").alias("warnings"))
     return f.infos.select("document_id").distinct().join(blocks, "document_id", "left").join(warned, "document_id", "left").na.fill(0).na.fill("")
+
+
+@query
+def ingest_without_models(f):
+    """The flow where repair is on but has no models, over all documents and, for each, a twin of one page without any item."""
+    twins = f.infos.select((-1 - c("document_id")).alias("document_id"), F.lit(1).alias("page"), "page_width", "page_height").distinct()
+    infos = f.infos.unionByName(twins)
+    done = ingest(f.items, infos, REPAIR)
+    blocks = done.blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"))
+    warned = done.warnings.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "warning"))), lambda x: x["warning"]), "|").alias("warnings"))
+    return infos.select("document_id").distinct().join(blocks, "document_id", "left").join(warned, "document_id", "left").na.fill(0).na.fill("")

@@ -137,6 +137,10 @@ PARTS = [
     "att AS (SELECT document_id, page, attempt_no, avg(mean) AS m, count(*) AS n, document_id % 61 = 0 AS bad FROM ol GROUP BY ALL)",
     "cho AS (SELECT document_id, page, coalesce(min(CASE WHEN m >= 0.55 AND n > 0 THEN attempt_no END), max(attempt_no)) AS attempt_no, bool_or(bad) AS bad FROM att GROUP BY 1, 2)",
     "cl AS (SELECT ol.*, (x1 + x2) / 2 AS cx FROM ol JOIN (SELECT * FROM cho WHERE NOT bad) c USING (document_id, page, attempt_no))",
+    f"""gsp AS (SELECT *, max(CASE WHEN ok THEN x2 END) OVER (PARTITION BY document_id, page ORDER BY x1, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM
+        (SELECT *, length({trim('text')}) >= 2 AND y1 > 70 AND x2 - x1 <= 1275 * CAST(0.6 AS DOUBLE) AND NOT (y1 < 145 AND cx > 1275 * CAST(0.3 AS DOUBLE) AND cx < 1275 * CAST(0.7 AS DOUBLE) AND regexp_matches({strip('text')}, '草案|法案|文件')) AS ok FROM cl))""",
+    """gut AS (SELECT document_id, page, arg_max((before + x1) / 2, [x1 - before, -abs((before + x1) / 2 - 637.5), -(before + x1) / 2]) AS g FROM gsp
+        WHERE ok AND x1 > before AND (before + x1) / 2 >= 1275 * CAST(0.2 AS DOUBLE) AND (before + x1) / 2 <= 1275 * CAST(0.8 AS DOUBLE) GROUP BY 1, 2)""",
     f"""str AS (SELECT document_id, page, CASE WHEN bool_or(y1 < 240 AND contains({strip('text')}, '條文')) AND bool_or(y1 < 240 AND contains({strip('text')}, '說明')) THEN 'two_column_legal_table'
         WHEN count(*) FILTER (body) >= 12 AND count(*) FILTER (body AND cx < 1275 * 0.48) >= 5 AND count(*) FILTER (body AND cx > 1275 * 0.52) >= 5 AND (min(x1) FILTER (body AND cx > 1275 * 0.52) - max(x2) FILTER (body AND cx < 1275 * 0.48) > 1275 * 0.01 OR count(*) FILTER (body AND (cx < 1275 * 0.48 OR cx > 1275 * 0.52)) >= count(*) FILTER (body) * 0.75) THEN 'two_column_table' END AS strategy
         FROM (SELECT *, length({trim('text')}) >= 2 AND y1 > 70 AS body FROM cl) GROUP BY 1, 2)""",
@@ -167,8 +171,13 @@ PARTS = [
 ]
 PARTS += [
     f"omd AS (SELECT document_id, page, {fold('m', 'o.h = c[1].h OR (' + iou('o.b', 'c[1].b') + ') >= 0.85')} AS kept FROM (SELECT document_id, page, list(struct_pack(seq := seq, h := h, b := bb) ORDER BY seq) AS m FROM om GROUP BY 1, 2))",
+    f"nmd AS (SELECT document_id, page, {fold('m', 'o.h = c[1].h OR (' + iou('o.b', 'c[1].b') + ') >= 0.85')} AS kept FROM (SELECT document_id, page, list(struct_pack(seq := seq, h := h, b := bb) ORDER BY seq) AS m FROM nat GROUP BY 1, 2))",
+    "nfin AS (SELECT nat.* FROM nat JOIN (SELECT document_id, page, unnest(kept).seq AS seq FROM nmd) k USING (document_id, page, seq))",
     "fin AS (SELECT om.* FROM om JOIN (SELECT document_id, page, unnest(kept).seq AS seq FROM omd) k USING (document_id, page, seq))",
     f"newk AS (SELECT m.document_id, count(*) AS n FROM (SELECT document_id, {key()} AS key FROM merged WHERE {filled('content')}) m WHERE EXISTS (SELECT 1 FROM kd WHERE pass = 2 AND kd.document_id = m.document_id AND kd.key = m.key) AND NOT EXISTS (SELECT 1 FROM kd WHERE pass = 1 AND has AND kd.document_id = m.document_id AND kd.key = m.key) GROUP BY 1)",
+    """nnote AS (SELECT document_id, 'ODL dual-pass: ' || n || ' empty block(s) filled via useStructTree pass' AS warning, 0 AS o, 0 AS p FROM newk
+        UNION ALL SELECT DISTINCT document_id, '已啟用 OCR repair，但找不到 quality profile 的模型或缺少檔案（det/rec/dict）。略過 eSearch-OCR。', 1, 0 FROM trig
+        UNION ALL SELECT d.document_id, '第 ' || d.page || ' 頁偵測到可解析文字但 blocks 為空，可能需要 fallback 解析。', 2, d.page FROM det d LEFT JOIN (SELECT DISTINCT document_id, page FROM nfin) f ON d.document_id = f.document_id AND d.page = f.page WHERE ext AND f.page IS NULL)""",
     """noted AS (SELECT document_id, 'ODL dual-pass: ' || n || ' empty block(s) filled via useStructTree pass' AS warning, 0 AS o, 0 AS p FROM newk
         UNION ALL SELECT DISTINCT t.document_id, 'OCR repair 第 ' || t.page || ' 頁失敗: render failed', 1, 0 FROM trig t JOIN cho c ON t.document_id = c.document_id AND t.page = c.page WHERE bad
         UNION ALL SELECT d.document_id, '第 ' || d.page || ' 頁偵測到可解析文字但 blocks 為空，可能需要 fallback 解析。', 2, d.page FROM det d LEFT JOIN (SELECT DISTINCT document_id, page FROM fin) f ON d.document_id = f.document_id AND d.page = f.page WHERE ext AND f.page IS NULL)""",
@@ -225,6 +234,9 @@ _SELECTS = {
     "repair_triggers": "SELECT document_id, CAST(page AS INTEGER) AS page, triggers FROM trig",
     "repair_page_cap": "SELECT document_id, CAST(page AS INTEGER) AS page FROM trig QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY page) <= 2",
     "cap_warnings": "SELECT document_id, 'OCR repair 使用 dev profile，僅處理前 2 / ' || count(*) || ' 個觸發頁面。' AS warning FROM trig GROUP BY 1 HAVING count(*) > 2",
+    "ingest_without_models": """SELECT i.document_id, coalesce(n, 0) AS n_blocks, coalesce(w, '') AS warnings FROM (SELECT DISTINCT document_id FROM infos) i LEFT JOIN (SELECT document_id, count(*) AS n FROM nfin GROUP BY 1) b ON i.document_id = b.document_id
+        LEFT JOIN (SELECT document_id, string_agg(warning, '|' ORDER BY o, p) AS w FROM nnote GROUP BY 1) x ON i.document_id = x.document_id
+        UNION ALL SELECT DISTINCT -1 - document_id, 0, 'ODL 兩個 pass 均無輸出，可能 PDF 無可提取文字。|已啟用 OCR repair，但找不到 quality profile 的模型或缺少檔案（det/rec/dict）。略過 eSearch-OCR。' FROM infos""",
     "ocr_cascade": f"SELECT c.document_id, c.page, CASE WHEN c.bad THEN 1 ELSE c.attempt_no END AS n_attempts, CASE WHEN c.bad THEN 1 ELSE c.attempt_no END AS attempt_no, CASE WHEN c.bad THEN CAST(0 AS DOUBLE) ELSE {R('m')} END AS mean_confidence, CASE WHEN c.bad THEN 0 ELSE n END AS paragraph_count, CASE WHEN c.bad THEN 'render failed' ELSE '' END AS error FROM cho c JOIN att USING (document_id, page, attempt_no)",
     "ocr_attempt_choice": f"SELECT c.document_id, c.page, c.attempt_no, {R('m')} AS mean_confidence, n AS paragraph_count FROM cho c JOIN att USING (document_id, page, attempt_no)",
     "ocr_attempt_log": "SELECT document_id, page, CASE attempt_no WHEN 1 THEN 'poppler_raster_150,primary_ocr_150' WHEN 2 THEN 'poppler_raster_150,primary_ocr_150,preprocess_greyscale_normalize,primary_ocr_150' WHEN 3 THEN 'poppler_raster_150,primary_ocr_150,preprocess_greyscale_normalize,primary_ocr_150,reraster_220,primary_ocr_220' ELSE 'poppler_raster_150,primary_ocr_150,preprocess_greyscale_normalize,primary_ocr_150,reraster_220,primary_ocr_220,fallback_rec_ppocr_v4_doc,fallback_rec_ppocr_v4_doc_220' END AS log FROM cho",
@@ -232,6 +244,7 @@ _SELECTS = {
     "ocr_failures": "SELECT DISTINCT t.document_id, 'OCR repair 第 ' || t.page || ' 頁失敗: render failed' AS warning FROM trig t JOIN cho c ON t.document_id = c.document_id AND t.page = c.page WHERE bad",
     "ocr_merge": "SELECT document_id, CAST(page AS INTEGER) AS page, seq, CASE WHEN src = 0 THEN 'opendataloader-default' ELSE 'esearch-ocr-repair' END AS parser, text FROM om",
     "layout_strategy": "SELECT document_id, page, strategy FROM str",
+    "column_split": f"SELECT document_id, page, {R('any_value(coalesce(g, 637.5))')} AS gutter, count(*) FILTER (cx < coalesce(g, 637.5)) AS n_left, count(*) FILTER (cx >= coalesce(g, 637.5)) AS n_right FROM cl LEFT JOIN gut USING (document_id, page) GROUP BY 1, 2",
     "layout_headers": f"SELECT document_id, page, bool_or(y1 < 240 AND cx < 420 AND regexp_matches({strip('text')}, '條文|規定|項目|類別|標準|內容')) AND bool_or(y1 < 240 AND cx >= 250 AND regexp_matches({strip('text')}, '說明|備註|定義|理由|日期|規定')) AS has_headers FROM cl GROUP BY 1, 2",
     "paragraph_merge": f"SELECT document_id, page, seq, text, {R('mean')} AS mean, x1, y1, x2, y2, role FROM para",
     "layout_order": "SELECT document_id, page, string_agg(role, ',' ORDER BY seq) AS roles FROM para GROUP BY 1, 2",
