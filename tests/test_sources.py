@@ -147,3 +147,37 @@ def test_equal_gaps(spark):
     rows = [line(1, 100, 250, 0), line(1, 300, 480, 1), line(1, 530, 700, 2), line(2, 250, 400, 0), line(2, 450, 550, 1), line(2, 600, 700, 2), line(3, 100, 150, 0), line(3, 180, 990, 1)]
     got = {r.document_id: r.gutter for r in layout.column_gutters(spark.createDataFrame(rows, LINE)).collect()}
     assert got == {1: 505.0, 2: 425.0, 3: 500.0}  # nearest to the middle; then the left one; a gap beyond the band doesn't count
+
+
+def test_uploads_are_stored_once_and_stale_ones_go(spark, tmp_path):
+    import time
+    from datetime import datetime, timedelta
+
+    from pageloom.sources import readers, uploads
+
+    path, source = str(tmp_path / "store"), tmp_path / "in"
+    source.mkdir()
+    for name, text in {"a": "same", "b": "same", "c": "other", "big": "x" * 100}.items():
+        (source / f"{name}.pdf").write_bytes(text.encode())
+    read = lambda: readers.read_uploads(spark, str(source), limit=50)
+    uploads.store_uploads(spark, read(), path)
+    ids = {r.file_path[-7:].split("/")[-1]: r.document_id for r in read().collect()}
+    contents = lambda: sorted(bytes(r.content).decode() for r in spark.read.parquet(f"{path}/contents").collect())
+    assert contents() == ["other", "same"] and uploads.original(spark, path, ids["b.pdf"]) == b"same"
+    assert uploads.original(spark, path, ids["big.pdf"]) is None and uploads.original(spark, path, 12345) is None
+    time.sleep(1)
+    later = datetime.now()
+    (source / "c.pdf").write_bytes(b"changed")
+    (source / "b.pdf").unlink()
+    (source / "a.pdf").unlink()
+    uploads.store_uploads(spark, read(), path)
+    assert contents() == ["changed", "other", "same"] and uploads.original(spark, path, ids["c.pdf"]) == b"changed"
+    uploads.drop_stale(spark, path, later - timedelta(hours=1))
+    assert contents() == ["changed", "other", "same"]
+    uploads.drop_stale(spark, path, later)
+    assert contents() == ["changed"] and uploads.original(spark, path, ids["a.pdf"]) is None and uploads.original(spark, path, ids["c.pdf"]) == b"changed"
+    assert [x for x in os.listdir(path) if x.startswith("_draft")] == []
+    scan = uploads._table(spark, path, "uploads", spark.read.parquet(f"{path}/uploads").first().bucket)
+    assert len(scan.inputFiles()) == 1
+    uploads.drop_stale(spark, path, datetime.now() + timedelta(hours=1))
+    assert uploads.original(spark, path, ids["c.pdf"]) is None
