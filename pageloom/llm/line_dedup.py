@@ -149,7 +149,7 @@ def _cut(batches: Iterator[pa.RecordBatch], fields: pa.Schema, text_at: str) ->
                 if n_removed[i]:
                     start = [int(own[i]), *w.start[x + 1 : y].tolist(), int(own[i + 1])]
                     kept = b"".join(data[start[j] : start[j + 1]].tobytes() for j in np.flatnonzero(~drop[x:y]).tolist())
-                    texts.append(kept.decode().rstrip("\n") if drop[y - 1] else kept.decode())
+                    texts.append(kept.decode().removesuffix("\n") if drop[y - 1] else kept.decode())
                 else:
                     texts.append(text.as_py())
             made = {text_at: pa.array(texts, fields.field(text_at).type), "n_lines": pa.array(np.diff(w.first).astype(np.int64)), "n_removed": pa.array(n_removed)}

@@ -159,4 +159,11 @@ def test_every_repeated_run_of_two_lines_goes(spark, monkeypatch, broadcast):
         assert got[d].n_lines - got[d].n_removed == len(want[d])
     for n, p in passages.items():
         assert sum(x in (got[100 * n + i].text) for i in range(6) for x in p) == n
-    assert got[5000].text == "" and got[5001].text == "" and got[5002].text == "x\nx" and got[5003].text == "a" and got[5004].text == ""
+    assert got[5000].text == "" and got[5001].text == "" and got[5002].text == "x\nx" and got[5003].text == "a\n" and got[5004].text == ""
+
+
+def test_blank_lines_that_stay(spark):
+    """Only the line end before what is cut from a text's end goes with it; blank lines after a line that stays, stay."""
+    docs = [(1, "a long line\nb long line"), (2, "x\n\n\na long line\nb long line"), (3, "a long line\nb long line\n\ny\n\n"), (4, "z\na long line\nb long line\n\n")]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), whole_runs=True).collect()}
+    assert got == {1: docs[0][1], 2: "x\n\n", 3: "y\n\n", 4: "z"}
