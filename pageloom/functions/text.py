@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as ECMAScript has it.
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same characters, one by one.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 REPLACEMENT = "�"
 
@@ -16,7 +18,7 @@ def strip_ws(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def collapse_ws(text: Column) -> Column:
@@ -25,7 +27,7 @@ def collapse_ws(text: Column) -> Column:
 
 
 def has_text(text: Column) -> Column:
-    return F.coalesce(strip_ws(text) != "", F.lit(False))
+    return F.coalesce(trim(text) != "", F.lit(False))
 
 
 def census(text: Column) -> dict[str, Column]:

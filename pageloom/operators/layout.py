@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import has_text, strip_ws, trim
+from pageloom.functions.text import WS, has_text, strip_ws, trim
 
 #: Numerals and the words of headers and titles.
 NUMERALS = "一二三四五六七八九十百零〇○"
@@ -24,29 +24,35 @@ def is_title(width: Column) -> Column:
 
 
 def is_article_start(text: Column) -> Column:
-    return strip_ws(text).rlike(f"^第[{NUMERALS}]+條")
+    return text.rlike(f"^{WS}*第(?:{WS}*[{NUMERALS}])+{WS}*條")
 
 
 def is_explanation_start(text: Column) -> Column:
-    return trim(text).rlike(f"^[{NUMERALS}]+[、,，:：]")
+    return text.rlike(f"^{WS}*[{NUMERALS}]+[、,，:：]")
 
 
 def is_list_start(text: Column) -> Column:
-    return trim(text).rlike(f"^[{NUMERALS}]+[、,，:：]|^（[{NUMERALS}]+）|^\\([{NUMERALS}]+\\)")
+    return text.rlike(f"^{WS}*(?:[{NUMERALS}]+[、,，:：]|（[{NUMERALS}]+）|\\([{NUMERALS}]+\\))")
 
 
 def is_column_header(text: Column) -> Column:
-    return strip_ws(text).isin(*COLUMN_HEADERS)
+    """Is the text one of the words, white space left out?"""
+    return text.rlike(f"^{WS}*(?:{'|'.join(f'{WS}*'.join(x) for x in COLUMN_HEADERS)}){WS}*\\z")
 
 
-def _facts() -> dict[str, Column]:
-    """What the strategy of a page asks of its lines, as aggregates."""
+def _prepared(lines: DataFrame) -> DataFrame:
+    """Lines with what the facts ask of their texts, each text read once."""
     compact, top = strip_ws(F.col("text")), F.col("y1") < 240
-    body = (F.length(trim(F.col("text"))) >= 2) & (F.col("y1") > 70)
+    return lines.withColumns({"__article": top & compact.contains("條文"), "__note": top & compact.contains("說明"), "__body": (F.col("y1") > 70) & (F.length(trim(F.col("text"))) >= 2)})
+
+
+def _facts() -> dict[str, Column]:
+    """What the strategy of a page asks of its (prepared) lines, as aggregates."""
+    body = F.col("__body")
     left, right = body & (center_x() < F.col("width_px") * 0.48), body & (center_x() > F.col("width_px") * 0.52)
     n = lambda x: F.count(F.when(x, 1))
     return {
-        "w": F.first("width_px"), "has_article": F.max(top & compact.contains("條文")), "has_note": F.max(top & compact.contains("說明")),
+        "w": F.first("width_px"), "has_article": F.max("__article"), "has_note": F.max("__note"),
         "body": n(body), "left": n(left), "right": n(right), "left_max": F.max(F.when(left, F.col("x2"))), "right_min": F.min(F.when(right, F.col("x1"))),
     }
 
@@ -59,7 +65,7 @@ def _strategy(of: dict[str, Column]) -> Column:
 def page_strategy(lines: DataFrame) -> DataFrame:
     """document_id, page, strategy (null: none). lines have width_px."""
     facts = _facts()
-    rows = lines.groupBy("document_id", "page").agg(*(v.alias(k) for k, v in facts.items()))
+    rows = _prepared(lines).groupBy("document_id", "page").agg(*(v.alias(k) for k, v in facts.items()))
     return rows.select("document_id", "page", _strategy({k: F.col(k) for k in facts}).alias("strategy"))
 
 
@@ -116,12 +122,12 @@ def reconstruct(lines: DataFrame, carry: tuple[str, ...] = (), *, by_gutter: boo
     page = Window.partitionBy("document_id", "page")
     facts = _facts()
     lines = with_gutter(lines) if by_gutter else lines.withColumn("gutter", F.col("width_px") / 2)
-    rows = lines.withColumns({f"fact_{k}": v.over(page) for k, v in facts.items()})
-    rows = rows.withColumn("strategy", _strategy({k: F.col(f"fact_{k}") for k in facts})).drop(*(f"fact_{k}" for k in facts)).where(has_text(F.col("text")))
+    rows = _prepared(lines).withColumns({f"fact_{k}": v.over(page) for k, v in facts.items()})
+    rows = rows.withColumn("strategy", _strategy({k: F.col(f"fact_{k}") for k in facts})).drop("__article", "__note", "__body", *(f"fact_{k}" for k in facts)).where(has_text(F.col("text")))
     role = F.when(F.col("strategy").isNull(), "unknown").when(is_title(F.col("width_px")), "title").otherwise(column_role(F.col("strategy"), F.col("gutter")))
     rows = rows.withColumn("role", role).withColumn("side", F.when(F.col("strategy").isNull(), 9).otherwise(layout_rank(F.col("strategy"), F.col("role"))))
     order = Window.partitionBy("document_id", "page", "side").orderBy(*(F.when(F.col("strategy").isNull(), F.col("line_no")).otherwise(F.col(x)) for x in ("y1", "x1")), "line_no")
-    header = is_column_header(F.col("text")) & F.col("side").isin(1, 2)
+    header = F.col("side").isin(1, 2) & is_column_header(F.col("text"))
     starts = F.when(F.col("strategy") == LEGAL, F.when(F.col("side") == 1, is_article_start(F.col("text"))).otherwise(is_explanation_start(F.col("text")))).otherwise(is_list_start(F.col("text")))
     single = ~F.col("side").isin(1, 2)
     rows = rows.withColumn("header", header).withColumn("place", F.row_number().over(order))
@@ -131,7 +137,7 @@ def reconstruct(lines: DataFrame, carry: tuple[str, ...] = (), *, by_gutter: boo
     only = F.col("n") == 1
     merged = rows.groupBy("document_id", "page", "strategy", "side", "island").agg(
         F.count("*").alias("n"), F.min_by("text", "place").alias("one"), F.max("header").alias("header"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", trim(F.col("text")).alias("t")))), lambda s: s["t"]), "").alias("joined"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~single, F.struct("place", trim(F.col("text")).alias("t"))))), lambda s: s["t"]), "").alias("joined"),
         (F.sum(F.col("mean") * weight) / F.sum(weight)).alias("mean"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min_by("role", "place").alias("role"), *(F.first(x).alias(x) for x in carry),
     )
     text = F.when(~F.col("side").isin(1, 2) | F.col("header"), F.col("one")).otherwise(F.col("joined"))
