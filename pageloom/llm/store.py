@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark import StorageLevel
@@ -19,18 +20,21 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sq
 #: Bytes of a table that go to all executors.
 BROADCAST_BYTES = 16 << 20
 
-_scopes: list[list[Scratch]] = []
+#: The tables of the scope that this thread (or context) is in, innermost.
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Within it, results of operators can be used; at its end their intermediate tables go and the session has its settings again."""
+    """Within it, results of the operators that the same thread calls can be used; at its end their intermediate tables go and the session has its settings again."""
     before = {name: spark.conf.get(name) for name in BATCHES}
-    _scopes.append([])
+    own: list[Scratch] = []
+    token = _scope.set(own)
     try:
         yield
     finally:
-        for scratch in _scopes.pop():
+        _scope.reset(token)
+        for scratch in own:
             scratch.close()
         for name, value in before.items():
             spark.conf.set(name, value)
@@ -100,8 +104,8 @@ class Scratch:
         self.fs.mkdirs(path)
         self.fs.deleteOnExit(path)
         self.held: dict[str, DataFrame] = {}
-        if _scopes:
-            _scopes[-1].append(self)
+        if (own := _scope.get()) is not None:
+            own.append(self)
 
     def __enter__(self) -> Scratch:
         return self

@@ -103,3 +103,30 @@ def test_a_scope_leaves_nothing(spark):
     with store.scope(spark):
         near_dedup.near_dedup(spark.createDataFrame(ROWS, DOCS)).collect()
     assert set(os.listdir(root)) == before and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == limit
+
+
+def test_scopes_of_two_threads(spark):
+    """The one that ends first doesn't take the other's tables away."""
+    from threading import Event, Thread
+
+    written, ended, got = Event(), Event(), []
+
+    def first():
+        with store.scope(spark):
+            written.wait(60)
+            store.Scratch(spark, "a").keep(spark.range(3), "x")
+        ended.set()
+
+    def second():
+        with store.scope(spark):
+            table = store.Scratch(spark, "b").keep(spark.range(5), "x")
+            written.set()
+            ended.wait(60)
+            got.append(table.count())
+
+    threads = [Thread(target=f) for f in (first, second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert got == [5]
