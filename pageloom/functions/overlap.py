@@ -170,36 +170,46 @@ class Boxes:
     and few kept boxes fit in one. Cells are those of a threshold of at most
     WIDEST; under LEAST they would hold nearly all boxes, and all are compared.
     A threshold of 0 or less is met by any two boxes, also apart or without area.
+    The first FEW boxes are just compared; with more than that all go into cells.
     """
 
-    LEAST, WIDEST = 0.02, 0.98
+    LEAST, WIDEST, FEW = 0.02, 0.98, 24
 
     def __init__(self, threshold: float):
         self.threshold = threshold
         near = min(max(threshold, self.LEAST), self.WIDEST)
         self.base = -math.log(near)
         self.share = (1 - near) / near
-        self.every: list[tuple] | None = [] if threshold < self.LEAST else None
+        #: boxes that all are compared with, None: they are in cells
+        self.every: list[tuple] | None = []
         self.cells: dict[tuple, list[tuple[float, float, float, float]]] = defaultdict(list)
 
     def _spot(self, at: float, band: int) -> int:
         return math.floor(at / (math.exp((band + 1) * self.base) * self.share))
 
     def add(self, system, x: float, y: float, w: float, h: float) -> None:
-        if self.every is not None:
-            if self.threshold > 0 or not self.every:
-                self.every.append((system, x, y, w, h))
-        elif w > 0 and h > 0:
+        if self.every is None:
+            self._place(system, x, y, w, h)
+        elif self.threshold > 0 or not self.every:
+            self.every.append((system, x, y, w, h))
+            if len(self.every) > self.FEW and self.threshold >= self.LEAST:
+                for box in self.every:
+                    self._place(*box)
+                self.every = None
+
+    def _place(self, system, x: float, y: float, w: float, h: float) -> None:
+        if w > 0 and h > 0:
             a, b = math.floor(math.log(w) / self.base), math.floor(math.log(h) / self.base)
             self.cells[system, a, b, self._spot(x, a), self._spot(y, b)].append((x, y, w, h))
 
     def overlaps(self, system, x: float, y: float, w: float, h: float) -> bool:
         if self.threshold <= 0:
             return bool(self.every)
-        if self.every is not None:
-            return any(o[0] == system and self._iou(o[1:], x, y, w, h) >= self.threshold for o in self.every)
         if not (w > 0 and h > 0):
             return False
+        if self.every is not None:
+            right, top = x + w, y + h
+            return any(x < o[1] + o[3] and o[1] < right and y < o[2] + o[4] and o[2] < top and o[0] == system and self._iou(o[1:], x, y, w, h) >= self.threshold for o in self.every)
         dx, dy = w * self.share * 1.001, h * self.share * 1.001
         bands = lambda size: range(math.floor(math.log(size * 0.999) / self.base) - 1, math.floor(math.log(size * 1.001) / self.base) + 2)
         for a in bands(w):
@@ -246,14 +256,14 @@ def _folded(batches: Iterator[tuple[pd.Series, ...]], begin: Callable, step: Cal
     for new, takes, *columns in batches:
         keep, errors = np.ones(len(new), dtype=bool), [None] * len(new)
         new, takes = new.to_numpy(bool), takes.to_numpy(bool)
-        columns = [c.to_numpy() for c in columns]
+        rows = list(zip(*(c.tolist() for c in columns), strict=True))
         for i in np.flatnonzero(new | takes).tolist():
             try:
                 if new[i]:
                     state, broken = None, False
-                    state = begin(*(c[i] for c in columns))
+                    state = begin(*rows[i])
                 if takes[i] and not broken:
-                    keep[i] = step(state, *(c[i] for c in columns))
+                    keep[i] = step(state, *rows[i])
             except Exception as e:  # noqa: BLE001
                 broken, errors[i] = True, str(e) or type(e).__name__
         yield pd.DataFrame({"keep": keep, "error": pd.Series(errors, dtype=object)})

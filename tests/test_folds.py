@@ -92,13 +92,29 @@ def test_thresholds_from_0_to_1():
             assert blocks.step(f"h{i}", *box) == want, (threshold, i, box)
 
 
-def test_a_step_that_fails_is_an_error_of_its_group(spark):
+def test_boxes_without_an_area_or_an_end(spark):
     box = lambda w: ("n", 0.1, 0.1, w, 0.5)
-    rows = [(p, s, f"h{p}-{s}", box(float("inf") if (p, s) == (2, 1) else float("nan") if p == 3 else 0.1 * (s + 1))) for p in (1, 2, 3) for s in range(4)]
+    rows = [(p, s, f"h{p}-{s}", box(float("inf") if (p, s) == (2, 1) else float("nan") if p == 3 else 0.1 * (s + 1))) for p in (1, 2, 3) for s in range(4)] + [(4, 0, "h", None), (4, 1, "h", None), (4, 2, None, None), (4, 3, None, None)]
     frame = spark.createDataFrame(rows, "p int, seq int, h string, b struct<coordinate_system:string,x:double,y:double,width:double,height:double>").repartition(3)
     got = drop_overlapping_boxes(frame, ["p"], ["seq"], F.col("h"), F.col("b"), 0.85).collect()
-    assert sorted((r.p, r.seq) for r in got if r.error is None and r.p != 2) == [(p, s) for p in (1, 3) for s in range(4)]
-    assert [(r.p, r.seq) for r in got if r.error is not None] == [(2, 1)] and "infinity" in next(r.error for r in got if r.error)
+    assert sorted((r.p, r.seq) for r in got) == [(p, s) for p, s, *_ in rows if (p, s) != (4, 1)] and not any(r.error for r in got)
+
+
+def test_a_step_that_fails_is_an_error_of_its_group(spark):
+    from pageloom.functions import overlap
+
+    def step(seen, value):
+        if value == "torn":
+            raise ValueError("this one is torn")
+        seen.append(value)
+        return len(seen) < 4
+
+    fold = overlap._fold(lambda *_: [], step)
+    rows = [(g, i, "torn" if (g, i) == (2, 1) else "fine") for g in range(5) for i in range(5)]
+    frame = spark.createDataFrame(rows, "g int, i int, v string").repartition(3)
+    got = overlap._kept(overlap._marked(frame, ["g"], ["i"]), fold, F.lit(True), F.col("v")).collect()
+    assert sorted((r.g, r.i) for r in got if r.error is None and r.g != 2) == [(g, i) for g in (0, 1, 3, 4) for i in range(3)]
+    assert [(r.g, r.i, r.error) for r in got if r.error is not None] == [(2, 1, "this one is torn")]
 
 
 class Picky:
