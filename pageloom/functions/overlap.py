@@ -31,6 +31,8 @@ from pageloom.functions.runs import Runs, Texts
 WINDOW, THRESHOLD = 8, 0.5
 #: Windows that a group has in memory.
 MOST_WINDOWS = 1 << 18
+#: Characters of texts whose windows are hashed together.
+PIECE = 1 << 20
 
 
 class Kept:
@@ -269,23 +271,113 @@ def _folded(batches: Iterator[tuple[pd.Series, ...]], begin: Callable, step: Cal
         yield pd.DataFrame({"keep": keep, "error": pd.Series(errors, dtype=object)})
 
 
-def _fold(begin: Callable, step: Callable):
+def _fold(begin: Callable, step: Callable, before: Callable = iter):
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        return _folded(batches, begin, step)
+        return _folded(before(batches), begin, step)
 
     # what it says of a row depends on those before it: no filter may go below it
     return F.pandas_udf(run, FOLDED).asNondeterministic()
 
 
-def _begin_texts(short, text, given) -> Kept:
-    return Kept(short=short if short is not None else ())
+class Lately:
+    """A group's kept texts: as they are while no later one has much in common with them, in an index of windows from then on."""
+
+    #: comparisons with each kept text, and characters times characters of one, before there is an index
+    FEW, SMALL = 8, 1 << 20
+
+    def __init__(self, short: Iterable[str] | None):
+        self.short = short if short is not None else ()
+        self.texts: list[str] = []
+        self.same: set[str] = set()
+        self.size = self.asked = 0
+        self.index: Kept | None = None
+
+    def _indexed(self) -> Kept:
+        if self.index is None:
+            self.index = Kept(short=self.short)
+            for text in self.texts:
+                self.index.add(text)
+            self.texts, self.same = [], set()
+        return self.index
+
+    def _overlaps(self, text: str) -> bool:
+        if self.index is None:
+            if text in self.same:
+                return True
+            self.asked += 1
+            if self.asked <= self.FEW and len(text) * self.size <= self.SMALL:
+                windows = [text[i : i + WINDOW] for i in range(len(text) - WINDOW + 1)]
+                need = THRESHOLD * len(windows)
+                return any(text in x if not windows else sum(w in x for w in windows) >= need for x in self.texts)
+        return self._indexed().overlaps(text)
+
+    def step(self, text: str, given: bool, fresh: bool) -> bool:
+        if not (given or fresh) and self._overlaps(text):
+            return False
+        if self.index is not None:
+            self.index.add(text)
+        elif text not in self.same:
+            self.same.add(text)
+            self.texts.append(text)
+            self.size += len(text)
+            if self.size > MOST_WINDOWS:
+                self._indexed()
+        return True
 
 
-def _step_texts(kept: Kept, short, text, given) -> bool:
-    keep = bool(given) or not kept.overlaps(text)
-    if keep:
-        kept.add(text)
-    return keep
+def _known(texts: Sequence[str], groups: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of each text how many of its windows an earlier text of its group has, by hashes: what is alike counts, so it is never too few."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    totals = np.maximum(sizes - window + 1, 0)
+    n = int(totals.sum())
+    if not n:
+        return totals
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rolled = codes[: len(codes) - window + 1].astype(np.uint64)
+    for k in range(1, window):
+        rolled *= np.uint64(0x9E3779B97F4A7C15)
+        rolled += codes[k : len(codes) - window + 1 + k]
+    places = np.arange(n) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(totals) - totals), totals)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), totals)
+    keys = (rolled[places] ^ np.repeat(groups.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), totals)) * np.uint64(0xFF51AFD7ED558CCD)
+    keys ^= keys >> np.uint64(32)
+    keys *= np.uint64(0xC4CEB9FE1A85EC53)
+    bits = np.uint64(max(1, len(texts).bit_length()))
+    keys = (keys >> bits << bits) | owner
+    keys.sort()
+    own = (keys & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] >> bits != keys[:-1] >> bits]))
+    first = np.repeat(own[begins], np.diff(np.append(begins, n)))
+    return np.bincount(own[own != first], minlength=len(texts))
+
+
+def _with_fresh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.Series, ...]]:
+    """The batches and, for each text, whether it surely overlaps none before: its group begins in the batch, and too few windows were there before."""
+    for new, takes, short, text, given in batches:
+        fresh = np.zeros(len(new), dtype=bool)
+        group = np.cumsum(new.to_numpy(bool))
+        rows = np.flatnonzero(takes.to_numpy(bool) & (group > 0))
+        texts = text.to_numpy(object)[rows]
+        sizes, at = np.fromiter(map(len, texts), np.int64, len(texts)), group[rows]
+        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(rows) else []
+        done, upto = np.cumsum(sizes), 0
+        for i, end in enumerate(ends):
+            # whole groups of PIECE characters together; a larger one has its index
+            if i + 1 < len(ends) and done[ends[i + 1] - 1] - (done[upto - 1] if upto else 0) <= PIECE:
+                continue
+            if done[end - 1] - (done[upto - 1] if upto else 0) <= PIECE:
+                totals = sizes[upto:end] - WINDOW + 1
+                fresh[rows[upto:end]] = (totals > 0) & (_known(texts[upto:end].tolist(), at[upto:end]) < THRESHOLD * totals)
+            upto = end
+        yield new, takes, short, text, given, pd.Series(fresh)
+
+
+def _begin_texts(short, text, given, fresh) -> Lately:
+    return Lately(short)
+
+
+def _step_texts(kept: Lately, short, text, given, fresh) -> bool:
+    return kept.step(text, bool(given), fresh)
 
 
 def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -310,7 +402,7 @@ def drop_overlapping_texts(rows: DataFrame, keys: Sequence[str], order: Sequence
 
 @lru_cache(maxsize=1)
 def _text_fold():
-    return _fold(_begin_texts, _step_texts)
+    return _fold(_begin_texts, _step_texts, _with_fresh)
 
 
 @lru_cache(maxsize=16)
@@ -324,8 +416,36 @@ def drop_overlapping_boxes(rows: DataFrame, keys: Sequence[str], order: Sequence
     return _kept(_marked(rows, keys, order), _box_fold(float(threshold)), F.lit(True), digest, *sides)
 
 
-def overlap_ratio(new: Column, existing: Column, window: int = WINDOW) -> Column:
+def share_of_windows(new: str, existing: str, window: int = WINDOW) -> float:
     """Share of the new text's windows that the existing one holds; a shorter text is wholly in it or not at all."""
-    total = F.length(new) - (window - 1)
-    hits = F.size(F.filter(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), lambda i: F.contains(existing, F.substr(new, i, F.lit(window)))))
-    return F.when(total < 1, F.contains(existing, new).cast("double")).otherwise(hits / total)
+    total = len(new) - window + 1
+    if total < 1:
+        return float(new in existing)
+    if len(existing) < window:
+        return 0.0
+    if window == 8:
+        try:  # eight bytes are a number
+            a, b = new.encode("latin-1"), existing.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            asked, there = (np.ndarray((len(x) - 7,), np.uint64, x, 0, (1,)).copy() for x in (a, b))
+            there.sort()
+            at = np.minimum(np.searchsorted(there, asked), len(there) - 1)
+            return int(np.count_nonzero(there[at] == asked)) / total
+    there = {existing[i : i + window] for i in range(len(existing) - window + 1)}
+    return sum(new[i : i + window] in there for i in range(total)) / total
+
+
+@lru_cache(maxsize=16)
+def _ratio(window: int):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for new, existing in batches:
+            yield pd.Series([None if x is None or y is None else share_of_windows(x, y, window) for x, y in zip(new.tolist(), existing.tolist(), strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "double")
+
+
+def overlap_ratio(new: Column, existing: Column, window: int = WINDOW) -> Column:
+    """share_of_windows of columns; null if one of them is."""
+    return _ratio(window)(new, existing)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +13,6 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: The same characters, one by one.
 WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 REPLACEMENT = "�"
 
 
@@ -21,25 +24,61 @@ def trim(text: Column) -> Column:
     return F.trim(text, F.lit(WS_CHARS))
 
 
+_WS = re.compile(f"[{WS_CHARS}]+")
+_CJK = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u30ff\uac00-\ud7af]")
+#: Where white space as Python has it is other than WS_CHARS.
+_OTHER = "\x1c\x1d\x1e\x1f\x85\ufeff"
+
+
+def bare(text: str) -> str:
+    """Without white space."""
+    return _WS.sub("", text) if any(x in text for x in _OTHER) else "".join(text.split())
+
+
+@lru_cache(maxsize=1)
+def _bare():
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else bare(t) for t in texts.to_pylist()], pa.string())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")
+
+
 def collapse_ws(text: Column) -> Column:
     """Without white space, in lower case."""
-    return F.lower(strip_ws(text))
+    return F.lower(_bare()(text))
 
 
 def has_text(text: Column) -> Column:
     return F.coalesce(trim(text) != "", F.lit(False))
 
 
+@lru_cache(maxsize=1)
+def _census():
+    names = ("chars", "spaces", "cjk", "replaced")
+
+    def one(text: str | None) -> tuple[int, int, int, int]:
+        if not text:
+            return 0, 0, 0, 0
+        n = len(bare(text))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return n, len(text) - n, len(_CJK.findall(text)), text.count(REPLACEMENT)
+        return n, len(text) - n, 0, 0
+
+    def run(texts: pa.Array) -> pa.Array:
+        counts = [one(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in counts], pa.int32()) for i in range(4)], list(names))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, f"struct<{','.join(f'{x}:int' for x in names)}>")
+
+
 def census(text: Column) -> dict[str, Column]:
     """Characters, white space, CJK characters and replacement characters of a text; null has none."""
-    text = F.coalesce(text, F.lit(""))
-    bare = strip_ws(text)
-    return {
-        "chars": F.length(bare),
-        "spaces": F.length(text) - F.length(bare),
-        "cjk": F.length(bare) - F.length(F.regexp_replace(bare, CJK, "")),
-        "replaced": F.length(text) - F.length(F.replace(text, F.lit(REPLACEMENT), F.lit(""))),
-    }
+    found = _census()(text)
+    return {x: found[x] for x in ("chars", "spaces", "cjk", "replaced")}
 
 
 def source_hash(page: Column, text: Column) -> Column:

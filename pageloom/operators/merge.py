@@ -73,7 +73,7 @@ def merge_passes(items: DataFrame) -> DataFrame:
     # only documents with extras have something to decide, and blank items drop nothing
     undecided = F.max(F.col("src") == 2).over(Window.partitionBy("document_id"))
     rows = rows.withColumn("undecided", undecided)
-    text = F.when(F.col("undecided") & F.col("told"), collapse_ws(F.col("content")))
+    text = collapse_ws(F.when(F.col("undecided") & F.col("told"), F.col("content")))
     kept = drop_overlapping_texts(rows, ["document_id"], ["src", "old"], text, F.col("src") == 1)
     order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "src", "old")
     return kept.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new", "error")
