@@ -31,8 +31,8 @@ from pageloom.functions.runs import Runs, Texts
 WINDOW, THRESHOLD = 8, 0.5
 #: Windows that a group has in memory.
 MOST_WINDOWS = 1 << 18
-#: Characters of texts whose windows are hashed together.
-PIECE = 1 << 20
+#: Characters of texts whose windows are hashed together, and of a group that has an index instead.
+PIECE, LARGE = 1 << 17, 1 << 20
 
 
 class Kept:
@@ -362,10 +362,10 @@ def _with_fresh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.S
         ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(rows) else []
         done, upto = np.cumsum(sizes), 0
         for i, end in enumerate(ends):
-            # whole groups of PIECE characters together; a larger one has its index
+            # whole groups of PIECE characters together
             if i + 1 < len(ends) and done[ends[i + 1] - 1] - (done[upto - 1] if upto else 0) <= PIECE:
                 continue
-            if done[end - 1] - (done[upto - 1] if upto else 0) <= PIECE:
+            if done[end - 1] - (done[upto - 1] if upto else 0) <= LARGE:
                 totals = sizes[upto:end] - WINDOW + 1
                 fresh[rows[upto:end]] = (totals > 0) & (_known(texts[upto:end].tolist(), at[upto:end]) < THRESHOLD * totals)
             upto = end

@@ -29,6 +29,7 @@ def folded(groups, given, batch):
 @pytest.mark.parametrize(("batch", "piece"), [(7, 1 << 20), (50, 100), (1000, 400), (1000, 1 << 20)])
 def test_folds_with_hashed_windows_equal_all_pairs(monkeypatch, batch, piece):
     monkeypatch.setattr(overlap, "PIECE", piece)
+    monkeypatch.setattr(overlap, "LARGE", 2 * piece)
     rng = random.Random(batch + piece)
     groups = [some_texts(rng, rng.randrange(1, 40)) for _ in range(30)] + [["é條文規定說明備註𝄞abc" * k for k in (1, 2, 3)], [""], ["abcdefgh", "abcdefgh", "abc"]]
     given = [rng.random() < 0.2 for texts in groups for _ in texts]
