@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.runs import Runs, Texts
+from pageloom.functions.text import COUNTS, WS, collapsed, lowered, strip_ws
 
 WINDOW, THRESHOLD = 8, 0.5
 #: Windows that a group has in memory.
@@ -271,9 +272,9 @@ def _folded(batches: Iterator[tuple[pd.Series, ...]], begin: Callable, step: Cal
         yield pd.DataFrame({"keep": keep, "error": pd.Series(errors, dtype=object)})
 
 
-def _fold(begin: Callable, step: Callable, before: Callable = iter):
+def _fold(begin: Callable, step: Callable):
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        return _folded(before(batches), begin, step)
+        return _folded(batches, begin, step)
 
     # what it says of a row depends on those before it: no filter may go below it
     return F.pandas_udf(run, FOLDED).asNondeterministic()
@@ -325,30 +326,44 @@ class Lately:
         return True
 
 
-def _known(texts: Sequence[str], groups: np.ndarray, window: int = WINDOW) -> np.ndarray:
+@lru_cache(maxsize=2)
+def _slots(bits: int) -> np.ndarray:
+    return np.empty(1 << bits, np.int32)
+
+
+def _windows(text: str) -> np.ndarray:
+    """A number for each window; equal windows have equal ones."""
+    try:  # eight bytes are a number
+        codes = text.encode("latin-1")
+        return np.ndarray((len(codes) - WINDOW + 1,), np.uint64, codes, 0, (1,))
+    except UnicodeEncodeError:
+        rolled, n = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 1
+        while n < WINDOW:
+            rolled, n = rolled[:-n] * np.uint64(0x9E3779B97F4A7C15) + rolled[n:], 2 * n
+        return rolled
+
+
+def _known(texts: Sequence[str], groups: np.ndarray) -> np.ndarray:
     """Of each text how many of its windows an earlier text of its group has, by hashes: what is alike counts, so it is never too few."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    totals = np.maximum(sizes - window + 1, 0)
-    n = int(totals.sum())
-    if not n:
+    totals = np.maximum(sizes - WINDOW + 1, 0)
+    if not totals.any():
         return totals
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    rolled = codes[: len(codes) - window + 1].astype(np.uint64)
-    for k in range(1, window):
-        rolled *= np.uint64(0x9E3779B97F4A7C15)
-        rolled += codes[k : len(codes) - window + 1 + k]
-    places = np.arange(n) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(totals) - totals), totals)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), totals)
-    keys = (rolled[places] ^ np.repeat(groups.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), totals)) * np.uint64(0xFF51AFD7ED558CCD)
-    keys ^= keys >> np.uint64(32)
-    keys *= np.uint64(0xC4CEB9FE1A85EC53)
-    bits = np.uint64(max(1, len(texts).bit_length()))
-    keys = (keys >> bits << bits) | owner
-    keys.sort()
-    own = (keys & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    begins = np.flatnonzero(np.concatenate([[True], keys[1:] >> bits != keys[:-1] >> bits]))
-    first = np.repeat(own[begins], np.diff(np.append(begins, n)))
-    return np.bincount(own[own != first], minlength=len(texts))
+    rolled = _windows("".join(texts))
+    n, ends = len(rolled), np.cumsum(sizes)
+    begins = ends - sizes
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[:n]
+    keys = rolled ^ np.repeat((groups.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), sizes)[:n]
+    keys ^= keys >> np.uint64(29)
+    keys *= np.uint64(0xFF51AFD7ED558CCD)
+    bits = max(20, (4 * n).bit_length())
+    slot = (keys >> np.uint64(64 - bits)).view(np.int64)
+    first = _slots(bits)
+    first[slot[::-1]] = owner[::-1]  # of equal places the last one set stays: that of the earliest text
+    known = first[slot] != owner
+    over = (ends[:, None] - np.arange(1, WINDOW)).ravel()  # windows that reach into the next text
+    known[over[(over >= np.repeat(begins, WINDOW - 1)) & (over < n)]] = False
+    return np.bincount(owner[known], minlength=len(texts))
 
 
 def _with_fresh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.Series, ...]]:
@@ -369,7 +384,11 @@ def _with_fresh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.S
                 totals = sizes[upto:end] - WINDOW + 1
                 fresh[rows[upto:end]] = (totals > 0) & (_known(texts[upto:end].tolist(), at[upto:end]) < THRESHOLD * totals)
             upto = end
-        yield new, takes, short, text, given, pd.Series(fresh)
+        # groups that end here and have nothing to ask need no step; the last one may go on
+        asks = np.bincount(group[takes.to_numpy(bool) & ~fresh & ~given.fillna(False).to_numpy(bool)], minlength=group[-1] + 1 if len(group) else 1) > 0
+        asks[[0, -1]] = True
+        asked = asks[group]
+        yield new & asked, takes & asked, short, text, given, pd.Series(fresh)
 
 
 def _begin_texts(short, text, given, fresh) -> Lately:
@@ -380,29 +399,79 @@ def _step_texts(kept: Lately, short, text, given, fresh) -> bool:
     return kept.step(text, bool(given), fresh)
 
 
-def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """The rows dealt by group and in order, with __new where a group begins."""
-    return rows.withColumn("__new", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence, **more: Column) -> DataFrame:
+    """The rows dealt by group and in order, with __new where a group begins, and more columns."""
+    return rows.withColumns({"__new": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1} | more)
 
 
-def _kept(rows: DataFrame, fold, takes: Column, *columns: Column) -> DataFrame:
-    """Of marked rows those that the fold keeps, with column error (null: none); what had an error before stays."""
+def _kept(rows: DataFrame, fold, takes: Column, *columns: Column, more: Sequence[str] = ()) -> DataFrame:
+    """Of marked rows those that the fold keeps, with column error (null: none) and the census if that is one of more; what had an error before stays."""
     rows = rows.withColumn("__fold", fold(F.col("__new"), F.coalesce(takes, F.lit(False)), *columns))
     before = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    if "census" in more:
+        rows = rows.withColumn("census", F.struct(*(F.col(f"__fold.{x}") for x in COUNTS)))
     return rows.withColumn("error", F.coalesce(before, "__fold.error")).where(F.col("__fold.keep") | F.col("error").isNotNull()).drop("__new", "__fold")
 
 
-def drop_overlapping_texts(rows: DataFrame, keys: Sequence[str], order: Sequence, text: Column, given: Column) -> DataFrame:
-    """Rows of each group in order, without those whose collapsed text (null: takes no part) overlaps one kept before. given: kept whatever it overlaps."""
-    rows = _marked(rows.withColumns({"__text": text, "__given": given}), keys, order)
-    short = F.when((F.length("__text") < WINDOW) & ~F.col("__given"), F.col("__text"))
-    rows = rows.withColumn("__short", F.when(F.col("__new"), F.collect_set(short).over(Window.partitionBy(*keys))))
-    return _kept(rows, _text_fold(), F.col("__text").isNotNull(), F.col("__short"), F.col("__text"), F.col("__given")).drop("__text", "__given", "__short")
+_NONE = (0,) * len(COUNTS)
+#: A text with fewer characters than a window, white space left out.
+_SHORT = f"^{WS}*+(?:[^{WS[1:]}{WS}*+){{0,{WINDOW - 1}}}+\\z"
+
 
+def drop_overlapping_texts(rows: DataFrame, keys: Sequence[str], order: Sequence, text: Column, given: Column, *, takes: Column | None = None, place: Column | None = None, opens: Column | None = None, measured: bool = False) -> DataFrame:
+    """Rows of each group in order, without those whose text overlaps one kept before; of texts counts what is left without white space, in lower case.
 
-@lru_cache(maxsize=1)
-def _text_fold():
-    return _fold(_begin_texts, _step_texts, _with_fresh)
+    Rows whose text is null or for which takes isn't true take no part. given: kept whatever it overlaps.
+    place, opens: other rows stay only if one before them in the group opened their place (a number).
+    measured: the rows get a census of their texts, taken or not, as these are read anyway.
+    """
+    takes = F.lit(True) if takes is None else F.coalesce(takes, F.lit(False))
+    short = F.when(~given & text.rlike(_SHORT), strip_ws(text))
+    # one window for both: of the whole group, but in the order of the rows
+    rows = _marked(rows, keys, order, __short=F.collect_set(short).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    placed = [] if place is None else [F.coalesce(place.cast("long"), F.lit(-1 << 63)), F.coalesce(opens, F.lit(False))]
+    return _kept(rows, _text_fold(measured, bool(placed)), takes & text.isNotNull(), F.when(F.col("__new"), F.col("__short")), text, given, *placed, more=["census"] if measured else []).drop("__short")
+
+
+def _collapsed(batches: Iterator[tuple[pd.Series, ...]], measures: list | None) -> Iterator[tuple[pd.Series, ...]]:
+    """The batches with texts as they are compared; measures gets the census of each batch."""
+    for new, takes, short, text, given in batches:
+        found = [(None, _NONE) if t is None else collapsed(t) for t in text.tolist()]
+        if measures is not None:
+            measures.append([n for _, n in found])
+        short = [None if x is None else [s for s in map(lowered, x) if len(s) < WINDOW] for x in short.tolist()]
+        yield new, takes, pd.Series(short, dtype=object), pd.Series([t for t, _ in found], dtype=object), given
+
+
+def _opened(batches: Iterator[tuple[pd.Series, ...]], closed: list) -> Iterator[tuple[pd.Series, ...]]:
+    """The batches without place and opens; closed gets, of each, the rows whose place no row before opened. These take no part."""
+    there: set[int] = set()
+    for new, takes, short, text, given, place, opens in batches:
+        begins, given_, opens = new.to_numpy(bool), given.fillna(False).to_numpy(bool), opens.to_numpy(bool)
+        out, places = np.zeros(len(new), dtype=bool), place.tolist()
+        for i in np.flatnonzero(begins | opens | ~given_).tolist():
+            if begins[i]:
+                there = set()
+            if opens[i]:
+                there.add(places[i])
+            out[i] = not given_[i] and places[i] not in there
+        closed.append(out)
+        yield new, takes & ~out, short, text, given
+
+
+@lru_cache(maxsize=4)
+def _text_fold(measured: bool, placed: bool = False):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        closed: list = []
+        measures: list | None = [] if measured else None
+        for out in _folded(_with_fresh(_collapsed(_opened(batches, closed) if placed else batches, measures)), _begin_texts, _step_texts):
+            if placed:
+                out["keep"] &= ~closed.pop()
+            if measures is not None:
+                out[list(COUNTS)] = np.array(measures.pop(), np.int32).reshape(-1, len(COUNTS))
+            yield out
+
+    return F.pandas_udf(run, FOLDED.replace(">", "".join(f",{x}:int" for x in COUNTS) + ">") if measured else FOLDED).asNondeterministic()
 
 
 @lru_cache(maxsize=16)

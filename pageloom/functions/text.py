@@ -35,6 +35,31 @@ def bare(text: str) -> str:
     return _WS.sub("", text) if any(x in text for x in _OTHER) else "".join(text.split())
 
 
+#: Capital letters that Spark's lower knows and str.lower doesn't yet (Unicode 16).
+_NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {x: x + 0x20 for x in range(0x10D50, 0x10D66)}
+_NEW = re.compile(f"[{''.join(map(chr, _NEWER))}]")
+
+
+def lowered(text: str) -> str:
+    """In lower case, as Spark has it."""
+    return (text.translate(_NEWER) if not text.isascii() and _NEW.search(text) else text).lower()
+
+
+#: Lower case of the 256 characters of Latin-1, and which of them are white space.
+_LOWER = bytes(ord(chr(x).lower()) for x in range(256))
+_WS_BYTES = bytes(ord(x) for x in WS_CHARS if ord(x) < 256)
+
+
+def collapsed(text: str) -> tuple[str, tuple[int, int, int, int]]:
+    """A text without white space, in lower case, and its census."""
+    try:
+        short = text.encode("latin-1").translate(_LOWER, _WS_BYTES).decode("latin-1")
+    except UnicodeEncodeError:
+        short = bare(text)
+        return lowered(short), counts(text, short)
+    return short, (len(short), len(text) - len(short), 0, 0)
+
+
 @lru_cache(maxsize=1)
 def _bare():
     def run(texts: pa.Array) -> pa.Array:
@@ -53,32 +78,36 @@ def has_text(text: Column) -> Column:
     return F.coalesce(trim(text) != "", F.lit(False))
 
 
+#: What a census counts.
+COUNTS = ("chars", "spaces", "cjk", "replaced")
+
+
+def counts(text: str | None, without: str | None = None) -> tuple[int, int, int, int]:
+    """A text's census. without: the text without white space, where that is there already."""
+    if not text:
+        return 0, 0, 0, 0
+    n = len(bare(text) if without is None else without)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return n, len(text) - n, len(_CJK.findall(text)), text.count(REPLACEMENT)
+    return n, len(text) - n, 0, 0
+
+
 @lru_cache(maxsize=1)
 def _census():
-    names = ("chars", "spaces", "cjk", "replaced")
-
-    def one(text: str | None) -> tuple[int, int, int, int]:
-        if not text:
-            return 0, 0, 0, 0
-        n = len(bare(text))
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return n, len(text) - n, len(_CJK.findall(text)), text.count(REPLACEMENT)
-        return n, len(text) - n, 0, 0
-
     def run(texts: pa.Array) -> pa.Array:
-        counts = [one(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in counts], pa.int32()) for i in range(4)], list(names))
+        found = [counts(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.int32()) for i in range(4)], list(COUNTS))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"struct<{','.join(f'{x}:int' for x in names)}>")
+    return F.arrow_udf(run, f"struct<{','.join(f'{x}:int' for x in COUNTS)}>")
 
 
 def census(text: Column) -> dict[str, Column]:
     """Characters, white space, CJK characters and replacement characters of a text; null has none."""
     found = _census()(text)
-    return {x: found[x] for x in ("chars", "spaces", "cjk", "replaced")}
+    return {x: found[x] for x in COUNTS}
 
 
 def source_hash(page: Column, text: Column) -> Column:

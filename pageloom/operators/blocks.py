@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.geometry import normalized
 from pageloom.functions.labels import block_type, is_skipped
 from pageloom.functions.overlap import drop_overlapping_boxes, drop_overlapping_texts
-from pageloom.functions.text import collapse_ws, has_text, source_hash, trim
+from pageloom.functions.text import has_text, source_hash, trim
 
 PARSER, VERSION, CONFIDENCE = "opendataloader-default", "1.10.1", 0.93
 
@@ -20,7 +20,7 @@ def block_id(parser: str) -> Column:
 
 def drop_overlapping(rows: DataFrame, given: Column) -> DataFrame:
     """Rows (document_id, page, seq, text) in order, without those whose text overlaps one kept before on the page; with their error, if any."""
-    return drop_overlapping_texts(rows, ["document_id", "page"], ["seq"], collapse_ws(F.col("text")), given)
+    return drop_overlapping_texts(rows, ["document_id", "page"], ["seq"], F.col("text"), given)
 
 
 def native_blocks(merged: DataFrame, page_infos: DataFrame) -> DataFrame:

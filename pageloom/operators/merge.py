@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.geometry import block_key, round_half_up
 from pageloom.functions.labels import is_skipped
 from pageloom.functions.overlap import drop_overlapping_texts
-from pageloom.functions.text import collapse_ws, has_text
+from pageloom.functions.text import has_text
 
 FIELDS = ("type", "page", "left", "bottom", "right", "top", "content", "font_size", "rows_json")
 
@@ -26,26 +26,28 @@ def _any(flag: Column, among: WindowSpec) -> Column:
 
 
 def _marked(items: DataFrame) -> DataFrame:
-    """Items of both passes, dealt by document once, with what the merge asks of their key and page."""
+    """Items of pass 1 with blanks filled, and of pass 2 those with text that pass 1 has nothing for, dealt by document once, with what the merge asks of their key.
+
+    filled: replaced by pass 2; in_first_text: pass 1 has text under the key; hole: a gap in pass 1, an item without text
+    that isn't skipped. Texts that aren't needed any more go before the next window.
+    """
     first, text = F.col("pass") == 1, F.col("text_there")
     # what the key says, as numbers: sorted by these, the rows of a page lie together too
     at = {f"at_{x}": round_half_up(F.col(x)) for x in ("left", "bottom", "right", "top")}
     rows = keyed(items).withColumns({"text_there": has_text(F.col("content"))} | at).repartition("document_id")
     same = Window.partitionBy("document_id", "page", *at)
-    last = F.when(F.col("pass") == 2, F.struct("seq", "text_there", F.struct(*FIELDS).alias("of")))
-    rows = rows.withColumns({"alt": F.max_by(last, F.when(F.col("pass") == 2, F.col("seq"))).over(same), "in_first": _any(first, same), "text_in_first": _any(first & text, same)})
-    gap = first & ~text & ~is_skipped(F.col("type"))
-    return rows.withColumn("gap", _any(gap, Window.partitionBy("document_id", "page")))
+    last = F.when(F.col("pass") == 2, F.struct("text_there", F.struct(*FIELDS).alias("of")))
+    rows = rows.withColumns({"alt": F.max_by(last, F.when(F.col("pass") == 2, F.col("seq"))).over(same), "in_first": _any(first, same), "in_first_text": _any(first & text, same)})
+    fill = first & ~text & F.coalesce(F.col("alt.text_there"), F.lit(False))
+    own = {x: F.when(F.col("filled"), F.col(f"alt.of.{x}")).otherwise(F.col(x)) for x in FIELDS}
+    rows = rows.where(first | (text & ~F.col("in_first"))).withColumns({"filled": fill, "hole": first & ~text & ~is_skipped(F.col("type"))})
+    rows = rows.select("document_id", "pass", "seq", "key", "filled", "hole", "text_there", "in_first_text", *(v.alias(k) for k, v in own.items()))
+    return rows
 
 
 def _first(marked: DataFrame) -> DataFrame:
-    fill = ~F.col("text_there") & F.coalesce(F.col("alt.text_there"), F.lit(False))
     # counted as filled: text that pass 1 has nowhere under the key
-    return marked.where("pass = 1").select("document_id", "seq", "key", fill.alias("filled"), (fill & ~F.col("text_in_first")).alias("new"), *(F.when(fill, F.col(f"alt.of.{x}")).otherwise(F.col(x)).alias(x) for x in FIELDS))
-
-
-def _extra(marked: DataFrame) -> DataFrame:
-    return marked.where(F.col("text_there") & ~F.col("in_first") & F.col("gap") & (F.col("pass") == 2)).select("document_id", "seq", "key", *FIELDS)
+    return marked.where("pass = 1").select("document_id", "seq", "key", "filled", (F.col("filled") & ~F.col("in_first_text")).alias("new"), *FIELDS)
 
 
 def fill_blanks(items: DataFrame) -> DataFrame:
@@ -55,28 +57,21 @@ def fill_blanks(items: DataFrame) -> DataFrame:
 
 def extras(items: DataFrame) -> DataFrame:
     """Items with text that only pass 2 has, on pages where pass 1 has a gap (a blank item that isn't skipped)."""
-    return _extra(_marked(items))
+    gap = _any(F.col("hole"), Window.partitionBy("document_id", "page"))
+    return _marked(items).withColumn("gap", gap).where("pass = 2 and gap").select("document_id", "seq", "key", *FIELDS)
 
 
 def merge_passes(items: DataFrame) -> DataFrame:
     """Pass 1 with blanks filled, and the extras of pass 2 whose text doesn't overlap one kept before anywhere in the document; by page, then from the top.
 
-    seq is the new order; new tells of items whose text pass 1 has nowhere under their key; error of a document whose merge failed at an item.
+    seq is the new order; new tells of items whose text pass 1 has nowhere under their key; error of a document whose merge failed at an item; census has the counts of the content's characters.
     """
-    marked = _marked(items)
-    fill = ~F.col("text_there") & F.coalesce(F.col("alt.text_there"), F.lit(False)) & (F.col("pass") == 1)
-    extra = F.col("text_there") & ~F.col("in_first") & F.col("gap") & (F.col("pass") == 2)
-    rows = marked.where((F.col("pass") == 1) | extra).withColumn("fill", fill)
-    merged = F.struct(*(F.when(F.col("fill"), F.col(f"alt.of.{x}")).otherwise(F.col(x)).alias(x) for x in FIELDS))
-    of = {x: F.when(F.col("fill"), F.col(f"alt.of.{x}")).otherwise(F.col(x)) for x in FIELDS}
-    rows = rows.select("document_id", F.col("pass").alias("src"), F.col("seq").alias("old"), F.col("fill").alias("filled"), ((F.col("fill") | extra) & ~F.col("text_in_first")).alias("new"), (F.col("text_there") | F.col("fill")).alias("told"), *(v.alias(k) for k, v in of.items()))
-    # only documents with extras have something to decide, and blank items drop nothing
-    undecided = F.max(F.col("src") == 2).over(Window.partitionBy("document_id"))
-    rows = rows.withColumn("undecided", undecided)
-    text = collapse_ws(F.when(F.col("undecided") & F.col("told"), F.col("content")))
-    kept = drop_overlapping_texts(rows, ["document_id"], ["src", "old"], text, F.col("src") == 1)
+    extra = F.col("pass") == 2
+    rows = _marked(items).select("document_id", F.col("pass").alias("src"), F.col("seq").alias("old"), "filled", "hole", ((F.col("filled") | extra) & ~F.col("in_first_text")).alias("new"), (F.col("text_there") | F.col("filled")).alias("told"), *FIELDS)
+    # blank items drop nothing; extras come after all of pass 1
+    kept = drop_overlapping_texts(rows, ["document_id"], ["src", "old"], F.col("content"), F.col("src") == 1, takes=F.col("told"), place=F.col("page"), opens=F.col("hole"), measured=True)
     order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "src", "old")
-    return kept.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new", "error")
+    return kept.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new", "error", "census")
 
 
 def filled_count(merged: DataFrame) -> DataFrame:

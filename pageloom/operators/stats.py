@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import round_half_up
-from pageloom.functions.text import census
+from pageloom.functions.text import COUNTS, census
 
 MARGIN = 5.0
 
 
 def item_measures(items: DataFrame, page_infos: DataFrame) -> DataFrame:
-    """All pages with their items' measures; pages without items have one row of nulls."""
+    """All pages with their items' measures; pages without items have one row of nulls. Items that have a census (as merged ones do) aren't counted again."""
     width, height = F.greatest(F.lit(0.0), F.col("right") - F.col("left")), F.greatest(F.lit(0.0), F.col("top") - F.col("bottom"))
     off = (F.col("left") < -MARGIN) | (F.col("bottom") < -MARGIN) | (F.col("right") > F.col("page_width") + MARGIN) | (F.col("top") > F.col("page_height") + MARGIN)
     rows = page_infos.join(items, ["document_id", "page"], "left")
-    counts = {k: F.when(F.col("type").isNotNull(), v).alias(k) for k, v in census(F.col("content")).items()}
+    found = {x: F.col(f"census.{x}") for x in COUNTS} if "census" in items.columns else census(F.col("content"))
+    counts = {k: F.when(F.col("type").isNotNull(), v).alias(k) for k, v in found.items()}
     return rows.select("document_id", "page", "page_width", "page_height", "seq", "type", "left", "bottom", "font_size", width.alias("width"), height.alias("height"), off.alias("off_page"), ((height > 0) & (height < 2)).alias("tiny"), *counts.values())
 
 

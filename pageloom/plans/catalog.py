@@ -27,12 +27,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 REPAIR = IngestOptions(enable_ocr_repair=True, repair_on_scan_or_low_text=True, repair_on_structural_hole=True)
 
 
-def query(f: Callable[[Flow], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Register a query over the tables in a folder."""
+def query(f: Callable[[Flow], DataFrame] | None = None, *, several: bool = False) -> Callable:
+    """Register a query over the tables in a folder. several: more than one of its steps reads merged items."""
+    if f is None:
+        return lambda f: query(f, several=several)
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(Flow(spark, sf_dir))
+        return f(Flow(spark, sf_dir, several))
 
     QUERIES[f.__name__] = run
     return run
@@ -43,14 +45,14 @@ def r6(x, name: str):
 
 
 class Flow:
-    """What the queries over one table set share; each table is planned once, and merged items, which many steps read, are written."""
+    """What the queries over one table set share; each table is planned once, and merged items are written if several steps read them. A step that alone reads them takes only the columns that it needs through the merge."""
 
-    def __init__(self, s: SparkSession, d: str):
-        self.s, self.d = s, d
+    def __init__(self, s: SparkSession, d: str, several: bool = True):
+        self.s, self.d, self.several = s, d, several
 
     items = cached_property(lambda f: adapter.doc_items(f.s, f.d))
     infos = cached_property(lambda f: adapter.page_infos(f.s, f.d))
-    merged = cached_property(lambda f: written(merge.merge_passes(f.items)))
+    merged = cached_property(lambda f: written(merge.merge_passes(f.items)) if f.several else merge.merge_passes(f.items))
     stats = cached_property(lambda f: stats.page_stats(f.merged, f.infos))
     detections = cached_property(lambda f: stats.classify(f.stats))
     native = cached_property(lambda f: B.native_blocks(f.merged, f.infos))
@@ -194,7 +196,7 @@ def routing_plan(f):
 
 @query
 def routing_warnings(f):
-    detections = f.detections
+    detections = written(f.detections)
     return routing.routing_warnings(detections, routing.routing_plan(detections), force_native_text=True, force_ocr=True)
 
 
@@ -218,18 +220,18 @@ def structural_holes(f):
     return triggers.structural_holes(f.merged)
 
 
-@query
+@query(several=True)
 def repair_triggers(f):
     return f.triggered.select("document_id", "page", F.array_join("triggers", ",").alias("triggers"))
 
 
-@query
+@query(several=True)
 def repair_page_cap(f):
     """The cap of the dev profile: two pages a document."""
     return triggers.cap_pages(f.triggered, 2).select("document_id", "page")
 
 
-@query
+@query(several=True)
 def cap_warnings(f):
     return triggers.cap_warnings(f.triggered, IngestOptions(ocr_repair_profile="dev"))
 
@@ -255,17 +257,17 @@ def ocr_attempt_log(f):
     return ocr.attempt_log(summary, ocr.choose_attempt(summary)).select("document_id", "page", F.array_join("fallback_reasons", ",").alias("log"))
 
 
-@query
+@query(several=True)
 def ocr_blocks(f):
     return f.ocr_blocks.select("document_id", "page", "seq", "text", *(r6(f"bbox.{x}", x) for x in ("x", "y", "width", "height")), r6("confidence", "confidence"), "source_hash", F.array_join("triggers", ",").alias("triggers"), "strategy", "role")
 
 
-@query
+@query(several=True)
 def ocr_failures(f):
     return ocr.failed_pages(f.attempts, f.triggered)
 
 
-@query
+@query(several=True)
 def ocr_merge(f):
     return ocr.merge_blocks(f.native, f.ocr_blocks).select("document_id", "page", "seq", "parser", "text")
 
@@ -319,12 +321,12 @@ def cleanup_trail(f):
     return layout.reconstruct(f.chosen_lines).select("document_id", "page", "seq", cleanup.cleaned(c("text"))["fixes"].alias("fixes")).select("document_id", "page", "seq", F.size("fixes").alias("n_fixes"), F.array_join(F.transform("fixes", lambda x: F.concat(x["type"], F.lit(":"), x["after"])), "|").alias("trail"))
 
 
-@query
+@query(several=True)
 def page_quality(f):
     return quality.page_quality(f.native, f.detections).withColumn("avg_confidence", F.round("avg_confidence", 6)).withColumn("is_low", F.coalesce("is_low", F.lit(False)))
 
 
-@query
+@query(several=True)
 def quality_report(f):
     joined = lambda x, by: F.array_join(c(x).cast("array<string>"), by).alias(x)
     return quality.quality_report(f.native, f.detections).select("document_id", "requires_fallback", joined("low_confidence_pages", ","), joined("empty_pages", ","), joined("warnings", "|"))
@@ -353,7 +355,7 @@ def highlights(f):
     return shown.select("document_id", "page", c("id").alias("seq"), r6("left", "left"), r6("top", "top"), r6("scroll_top", "scroll_top"))
 
 
-@query
+@query(several=True)
 def backend_label(f):
     merged = ocr.merge_blocks(f.native, f.ocr_blocks)
     return merged.groupBy("document_id").agg(F.collect_set("parser").alias("p")).select("document_id", L.backend_label(c("p")).alias("label"))
@@ -388,7 +390,7 @@ def html_items(f):
     return readers.html_items(f.s.read.parquet(f"{f.d}/pages.parquet")).select("document_id", "seq", "type", "content")
 
 
-@query
+@query(several=True)
 def preview_document(f):
     """The nested document of native blocks, its parts as text: blocks with their type and source hash, pages with class and recommendation, warnings."""
     detections, blocks = f.detections, f.native

@@ -64,3 +64,27 @@ def test_white_space_is_that_of_ecmascript(spark):
     text = "A\x1c\x1d\x1e\x1f\x85 ​᠎ΟΔΟΣ ΑΒ　﻿條�"
     r = spark.range(1).select(X.collapse_ws(F.lit(text)).alias("c"), F.lower(X.strip_ws(F.lit(text))).alias("want"), *(v.alias(k) for k, v in X.census(F.lit(text)).items())).first()
     assert r.c == r.want and (r.chars, r.spaces, r.cjk, r.replaced) == (len(r.want), 4, 1, 1)
+
+
+def test_texts_are_compared_as_spark_has_them_without_a_pass_before(spark):
+    texts = [None, "", " \t", "A b C\x1c\x85", "ÀÉ × ß Ÿ", "ΟΔΟΣ ΑΒ Σ", "ᲉꟋ İ", "條 文�　Z"]
+    r = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.collapse_ws(F.col("t")).alias("want"), F.struct(*X.census(F.col("t")).values()).alias("n")).orderBy("i").collect()
+    assert [(None, (0, 0, 0, 0)) if t is None else X.collapsed(t) for t in texts] == [(x.want, tuple(x.n)) for x in r]
+    rows = spark.createDataFrame([(g, i, t) for g in range(3) for i, t in enumerate(["Some Text of a Page", "some  text of a PAGE", "TEXT o", " ", None])], "g int, i int, t string")
+    kept = overlap.drop_overlapping_texts(rows, ["g"], ["i"], F.col("t"), F.lit(False), measured=True)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 1
+    assert sorted((x.g, x.i, x.census.chars) for x in kept.collect()) == [(g, i, n) for g in range(3) for i, n in ((0, 15), (4, 0))]
+
+
+def test_rows_whose_place_nothing_opened_go(spark):
+    rows = spark.createDataFrame([(1, 0, 1, True, True), (1, 1, 2, True, False), (1, 2, 1, False, False), (1, 3, 2, False, False), (2, 0, 1, False, False), (2, 1, None, True, True), (2, 2, None, False, False)], "g int, i int, p int, given boolean, opens boolean").withColumn("t", F.concat(F.lit("a text by number "), F.repeat(F.col("i").cast("string"), F.lit(40))))
+    kept = overlap.drop_overlapping_texts(rows, ["g"], ["i"], F.col("t"), F.col("given"), place=F.col("p"), opens=F.col("opens"))
+    assert sorted((x.g, x.i) for x in kept.collect()) == [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_statistics_of_merged_items_read_no_text_again(spark):
+    from pageloom.plans.catalog import QUERIES
+
+    plan = QUERIES["page_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 1
