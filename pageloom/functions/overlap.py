@@ -259,14 +259,14 @@ def _folded(batches: Iterator[tuple[pd.Series, ...]], begin: Callable, step: Cal
     for new, takes, *columns in batches:
         keep, errors = np.ones(len(new), dtype=bool), [None] * len(new)
         new, takes = new.to_numpy(bool), takes.to_numpy(bool)
-        rows = list(zip(*(c.tolist() for c in columns), strict=True))
-        for i in np.flatnonzero(new | takes).tolist():
+        due = np.flatnonzero(new | takes)
+        for i, row in zip(due.tolist(), zip(*(c.to_numpy()[due].tolist() for c in columns), strict=True), strict=True):
             try:
                 if new[i]:
                     state, broken = None, False
-                    state = begin(*rows[i])
+                    state = begin(*row)
                 if takes[i] and not broken:
-                    keep[i] = step(state, *rows[i])
+                    keep[i] = step(state, *row)
             except Exception as e:  # noqa: BLE001
                 broken, errors[i] = True, str(e) or type(e).__name__
         yield pd.DataFrame({"keep": keep, "error": pd.Series(errors, dtype=object)})
@@ -287,10 +287,13 @@ class Lately:
     FEW, SMALL = 8, 1 << 20
 
     def __init__(self, short: Iterable[str] | None):
-        self.short = short if short is not None else ()
+        self.short = frozenset(short if short is not None else ())
+        self.lengths = sorted({len(x) for x in self.short})
         self.texts: list[str] = []
         self.same: set[str] = set()
         self.size = self.asked = 0
+        #: short texts that lie in one kept, once many were asked for; windows need no index for these
+        self.inside: set[str] | None = None
         self.index: Kept | None = None
 
     def _indexed(self) -> Kept:
@@ -298,9 +301,13 @@ class Lately:
             self.index = Kept(short=self.short)
             for text in self.texts:
                 self.index.add(text)
-            self.texts, self.same = [], set()
+            self.texts, self.same, self.inside = [], set(), None
         return self.index
 
+    def _within(self, text: str) -> set[str]:
+        """The short texts that lie in a text."""
+        return {part for n in self.lengths for i in range(len(text) - n + 1) if (part := text[i : i + n]) in self.short}
+
     def _overlaps(self, text: str) -> bool:
         if self.index is None:
             if text in self.same:
@@ -310,6 +317,10 @@ class Lately:
                 windows = [text[i : i + WINDOW] for i in range(len(text) - WINDOW + 1)]
                 need = THRESHOLD * len(windows)
                 return any(text in x if not windows else sum(w in x for w in windows) >= need for x in self.texts)
+            if len(text) < WINDOW:
+                if self.inside is None:
+                    self.inside = set().union(*map(self._within, self.texts))
+                return text in self.inside
         return self._indexed().overlaps(text)
 
     def step(self, text: str, given: bool, fresh: bool) -> bool:
@@ -321,6 +332,8 @@ class Lately:
             self.same.add(text)
             self.texts.append(text)
             self.size += len(text)
+            if self.inside is not None:
+                self.inside |= self._within(text)
             if self.size > MOST_WINDOWS:
                 self._indexed()
         return True
@@ -405,11 +418,13 @@ def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence, **more: Colum
 
 
 def _kept(rows: DataFrame, fold, takes: Column, *columns: Column, more: Sequence[str] = ()) -> DataFrame:
-    """Of marked rows those that the fold keeps, with column error (null: none) and the census if that is one of more; what had an error before stays."""
+    """Of marked rows those that the fold keeps, with column error (null: none) and those of census and at that are in more; what had an error before stays."""
     rows = rows.withColumn("__fold", fold(F.col("__new"), F.coalesce(takes, F.lit(False)), *columns))
     before = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
     if "census" in more:
         rows = rows.withColumn("census", F.struct(*(F.col(f"__fold.{x}") for x in COUNTS)))
+    if "at" in more:
+        rows = rows.withColumn("at", F.col("__fold.at"))
     return rows.withColumn("error", F.coalesce(before, "__fold.error")).where(F.col("__fold.keep") | F.col("error").isNotNull()).drop("__new", "__fold")
 
 
@@ -474,9 +489,110 @@ def _text_fold(measured: bool, placed: bool = False):
     return F.pandas_udf(run, FOLDED.replace(">", "".join(f",{x}:int" for x in COUNTS) + ">") if measured else FOLDED).asNondeterministic()
 
 
+def _step_boxes(blocks: Blocks, *of) -> bool:
+    return blocks.step(*of)
+
+
+#: Rows of a group whose boxes are all compared with each other at once.
+MOST_ABOVE = 64
+
+
+def _with_apart(batches: Iterator[tuple[pd.Series, ...]], threshold: float) -> Iterator[tuple[pd.Series, ...]]:
+    """The batches without the groups that need no step: they begin and end in the batch, and no two of their rows have the same hash or boxes that may overlap by the threshold."""
+    for new, takes, digest, system, *sides in batches:
+        if threshold <= 0:
+            yield new, takes, digest, system, *sides
+            continue
+        group = np.cumsum(new.to_numpy(bool))
+        asks = np.zeros(group[-1] + 1 if len(group) else 1, dtype=bool)
+        asks[[0, -1]] = True
+        rows = np.flatnonzero(takes.to_numpy(bool))
+        at = group[rows]
+        nth = np.arange(len(rows)) - np.searchsorted(at, at)
+        asks[at[nth >= MOST_ABOVE]] = True
+        codes = pd.factorize(digest.to_numpy(object)[rows])[0]  # null: -1
+        x, y, w, h = (s.to_numpy(float)[rows] for s in sides)
+        there = (w > 0) & (h > 0) & ~np.isnan(x) & ~np.isnan(y)
+        with np.errstate(invalid="ignore", over="ignore"):
+            right, top, area = x + w, y + h, w * h
+            later = np.flatnonzero((nth > 0) & ~asks[at])
+            for k in range(1, MOST_ABOVE):
+                later = later[nth[later] >= k]
+                if not len(later):
+                    break
+                o = later - k
+                common = np.maximum(0, np.minimum(right[o], right[later]) - np.maximum(x[o], x[later])) * np.maximum(0, np.minimum(top[o], top[later]) - np.maximum(y[o], y[later]))
+                # a little less than the threshold will do, and what isn't a number: the step decides
+                near = there[o] & there[later] & ~((common <= 0) | (common < 0.999 * threshold * (area[o] + area[later] - common)))
+                asks[at[later[near | ((codes[o] == codes[later]) & (codes[later] >= 0))]]] = True
+        asked = asks[group]
+        yield new & asked, takes & asked, digest, system, *sides
+
+
 @lru_cache(maxsize=16)
 def _box_fold(threshold: float):
-    return _fold(lambda *_: Blocks(threshold), lambda blocks, *of: blocks.step(*of))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        return _folded(_with_apart(batches, threshold), lambda *_: Blocks(threshold), _step_boxes)
+
+    return F.pandas_udf(run, FOLDED).asNondeterministic()
+
+
+def _numbered(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """For where groups begin and which rows count: how many rows of its group before it count."""
+    carried = 0
+    for new, counts in batches:
+        upto = np.cumsum(counts)
+        before = upto - counts
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        at = before + np.where(begin < 0, carried, -before[begin])
+        if len(at):
+            carried = int(at[-1] + counts[-1])
+        yield at
+
+
+@lru_cache(maxsize=4)
+def _block_fold(threshold: float | None):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        # each step takes a batch when the next one asks for it, so what goes beside is that of the batch at hand
+        beside, told, flags = [], [], []
+
+        def texts():
+            for new, takes, short, text, counts, *box in batches:
+                beside.append((new, counts.to_numpy(bool), box))
+                yield new, takes, short, text, pd.Series(np.zeros(len(new), dtype=bool))
+
+        def boxes():
+            for out in _folded(_with_fresh(_collapsed(texts(), None)), _begin_texts, _step_texts):
+                new, counts, box = beside.pop()
+                told.append(out)
+                flags.append((new.to_numpy(bool), counts | out["keep"].to_numpy(bool)))
+                yield new, out["keep"], *box
+
+        def passed():
+            for new, takes, *_ in boxes():
+                yield pd.DataFrame({"keep": np.ones(len(new), dtype=bool), "error": pd.Series([None] * len(new), dtype=object)})
+
+        numbers = _numbered(iter(flags.pop, None))
+        for out in passed() if threshold is None else _folded(_with_apart(boxes(), threshold), lambda *_: Blocks(threshold), _step_boxes):
+            before = told.pop()
+            out["keep"] &= before["keep"]
+            out["error"] = before["error"].where(before["error"].notna(), out["error"])
+            out["at"] = next(numbers)
+            yield out
+
+    return F.pandas_udf(run, FOLDED.replace(">", ",at:long>")).asNondeterministic()
+
+
+def drop_overlapping_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence, text: Column, counts: Column, digest: Column, box: Column, threshold: float | None) -> DataFrame:
+    """drop_overlapping_texts and, of what that leaves, drop_overlapping_boxes (threshold None: not), in one pass over the rows.
+
+    at: how many rows of the group before one were left by the texts or are such that counts is true.
+    """
+    sides = [digest, *(box[x] for x in ("coordinate_system", "x", "y", "width", "height"))] if threshold is not None else []
+    short = F.when(text.rlike(_SHORT), strip_ws(text))
+    rows = _marked(rows, keys, order, __short=F.collect_set(short).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    fold = _block_fold(None if threshold is None else float(threshold))
+    return _kept(rows, fold, text.isNotNull(), F.when(F.col("__new"), F.col("__short")), text, F.coalesce(counts, F.lit(False)), *sides, more=["at"]).drop("__short")
 
 
 def drop_overlapping_boxes(rows: DataFrame, keys: Sequence[str], order: Sequence, digest: Column, box: Column, threshold: float) -> DataFrame:

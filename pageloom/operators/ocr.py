@@ -54,8 +54,8 @@ def attempt_log(summary: DataFrame, chosen: DataFrame) -> DataFrame:
 RASTER = ("width_px", "height_px", "dpi", "model_label")
 
 
-def chosen_lines(lines: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Lines of each page's chosen attempt, with what RASTER names of it; pages with an error have none.
+def chosen_lines(lines: DataFrame, attempts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Lines of each page's chosen attempt, with what RASTER names of it; pages with an error have none. pages: only of these, others go before any window.
 
     Lines and attempts are dealt by page once; means, counts and the choice are windows over a page's rows.
     """
@@ -64,7 +64,11 @@ def chosen_lines(lines: DataFrame, attempts: DataFrame) -> DataFrame:
     attempt = Window.partitionBy("document_id", "page", "attempt_no")
     known = F.coalesce(F.max(~F.col("is_line")).over(attempt), F.lit(False))
     mean, n = F.avg(F.when(F.col("is_line") & finite(F.col("mean")), F.col("mean"))).over(attempt), F.count(F.when(F.col("is_line"), 1)).over(attempt)
-    rows = rows.repartition("document_id", "page").withColumns({x: F.max(x).over(attempt) for x in RASTER} | {"good": (mean >= LEAST_MEAN) & (n > 0), "known": known})
+    rows = rows.repartition("document_id", "page")
+    if pages is not None:
+        # by hash, so that the lines aren't sorted for this
+        rows = rows.join(pages.select("document_id", "page").hint("shuffle_hash"), ["document_id", "page"], "left_semi")
+    rows = rows.withColumns({x: F.max(x).over(attempt) for x in RASTER} | {"good": (mean >= LEAST_MEAN) & (n > 0), "known": known})
     last = F.when(F.col("known"), F.col("attempt_no"))
     rows = rows.withColumns({"chosen": F.coalesce(F.min(F.when(F.col("known") & F.col("good"), F.col("attempt_no"))).over(page), F.max(last).over(page)), "failed": F.max("error").over(page)})
     return rows.where("is_line and attempt_no = chosen and failed is null").select(*(x for x in lines.columns if x not in RASTER), *RASTER)
@@ -72,8 +76,9 @@ def chosen_lines(lines: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def ocr_blocks(lines: DataFrame, attempts: DataFrame, page_infos: DataFrame, triggered: DataFrame, *, convert=None) -> DataFrame:
     """Blocks of the chosen attempts of triggered pages, in reading order. Pages with an error have none."""
-    paragraphs = reconstruct(chosen_lines(lines, attempts), carry=RASTER)
-    rows = paragraphs.join(triggered.select("document_id", "page", "triggers"), ["document_id", "page"]).join(page_infos, ["document_id", "page"])
+    paragraphs = reconstruct(chosen_lines(lines, attempts, triggered), carry=RASTER)
+    pages = triggered.select("document_id", "page", "triggers").join(page_infos, ["document_id", "page"])
+    rows = paragraphs.join(pages.hint("shuffle_hash"), ["document_id", "page"])
     rows = rows.withColumn("clean", cleaned(F.col("text"), convert=convert)).where(has_text(F.col("clean.text")) | F.col("clean.error").isNotNull())
     rows = rows.withColumn("bbox", quad_normalized(*(F.col(x) for x in ("x1", "y1", "x2", "y2", "width_px", "height_px", "page_width", "page_height"))))
     order = Window.partitionBy("document_id", "page").orderBy(layout_rank(F.col("strategy"), F.col("role")), "bbox.y", "bbox.x", "seq")

@@ -34,18 +34,17 @@ def ingest(items: DataFrame, page_infos: DataFrame, options: IngestOptions = Ing
     A step that fails on a page or document leaves an error in its rows, which the later steps carry along; at the end
     documents with any are taken out of all results, and rejects says why.
 
-    Merged items, page statistics and final blocks, which several steps read,
+    Merged items, page statistics, pages to repair and final blocks, which several steps read,
     are written on the way; the rest stays lazy.
     """
     documents = page_infos.select("document_id").distinct()
     merged = written(merge.merge_passes(items))
     page_stats = written(stats.page_stats(merged, page_infos))
-    native = B.native_blocks(merged, page_infos)
+    native, repair = B.candidates(merged, page_infos), None
     noted = merge.parser_warnings(items, merged, documents).withColumn("ord", F.lit(0).cast("long"))
     if options.enable_ocr_repair:
-        triggered = triggers.repair_triggers(page_stats, merged, options)
+        triggered = written(triggers.repair_triggers(page_stats, merged, options))
         if open_recogniser is not None and rasters is not None:
-            triggered = written(triggered)
             due = rasters.join(triggers.cap_pages(triggered, options.max_pages), ["document_id", "page"], "left_semi")
             lines, attempts = run_cascade(due, open_recogniser, steps(options), **driver)
         if lines is None or attempts is None:
@@ -55,8 +54,8 @@ def ingest(items: DataFrame, page_infos: DataFrame, options: IngestOptions = Ing
             taken = triggers.cap_pages(triggered, options.max_pages)
             noted = noted.unionByName(triggers.cap_warnings(triggered, options).withColumn("ord", F.lit(1).cast("long")))
             noted = noted.unionByName(ocr.failed_pages(attempts, taken).withColumn("ord", F.lit(2).cast("long")))
-            native = ocr.merge_blocks(native, ocr.ocr_blocks(lines, attempts, page_infos, taken, convert=convert))
-    kept = written(B.dedupe(native))
+            repair = ocr.ocr_blocks(lines, attempts, page_infos, taken, convert=convert)
+    kept = written(B.settle(native, repair, B.THRESHOLD))
     failed = written(_errors(merged, "merge").unionByName(_errors(kept, "blocks")))
     detections = stats.classify(page_stats)
     if not failed.isEmpty():

@@ -88,3 +88,49 @@ def test_statistics_of_merged_items_read_no_text_again(spark):
 
     plan = QUERIES["page_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- ArrowEvalPython") == 1
+
+
+def test_settle_is_the_folds_one_after_the_other(spark):
+    """One fold over native blocks and those of repair leaves what three folds leave, with few texts and boxes and with many."""
+    from pageloom.operators import blocks as B
+    from pageloom.operators import ocr
+
+    rng = random.Random(11)
+    words = ["alpha beta gamma", "delta", "eta", "a b", "繁體 中文 條文", "beta gamma delta epsilon", "zeta eta theta iota"]
+    schema = "document_id int, page int, seq int, text string, source_hash string, bbox struct<x:double,y:double,width:double,height:double,coordinate_system:string>, error string, parser string"
+
+    def made(d, p, i, parser):
+        text = None if rng.random() < 0.03 else " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
+        box = None if rng.random() < 0.05 else (rng.randrange(4) / 4, rng.randrange(90) / 90 + rng.random() / 300, rng.choice([0.0, 0.2, 0.21]), 0.02, rng.choice(["normalized", "normalized", "points"]))
+        return d, p, i, text, text and f"{p}:{text}", box, "torn" if text is None else None, parser
+
+    pages = [(d, p, rng.choice([1, 3, 9, 30, 150])) for d in range(12) for p in (1, 2, 3)]
+    native = spark.createDataFrame([x for d, p, n in pages for i in range(n) if (x := made(d, p, 5 * i, "n"))[3] is not None], schema).repartition(3)
+    repair = spark.createDataFrame([made(d, p, i, "r") for d, p, n in pages if d % 3 for i in range(n // 2)], schema).repartition(3)
+    found = lambda rows: sorted((r.document_id, r.page, r.seq, r.parser, str(r.text), str(r.error)) for r in rows.collect())
+    for batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            left = B.drop_overlapping(native, F.lit(False))
+            merged = ocr.merge_blocks(left, repair)
+            want = [found(left), found(B.dedupe(left)), found(merged), found(B.dedupe(merged))]
+            assert [found(x) for x in (B.settle(native), B.settle(native, None, 0.85), B.settle(native, repair), B.settle(native, repair, 0.85))] == want
+            assert len({len(x) for x in want}) == 4
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lines_of_pages_not_to_repair_go_before_the_choice(spark):
+    """They meet no window."""
+    from pageloom.operators import ocr
+
+    lines = spark.createDataFrame([(d, p, a, i, f"{d}-{p}-{a}-{i}", 0.3 + 0.1 * a + 0.01 * d) for d in range(5) for p in (1, 2) for a in (1, 2, 3) for i in range(3)], "document_id int, page int, attempt_no int, line_no int, text string, mean double")
+    attempts = spark.createDataFrame([(d, p, a, 100 * a, 50, 150, f"m{a}", "bad" if (d, a) == (3, 1) else None) for d in range(5) for p in (1, 2) for a in (1, 2, 3)], "document_id int, page int, attempt_no int, width_px int, height_px int, dpi int, model_label string, error string")
+    pages = spark.createDataFrame([(d, 2, ["x"]) for d in range(5)], "document_id int, page int, triggers array<string>")
+    got = ocr.chosen_lines(lines, attempts, pages)
+    # means are 0.3 + a / 10 + d / 100: 0.55 is reached by attempt 3 of all documents
+    assert sorted((r.text, r.width_px, r.model_label) for r in got.collect()) == sorted((f"{d}-2-3-{i}", 300, "m3") for d in (0, 1, 2, 4) for i in range(3))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Window") < plan.index("Join LeftSemi")
+    whole = {r.text for r in ocr.chosen_lines(lines, attempts).collect()}
+    assert {r.text for r in got.collect()} == {x for x in whole if x.split("-")[1] == "2"} and len(whole) == 24
