@@ -60,7 +60,8 @@ class Flow:
     lines = cached_property(lambda f: adapter.ocr_lines(f.s, f.d))
     attempts = cached_property(lambda f: adapter.ocr_attempts(f.s, f.d))
     summary = cached_property(lambda f: ocr.attempt_summary(f.attempts, f.lines))
-    ocr_blocks = cached_property(lambda f: ocr.ocr_blocks(f.lines, f.attempts, f.infos, f.triggered))
+    ocr_blocks = cached_property(lambda f: ocr.ocr_blocks(f.lines, f.attempts, f.infos, written(f.triggered)))
+    repaired = cached_property(lambda f: B.settle(B.candidates(f.merged, f.infos), f.ocr_blocks))
 
     chosen_lines = cached_property(lambda f: ocr.chosen_lines(f.lines, f.attempts))
 
@@ -269,7 +270,7 @@ def ocr_failures(f):
 
 @query(several=True)
 def ocr_merge(f):
-    return ocr.merge_blocks(f.native, f.ocr_blocks).select("document_id", "page", "seq", "parser", "text")
+    return f.repaired.select("document_id", "page", "seq", "parser", "text")
 
 
 @query
@@ -357,8 +358,7 @@ def highlights(f):
 
 @query(several=True)
 def backend_label(f):
-    merged = ocr.merge_blocks(f.native, f.ocr_blocks)
-    return merged.groupBy("document_id").agg(F.collect_set("parser").alias("p")).select("document_id", L.backend_label(c("p")).alias("label"))
+    return f.repaired.groupBy("document_id").agg(F.collect_set("parser").alias("p")).select("document_id", L.backend_label(c("p")).alias("label"))
 
 
 @query
