@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.runs import Runs, Texts
-from pageloom.functions.text import COUNTS, WS, collapsed, lowered, strip_ws
+from pageloom.functions.text import COUNTS, WS, all_collapsed, lowered, strip_ws
 
 WINDOW, THRESHOLD = 8, 0.5
 #: Windows that a group has in memory.
@@ -356,34 +356,129 @@ def _windows(text: str) -> np.ndarray:
         return rolled
 
 
-def _known(texts: Sequence[str], groups: np.ndarray) -> np.ndarray:
-    """Of each text how many of its windows an earlier text of its group has, by hashes: what is alike counts, so it is never too few."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    totals = np.maximum(sizes - WINDOW + 1, 0)
-    if not totals.any():
-        return totals
-    rolled = _windows("".join(texts))
-    n, ends = len(rolled), np.cumsum(sizes)
-    begins = ends - sizes
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[:n]
-    keys = rolled ^ np.repeat((groups.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), sizes)[:n]
-    keys ^= keys >> np.uint64(29)
-    keys *= np.uint64(0xFF51AFD7ED558CCD)
-    bits = max(20, (4 * n).bit_length())
-    slot = (keys >> np.uint64(64 - bits)).view(np.int64)
-    first = _slots(bits)
-    first[slot[::-1]] = owner[::-1]  # of equal places the last one set stays: that of the earliest text
-    known = first[slot] != owner
-    over = (ends[:, None] - np.arange(1, WINDOW)).ravel()  # windows that reach into the next text
-    known[over[(over >= np.repeat(begins, WINDOW - 1)) & (over < n)]] = False
-    return np.bincount(owner[known], minlength=len(texts))
+#: Pairs of equal windows that are told apart at once, and characters that short texts are looked for in; with more, the steps' index does it.
+MOST_PAIRS, MOST_READ = 1 << 22, 1 << 26
+#: Of windows this share is looked for among few others.
+FEW_ASK = 0.25
+
+
+class _Piece:
+    """Whole groups of texts, in order, and the windows in them as numbers; equal windows of a group have equal ones."""
+
+    def __init__(self, texts: Sequence[str], groups: np.ndarray):
+        self.texts, self.groups = texts, groups
+        self.joined = "".join(texts)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ends = np.cumsum(self.sizes)
+        self.begins = self.ends - self.sizes
+        self.totals = np.maximum(self.sizes - WINDOW + 1, 0)
+        self.keys = np.zeros(0, np.uint64)
+
+    def hash(self) -> None:
+        keys = _windows(self.joined) ^ np.repeat((self.groups.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), self.sizes)[: max(len(self.joined) - WINDOW + 1, 0)]
+        keys ^= keys >> np.uint64(29)
+        keys *= np.uint64(0xFF51AFD7ED558CCD)
+        self.keys = keys
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the windows of some texts, and whose they are."""
+        totals = self.totals[which]
+        owner = np.repeat(which, totals)
+        return np.arange(len(owner)) - np.repeat(np.cumsum(totals) - totals - self.begins[which], totals), owner
+
+    def like(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of windows that may equal one of those asked (all that do are there), and whose they are."""
+        bits = np.uint64(64 - max(12, (16 * len(asked)).bit_length()))
+        there = np.zeros(1 << (64 - int(bits)), dtype=bool)
+        there[(self.keys[asked] >> bits).view(np.int64)] = True
+        at = np.flatnonzero(there[(self.keys >> bits).view(np.int64)])
+        owner = np.searchsorted(self.ends, at, "right")
+        inside = at + WINDOW <= self.ends[owner]  # else it reaches into the next text
+        return at[inside], owner[inside]
+
+    def known(self, asking: np.ndarray) -> np.ndarray:
+        """Of each asking text how many of its windows an earlier text of its group has, by hashes: what is alike counts, so it is never too few."""
+        asked, owner = self.of(asking)
+        at, whose = self.like(asked) if len(asked) < FEW_ASK * len(self.keys) else self.of(np.flatnonzero(self.totals))
+        bits = max(16, (4 * len(at)).bit_length())
+        first, shift = _slots(bits), np.uint64(64 - bits)
+        first[(self.keys[at[::-1]] >> shift).view(np.int64)] = whose[::-1]  # of equal places the last one set stays: that of the earliest text
+        known = first[(self.keys[asked] >> shift).view(np.int64)] != owner
+        return np.bincount(owner[known], minlength=len(self.texts))[asking]
+
+    def candidates(self, asking: np.ndarray) -> dict[int, list[int]] | None:
+        """For each asking text the earlier ones of its group that seem to have enough of its windows; None: there is too much to compare."""
+        asked, owner = self.of(asking)
+        at, whose = self.like(asked)
+        windows, which = np.unique(self.keys[asked], return_inverse=True)
+        there = np.minimum(np.searchsorted(windows, self.keys[at]), len(windows) - 1)
+        same = windows[there] == self.keys[at]
+        pairs = np.unique(there[same] * len(self.texts) + whose[same])
+        begin, end = np.searchsorted(pairs, which * len(self.texts)), np.searchsorted(pairs, (which + 1) * len(self.texts))
+        n = end - begin
+        if n.sum() > MOST_PAIRS:
+            return None
+        new = np.repeat(owner, n)
+        old = pairs[np.arange(len(new)) - np.repeat(np.cumsum(n) - n - begin, n)] % len(self.texts)
+        before = (old < new) & (self.groups[old] == self.groups[new])
+        found, times = np.unique(new[before] * len(self.texts) + old[before], return_counts=True)
+        new, old = np.divmod(found, len(self.texts))
+        out: dict[int, list[int]] = {int(i): [] for i in asking}
+        enough = times >= THRESHOLD * self.totals[new]
+        for i, k in zip(new[enough].tolist(), old[enough].tolist(), strict=True):
+            out[i].append(k)
+        return out
+
+    def holds(self, i: int, first: int, kept: np.ndarray) -> bool:
+        """Does the short text i lie in a kept one before it, from the first of its group on?"""
+        text, upto = self.texts[i], int(self.begins[i])
+        if not text:
+            return i > first  # the first of a group is kept
+        at = self.joined.find(text, int(self.begins[first]), upto)
+        while at >= 0:
+            k = int(np.searchsorted(self.ends, at, "right"))
+            inside = at + len(text) <= self.ends[k]
+            if inside and kept[k] > 0:
+                return True
+            at = self.joined.find(text, int(self.ends[k]) if inside else at + 1, upto)
+        return False
+
+
+def _decided(texts: Sequence[str], groups: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Of each text of whole groups: 1 it is kept, -1 it is not, 0 the step has to say."""
+    out = np.ones(len(texts), dtype=np.int8)
+    if given.all():
+        return out
+    first: dict[tuple[int, str], int] = {}
+    copies = np.fromiter((first.setdefault(x, i) != i for i, x in enumerate(zip(groups.tolist(), texts, strict=True))), bool, len(texts))
+    out[copies & ~given] = -1  # the earlier one is kept, or what it overlaps is
+    piece, asking = _Piece(texts, groups), ~(copies | given)
+    long, short = np.flatnonzero(asking & (piece.totals > 0)), np.flatnonzero(asking & (piece.totals == 0))
+    if len(long):
+        piece.hash()
+        long = long[piece.known(long) >= THRESHOLD * piece.totals[long]]
+    if len(long):
+        near = piece.candidates(long)
+        for i in long.tolist():
+            out[i] = 0 if near is None else -1 if any(out[k] > 0 and share_of_windows(texts[i], texts[k]) >= THRESHOLD for k in near[i]) else 1
+    if len(short):
+        begins = np.searchsorted(groups, groups[short])
+        read = piece.begins[short] - piece.begins[begins]
+        undecided = set(groups[out == 0].tolist()) if read.sum() <= MOST_READ else set(groups.tolist())
+        for i, begin, group in zip(short.tolist(), begins.tolist(), groups[short].tolist(), strict=True):
+            out[i] = 0 if group in undecided else -1 if piece.holds(i, begin, out) else 1
+    return out
 
 
 def _with_fresh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.Series, ...]]:
-    """The batches and, for each text, whether it surely overlaps none before: its group begins in the batch, and too few windows were there before."""
+    """The batches and, for each text, what is told of it if its group begins in the batch: 1 it is kept, -1 it is not, 0 the step has to say.
+
+    Of groups that end in the batch and leave nothing to the step, only the texts that go meet it.
+    """
     for new, takes, short, text, given in batches:
-        fresh = np.zeros(len(new), dtype=bool)
+        told = np.zeros(len(new), dtype=np.int8)
         group = np.cumsum(new.to_numpy(bool))
+        fixed = given.fillna(False).to_numpy(bool)
         rows = np.flatnonzero(takes.to_numpy(bool) & (group > 0))
         texts = text.to_numpy(object)[rows]
         sizes, at = np.fromiter(map(len, texts), np.int64, len(texts)), group[rows]
@@ -394,22 +489,23 @@ def _with_fresh(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.S
             if i + 1 < len(ends) and done[ends[i + 1] - 1] - (done[upto - 1] if upto else 0) <= PIECE:
                 continue
             if done[end - 1] - (done[upto - 1] if upto else 0) <= LARGE:
-                totals = sizes[upto:end] - WINDOW + 1
-                fresh[rows[upto:end]] = (totals > 0) & (_known(texts[upto:end].tolist(), at[upto:end]) < THRESHOLD * totals)
+                told[rows[upto:end]] = _decided(texts[upto:end].tolist(), at[upto:end], fixed[rows[upto:end]])
             upto = end
-        # groups that end here and have nothing to ask need no step; the last one may go on
-        asks = np.bincount(group[takes.to_numpy(bool) & ~fresh & ~given.fillna(False).to_numpy(bool)], minlength=group[-1] + 1 if len(group) else 1) > 0
-        asks[[0, -1]] = True
-        asked = asks[group]
-        yield new & asked, takes & asked, short, text, given, pd.Series(fresh)
+        taken = takes.to_numpy(bool)
+        # the last group may go on; the first one may go on from before
+        open_ = np.bincount(group[taken & (told == 0)], minlength=group[-1] + 1 if len(group) else 1) > 0
+        open_[[0, -1]] = True
+        due = taken & (open_[group] | (told < 0))
+        asked = (np.bincount(group[due], minlength=len(open_)) > 0) | open_
+        yield new & asked[group], pd.Series(due), short, text, given, pd.Series(told)
 
 
-def _begin_texts(short, text, given, fresh) -> Lately:
+def _begin_texts(short, text, given, told) -> Lately:
     return Lately(short)
 
 
-def _step_texts(kept: Lately, short, text, given, fresh) -> bool:
-    return kept.step(text, bool(given), fresh)
+def _step_texts(kept: Lately, short, text, given, told) -> bool:
+    return told >= 0 and kept.step(text, bool(given), told > 0)
 
 
 def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence, **more: Column) -> DataFrame:
@@ -428,7 +524,6 @@ def _kept(rows: DataFrame, fold, takes: Column, *columns: Column, more: Sequence
     return rows.withColumn("error", F.coalesce(before, "__fold.error")).where(F.col("__fold.keep") | F.col("error").isNotNull()).drop("__new", "__fold")
 
 
-_NONE = (0,) * len(COUNTS)
 #: A text with fewer characters than a window, white space left out.
 _SHORT = f"^{WS}*+(?:[^{WS[1:]}{WS}*+){{0,{WINDOW - 1}}}+\\z"
 
@@ -451,11 +546,11 @@ def drop_overlapping_texts(rows: DataFrame, keys: Sequence[str], order: Sequence
 def _collapsed(batches: Iterator[tuple[pd.Series, ...]], measures: list | None) -> Iterator[tuple[pd.Series, ...]]:
     """The batches with texts as they are compared; measures gets the census of each batch."""
     for new, takes, short, text, given in batches:
-        found = [(None, _NONE) if t is None else collapsed(t) for t in text.tolist()]
+        texts, found = all_collapsed(text.tolist())
         if measures is not None:
-            measures.append([n for _, n in found])
+            measures.append(found)
         short = [None if x is None else [s for s in map(lowered, x) if len(s) < WINDOW] for x in short.tolist()]
-        yield new, takes, pd.Series(short, dtype=object), pd.Series([t for t, _ in found], dtype=object), given
+        yield new, takes, pd.Series(short, dtype=object), pd.Series(texts, dtype=object), given
 
 
 def _opened(batches: Iterator[tuple[pd.Series, ...]], closed: list) -> Iterator[tuple[pd.Series, ...]]:
@@ -483,7 +578,7 @@ def _text_fold(measured: bool, placed: bool = False):
             if placed:
                 out["keep"] &= ~closed.pop()
             if measures is not None:
-                out[list(COUNTS)] = np.array(measures.pop(), np.int32).reshape(-1, len(COUNTS))
+                out[list(COUNTS)] = measures.pop()
             yield out
 
     return F.pandas_udf(run, FOLDED.replace(">", "".join(f",{x}:int" for x in COUNTS) + ">") if measured else FOLDED).asNondeterministic()

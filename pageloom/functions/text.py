@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +62,30 @@ def collapsed(text: str) -> tuple[str, tuple[int, int, int, int]]:
     return short, (len(short), len(text) - len(short), 0, 0)
 
 
+_IS_WS = np.zeros(256, dtype=bool)
+_IS_WS[list(_WS_BYTES)] = True
+
+
+def all_collapsed(texts: Sequence[str | None]) -> tuple[list[str | None], np.ndarray]:
+    """collapsed of each text: null stays, and has a census of zeros. Those in ASCII are read together."""
+    out, found = list(texts), np.zeros((len(texts), 4), np.int32)
+    plain = [i for i, t in enumerate(texts) if t is not None and t.isascii()]
+    codes = "".join([texts[i] for i in plain]).encode("ascii")
+    if codes:
+        sizes = np.fromiter((len(texts[i]) for i in plain), np.int64, len(plain))
+        spaces = np.concatenate([[0], np.cumsum(_IS_WS[np.frombuffer(codes, np.uint8)])])
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        there = np.diff(spaces[upto])
+        found[plain, 0], found[plain, 1] = sizes - there, there
+        left, ends = codes.translate(_LOWER, _WS_BYTES).decode("ascii"), np.cumsum(sizes - there).tolist()
+        for i, begin, end in zip(plain, [0, *ends], ends, strict=False):
+            out[i] = left[begin:end]
+    for i, t in enumerate(texts):
+        if t is not None and not t.isascii():
+            out[i], found[i] = collapsed(t)
+    return out, found
+
+
 @lru_cache(maxsize=1)
 def _bare():
     def run(texts: pa.Array) -> pa.Array:
@@ -75,7 +101,8 @@ def collapse_ws(text: Column) -> Column:
 
 
 def has_text(text: Column) -> Column:
-    return F.coalesce(trim(text) != "", F.lit(False))
+    # from the left only: that ends at the first character which isn't white space
+    return F.coalesce(F.ltrim(text, F.lit(WS_CHARS)) != "", F.lit(False))
 
 
 #: What a census counts.
