@@ -54,7 +54,7 @@ class Flow:
     infos = cached_property(lambda f: adapter.page_infos(f.s, f.d))
     merged = cached_property(lambda f: written(merge.merge_passes(f.items)) if f.several else merge.merge_passes(f.items))
     stats = cached_property(lambda f: stats.page_stats(f.merged, f.infos))
-    detections = cached_property(lambda f: stats.classify(f.stats))
+    detections = cached_property(lambda f: stats.classify(stats.page_stats(f.merged, f.infos, lists=False)))
     native = cached_property(lambda f: B.native_blocks(f.merged, f.infos))
     triggered = cached_property(lambda f: triggers.repair_triggers(f.stats, f.merged, REPAIR))
     lines = cached_property(lambda f: adapter.ocr_lines(f.s, f.d))
