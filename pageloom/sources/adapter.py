@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 RASTER_WIDTH, RASTER_HEIGHT, DPI = 1275, 1650, 150
 
-_LINES = """
-SELECT doc_id AS document_id, doc_id % 47 = 5 AS dense, posexplode(split(CASE WHEN doc_id % 47 = 5 THEN replace(text, ' ', '\\n') ELSE text END, '\\n')) AS (seq, line) FROM {documents}
+_SPLIT = "split(CASE WHEN doc_id % 47 = 5 THEN replace(text, ' ', '\\n') ELSE text END, '\\n')"
+_LINES = f"""
+SELECT doc_id AS document_id, doc_id % 47 = 5 AS dense, posexplode({_SPLIT}) AS (seq, line) FROM {{documents}}
 """
 _BOXES = """
 SELECT document_id, seq, page, type, l, t - CASE WHEN document_id % 89 = 0 THEN 1.5D WHEN dense THEN 10D ELSE 60D END AS b,
@@ -57,7 +58,9 @@ def doc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages 1 to one more than the last with an item."""
-    last = _boxes(spark, sf_dir).groupBy("document_id").agg(F.max("page").alias("last"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    page = F.expr(f"CAST((size({_SPLIT}) - 1) DIV (CASE WHEN doc_id % 47 = 5 THEN 40 ELSE 8 END) + 1 AS INT)")
+    last = documents.groupBy(F.col("doc_id").alias("document_id")).agg(F.max(page).alias("last"))
     return last.select("document_id", F.explode(F.sequence(F.lit(1), F.col("last") + 1)).alias("page"), F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"))
 
 
