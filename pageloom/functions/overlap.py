@@ -33,7 +33,7 @@ WINDOW, THRESHOLD = 8, 0.5
 #: Windows that a group has in memory.
 MOST_WINDOWS = 1 << 18
 #: Characters of texts whose windows are hashed together, and of a group that has an index instead.
-PIECE, LARGE = 1 << 17, 1 << 20
+PIECE, LARGE = 1 << 15, 1 << 20
 
 
 class Kept:
