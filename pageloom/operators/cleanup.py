@@ -186,7 +186,8 @@ def _cleaner(before: tuple[Rule, ...], after: tuple[Rule, ...], convert: Callabl
         return pa.StructArray.from_arrays([new, fixes, errors], ["text", "fixes", "error"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, RESULT)
+    # else a filter on the result would clean the texts once for itself
+    return F.arrow_udf(run, RESULT).asNondeterministic()
 
 
 FIX = pa.struct([("type", pa.string()), ("before", pa.string()), ("after", pa.string())])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import block_key, round_half_up
 from pageloom.functions.labels import is_skipped
+from pageloom.functions.order import numbered
 from pageloom.functions.overlap import drop_overlapping_texts
 from pageloom.functions.text import has_text
 
@@ -34,7 +35,7 @@ def _marked(items: DataFrame) -> DataFrame:
     first, text = F.col("pass") == 1, F.col("text_there")
     # what the key says, as numbers: sorted by these, the rows of a page lie together too
     at = {f"at_{x}": round_half_up(F.col(x)) for x in ("left", "bottom", "right", "top")}
-    rows = keyed(items).withColumns({"text_there": has_text(F.col("content"))} | at).repartition("document_id")
+    rows = keyed(items.repartition("document_id")).withColumns({"text_there": has_text(F.col("content"))} | at)
     same = Window.partitionBy("document_id", "page", *at)
     last = F.when(F.col("pass") == 2, F.struct("text_there", F.struct(*FIELDS).alias("of")))
     rows = rows.withColumns({"alt": F.max_by(last, F.when(F.col("pass") == 2, F.col("seq"))).over(same), "in_first": _any(first, same), "in_first_text": _any(first & text, same)})
@@ -70,8 +71,7 @@ def merge_passes(items: DataFrame) -> DataFrame:
     rows = _marked(items).select("document_id", F.col("pass").alias("src"), F.col("seq").alias("old"), "filled", "hole", ((F.col("filled") | extra) & ~F.col("in_first_text")).alias("new"), (F.col("text_there") | F.col("filled")).alias("told"), *FIELDS)
     # blank items drop nothing; extras come after all of pass 1
     kept = drop_overlapping_texts(rows, ["document_id"], ["src", "old"], F.col("content"), F.col("src") == 1, takes=F.col("told"), place=F.col("page"), opens=F.col("hole"), measured=True)
-    order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "src", "old")
-    return kept.withColumn("seq", F.row_number().over(order) - 1).select("document_id", "seq", "filled", *FIELDS, "new", "error", "census")
+    return numbered(kept, "document_id", ["page", F.desc("top"), "src", "old"]).select("document_id", "seq", "filled", *FIELDS, "new", "error", "census")
 
 
 def filled_count(merged: DataFrame) -> DataFrame:

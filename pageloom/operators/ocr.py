@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,12 +76,13 @@ def chosen_lines(lines: DataFrame, attempts: DataFrame, pages: DataFrame | None
     return rows.where("is_line and attempt_no = chosen and failed is null").select(*(x for x in lines.columns if x not in RASTER), *RASTER)
 
 
-def ocr_blocks(lines: DataFrame, attempts: DataFrame, page_infos: DataFrame, triggered: DataFrame, *, convert=None) -> DataFrame:
-    """Blocks of the chosen attempts of triggered pages, in reading order. Pages with an error have none."""
+def ocr_blocks(lines: DataFrame, attempts: DataFrame, page_infos: DataFrame, triggered: DataFrame, *, convert=None, through: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """Blocks of the chosen attempts of triggered pages, in reading order. Pages with an error have none. through: what cleaned paragraphs go through (written: then the attempts' lines take no room any more)."""
     paragraphs = reconstruct(chosen_lines(lines, attempts, triggered), carry=RASTER)
     pages = triggered.select("document_id", "page", "triggers").join(page_infos, ["document_id", "page"])
     rows = paragraphs.join(pages.hint("shuffle_hash"), ["document_id", "page"])
     rows = rows.withColumn("clean", cleaned(F.col("text"), convert=convert)).where(has_text(F.col("clean.text")) | F.col("clean.error").isNotNull())
+    rows = through(rows)
     rows = rows.withColumn("bbox", quad_normalized(*(F.col(x) for x in ("x1", "y1", "x2", "y2", "width_px", "height_px", "page_width", "page_height"))))
     order = Window.partitionBy("document_id", "page").orderBy(layout_rank(F.col("strategy"), F.col("role")), "bbox.y", "bbox.x", "seq")
     rows = rows.withColumn("seq", F.row_number().over(order) - 1)

@@ -12,7 +12,7 @@ from pageloom.operators import blocks as B
 from pageloom.operators import merge, ocr, quality, stats, triggers
 from pageloom.operators.recognise import Recogniser, run_cascade, steps
 from pageloom.plans.options import IngestOptions
-from pageloom.sources.tables import written
+from pageloom.sources.tables import dropped, parts, written
 
 
 @dataclass(frozen=True)
@@ -34,13 +34,14 @@ def ingest(items: DataFrame, page_infos: DataFrame, options: IngestOptions = Ing
     A step that fails on a page or document leaves an error in its rows, which the later steps carry along; at the end
     documents with any are taken out of all results, and rejects says why.
 
-    Merged items, page statistics, pages to repair and final blocks, which several steps read,
-    are written on the way; the rest stays lazy.
+    Merged items, page statistics, pages to repair, cleaned paragraphs, the warnings of single steps and final blocks are
+    written on the way; the rest stays lazy. Merged items and paragraphs go when the blocks are there. Many items are
+    folded in parts by document, so that the exchange of all texts never lies on the disks at once.
     """
     documents = page_infos.select("document_id").distinct()
     merged = written(merge.merge_passes(items))
     page_stats = written(stats.page_stats(merged, page_infos))
-    native, repair = B.candidates(merged, page_infos), None
+    native, repair, passing = B.candidates(merged, page_infos), None, [merged]
     noted = merge.parser_warnings(items, merged, documents).withColumn("ord", F.lit(0).cast("long"))
     if options.enable_ocr_repair:
         triggered = written(triggers.repair_triggers(page_stats, merged, options))
@@ -54,12 +55,18 @@ def ingest(items: DataFrame, page_infos: DataFrame, options: IngestOptions = Ing
             taken = triggers.cap_pages(triggered, options.max_pages)
             noted = noted.unionByName(triggers.cap_warnings(triggered, options).withColumn("ord", F.lit(1).cast("long")))
             noted = noted.unionByName(ocr.failed_pages(attempts, taken).withColumn("ord", F.lit(2).cast("long")))
-            repair = ocr.ocr_blocks(lines, attempts, page_infos, taken, convert=convert)
-    kept = written(B.settle(native, repair, B.THRESHOLD))
-    failed = written(_errors(merged, "merge").unionByName(_errors(kept, "blocks")))
+
+            def stored(paragraphs: DataFrame) -> DataFrame:
+                passing.append(written(paragraphs))
+                return passing[-1]
+
+            repair = ocr.ocr_blocks(lines, attempts, page_infos, taken, convert=convert, through=stored)
+    kept = written(*(B.settle(native.where(part), None if repair is None else repair.where(part), B.THRESHOLD) for part in parts(merged)))
+    failed, noted = written(_errors(merged, "merge").unionByName(_errors(kept, "blocks"))), written(noted)
+    dropped(*passing)
     detections = stats.classify(page_stats)
     if not failed.isEmpty():
-        merged, kept, detections, noted = (_without(x, failed) for x in (merged, kept, detections, noted))
+        kept, detections, noted = (_without(x, failed) for x in (kept, detections, noted))
     kept = kept.drop("error")
     report = quality.quality_report(kept, detections)
     of_pages = report.select("document_id", F.posexplode("warnings").alias("ord", "warning")).select("document_id", "warning", (F.col("ord") + 10).cast("long").alias("ord"))
